@@ -3,17 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat_format, mtree_search, simhash_dedup, source_mix
 from .common import table
-from .source_mix import mix_report
+
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], told.schema)
+    return chat_format.read_back(chat_format.formatted(chat_format.reply_tree(told.unionByName(own))))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_report(table(spark, sf_dir, "documents"))
+    return source_mix.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_source_mix": op3_source_mix,
+    "op10_mtree_topk": op10_mtree_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": r"""
+        WITH told AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+               CAST(sum(14 + length(regexp_replace(role, '\\|###|</turn>|:', '_\0', 'g'))
+                        + length(regexp_replace(text, '\\|###|</turn>', '_\0', 'g'))) AS BIGINT) AS formatted_chars
+        FROM told GROUP BY conv_id""",
+    "op10_mtree_topk": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vec, c.vec) AS BIGINT) AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+}
