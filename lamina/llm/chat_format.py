@@ -8,7 +8,7 @@ assistant's words.
 Paths come from iterative self-joins that double the reach of each message's
 link to its ancestor: 2, 4, 8, ... messages up, so a thread of n messages takes
 log2(n) rounds, each written to the shared folder. Only the chosen leaves are
-then expanded to the messages of their paths.
+then expanded to the messages of their paths, in as many rounds, also written.
 
 The template is
 
@@ -109,7 +109,7 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         higher = paths.join(link, here & (F.col("msg") == F.col("m"))).select(
             "conv_id", "leaf", "rank", F.col("up").alias("msg"), (F.col("place") + 2**k).alias("place")
         )
-        paths = paths.unionByName(higher)
+        paths = saved(paths.unionByName(higher), "paths")
     return paths
 
 

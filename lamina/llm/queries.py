@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mtree_search, simhash_dedup, source_mix
+from . import (
+    chat_format,
+    mtree_search,
+    quality,
+    secret_scan,
+    sentence_pieces,
+    simhash_dedup,
+    source_mix,
+    text_fingerprints,
+    token_files,
+    toxicity,
+)
 from .common import table
 
+#: Where the public tokenizers' files are; operators take a path.
+TOKENIZERS = "/opt/tokenizers"
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
@@ -25,6 +38,31 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_fingerprints.fingerprint_report(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip_report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = token_files.write_segments(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2)
+    return token_files.read_documents(segments)
+
+
 def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return mtree_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -34,6 +72,12 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_source_mix": op3_source_mix,
+    "op4_toxicity": op4_toxicity,
+    "op5_text_fingerprints": op5_text_fingerprints,
+    "op6_quality": op6_quality,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_sentence_pieces": op8_sentence_pieces,
+    "op9_token_files": op9_token_files,
     "op10_mtree_topk": op10_mtree_topk,
 }
 
