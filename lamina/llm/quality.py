@@ -3,7 +3,7 @@
 Heuristic labellers vote good, bad or nothing on each text. How often each
 pattern of votes occurs is counted over all documents, and
 expectation-maximisation over those counts estimates each labeller's accuracy
-on good and bad texts, and so the posterior of each pattern. The posteriors of
+on good texts and on each kind of bad ones, and so the posterior of each pattern. The posteriors of
 SAMPLE documents (the smallest hashes of doc_id) train a logistic scorer over
 hashed shapes of words, which then scores every whole text.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import saved, whole_text
 
 BUCKETS, SAMPLE = 1024, 6000
-ROUNDS, STEPS, RATE, SHRINK = 200, 300, 0.3, 1e-4
+ROUNDS, STEPS, RATE, SHRINK = 200, 600, 0.5, 1e-5
 CACHED_WORDS = 400_000
 
 # Frequent function words of English, French, German and Spanish.
@@ -110,26 +110,32 @@ def term_shares(words: list[str]) -> np.ndarray:
 
 
 def posteriors(patterns: dict[str, int]) -> dict[str, float]:
-    """Probability that a text with each pattern of votes is good: two classes, labellers independent within a class, no vote says nothing."""
+    """Probability that a text with each pattern of votes is good.
+
+    Latent classes: good texts, and a kind of bad ones for each labeller, since
+    bad texts are bad in different ways. Labellers are independent within a
+    class, and no vote says nothing. Two bad votes start a pattern as bad, one
+    leaves it good; expectation-maximisation goes on from there.
+    """
     if not patterns:
         return {}
     keys = sorted(patterns)
-    weight = np.array([patterns[k] for k in keys], dtype=float)
+    weight = np.array([patterns[k] for k in keys], dtype=float)[:, None]
     seen = np.array([[[v == k for k in (BAD, GOOD)] for v in pattern] for pattern in keys], dtype=float)
-    good, bad = seen[:, :, 1].sum(axis=1), seen[:, :, 0].sum(axis=1)
-    p = (good + 0.5) / (good + bad + 1)  # starts from the majority
-    p = np.where(2 * bad > good, 0.1, np.where(bad > 0, 0.6, p))
+    bad = seen[:, :, 0]
+    n_bad = bad.sum(axis=1, keepdims=True)
+    good = np.where(n_bad == 0, 1.0, np.where(n_bad == 1, 0.9, 0.1))
+    share = np.hstack([good, (1 - good) * bad / np.maximum(1, n_bad)])
     for _ in range(ROUNDS):
-        share = []
-        for q in (1 - p, p):
-            votes_of = np.einsum("n,nlv->lv", weight * q, seen) + 0.1
-            share.append((np.log((weight * q).sum() + 1.0), np.log(votes_of / votes_of.sum(axis=1, keepdims=True))))
-        bad_log, good_log = (prior + np.einsum("nlv,lv->n", seen, table) for prior, table in share)
-        new = 1 / (1 + np.exp(np.clip(bad_log - good_log, -700, 700)))
-        if np.abs(new - p).max() < 1e-9:
+        votes_of = np.einsum("nc,nlv->clv", weight * share, seen) + 0.1
+        log_votes = np.log(votes_of / votes_of.sum(axis=2, keepdims=True))
+        logs = np.log((weight * share).sum(axis=0) + 1e-3) + np.einsum("nlv,clv->nc", seen, log_votes)
+        new = np.exp(logs - logs.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        if np.abs(new - share).max() < 1e-9:
             break
-        p = new
-    return dict(zip(keys, p.tolist(), strict=True))
+        share = new
+    return dict(zip(keys, share[:, 0].tolist(), strict=True))
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
