@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 from ..functions.rules import Rules
 from ..functions.text import chunk_name, clean_lines
 
-BY_DOC = Window.partitionBy("doc_id")
 CHUNK_COLUMNS = [
     "chunk_id", "doc_id", "ordinal", "page_start", "page_end", "section_title", "coverage_type", "text", "char_count",
     "matched_category", "secondary_category", "matched_keyword", "related_chunk_id",
 ]
 
 
+def in_order(*columns: str):
+    return Window.partitionBy("doc_id").orderBy(*columns)
+
+
 def long_length(c: Column) -> Column:
     return F.length(c).cast("long")
 
@@ -37,7 +40,7 @@ def content_pages(pages: DataFrame, rules: Rules) -> DataFrame:
 def flat_lines(pages: DataFrame) -> DataFrame:
     """Stripped non-blank lines in order; line_no counts within the document."""
     rows = pages.select("doc_id", "page", F.posexplode(clean_lines(F.col("text"))).alias("at", "line"))
-    order = BY_DOC.orderBy("page", "at")
+    order = in_order("page", "at")
     return rows.select("doc_id", F.col("page").cast("long").alias("page"), F.row_number().over(order).cast("long").alias("line_no"), "line")
 
 
@@ -46,11 +49,11 @@ def sections(lines: DataFrame, rules: Rules) -> DataFrame:
 
     A section ends on the page of the next title, the last one on the document's last page.
     """
-    order = BY_DOC.orderBy("line_no")
+    order = in_order("line_no")
     marked = (
         lines.withColumn("is_title", rules.is_title(F.col("line")))
         .withColumn("section", F.sum(F.col("is_title").cast("int")).over(order))
-        .withColumn("last_page", F.max("page").over(BY_DOC))
+        .withColumn("last_page", F.max("page").over(Window.partitionBy("doc_id")))
     )
     packed = marked.groupBy("doc_id", "section").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows"),
@@ -59,7 +62,7 @@ def sections(lines: DataFrame, rules: Rules) -> DataFrame:
         F.max("is_title").alias("titled"),
     )
     first = F.get("rows", F.lit(0))["line"]
-    by_section = BY_DOC.orderBy("section")
+    by_section = in_order("section")
     return packed.select(
         "doc_id",
         F.row_number().over(by_section).cast("long").alias("ordinal"),
@@ -165,7 +168,7 @@ def parts_of(text: Column, most: int) -> Column:
 def split_large(chunks: DataFrame, rules: Rules) -> DataFrame:
     """Chunks over the greatest size in parts; the first keeps its name, the others get _2, _3, ..."""
     parts = chunks.select("*", F.posexplode(parts_of(F.col("text"), rules.large)).alias("part", "piece"))
-    order = BY_DOC.orderBy("ordinal", "part")
+    order = in_order("ordinal", "part")
     return (
         parts.withColumn("chunk_id", F.when(F.col("part") == 0, F.col("chunk_id")).otherwise(F.concat("chunk_id", F.lit("_"), (F.col("part") + 1).cast("string"))))
         .withColumn("text", F.col("piece"))
@@ -177,7 +180,7 @@ def split_large(chunks: DataFrame, rules: Rules) -> DataFrame:
 
 def link_pairs(chunks: DataFrame) -> DataFrame:
     """An included chunk right before an excluded one of the same category: each names the other."""
-    order = BY_DOC.orderBy("ordinal")
+    order = in_order("ordinal")
     pair = lambda step: (step("matched_category").over(order) == F.col("matched_category"))
     to_next = (F.col("coverage_type") == "included") & (F.lead("coverage_type").over(order) == "excluded") & pair(F.lead)
     to_last = (F.col("coverage_type") == "excluded") & (F.lag("coverage_type").over(order) == "included") & pair(F.lag)

@@ -55,22 +55,22 @@ def page_stats(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.sum(F.length("text")).alias("total_chars"), F.count_if(F.length("text") > 0).alias("n_pages"))
 
 
-@F.pandas_udf("double")
-def _containment(truth: pd.Series, found: pd.Series) -> pd.Series:
-    def ratio(a: str, b: str) -> float:
-        if not a:
-            return 1.0
-        if not b:
-            return 0.0
-        blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-        return sum(x.size for x in blocks) / len(a)
-
-    return pd.Series([ratio(a or "", b or "") for a, b in zip(truth, found, strict=True)], dtype="float64")
+def matched_share(truth: str, found: str) -> float:
+    """Sum of matching blocks over the length of truth; an empty truth is found, in an empty text nothing is."""
+    if not truth:
+        return 1.0
+    if not found:
+        return 0.0
+    return sum(x.size for x in difflib.SequenceMatcher(None, truth, found, autojunk=False).get_matching_blocks()) / len(truth)
 
 
 def containment(truth: Column, found: Column) -> Column:
     """Share of truth's characters in matching blocks with found, white space aside."""
-    return _containment(compare_form(truth), compare_form(found))
+
+    def shares(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([matched_share(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(shares, "double")(compare_form(truth), compare_form(found))
 
 
 def exact_containment(truth: Column, found: Column) -> Column:
