@@ -133,7 +133,7 @@ def read_pdfs(spark: SparkSession, pattern: str, decode: Callable[[bytes], list[
                 except Exception as e:
                     rows = [{"doc_id": stem, "error": json.dumps(str(e))}]
                 names = [x.split()[0] for x in BLOCKS.split(", ")]
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
     _files(spark, pattern)
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, BLOCKS)
