@@ -525,7 +525,7 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {_GRID}, words AS (SELECT l_orderkey AS table_id, l_linenumber * 1000000 + l_partkey AS word_no, (l_partkey % 700) + 0.5 AS cx, (l_suppkey % 800) + 0.5 AS cy, l_shipdate::DATE::VARCHAR AS word FROM lineitem)
-    SELECT c.table_id, row_no, col_no, coalesce(string_agg(word, ' ' ORDER BY word_no), '') AS text
+    SELECT c.table_id, row_no, col_no, coalesce(string_agg(word, ' ' ORDER BY word_no, word), '') AS text
     FROM cells c LEFT JOIN words w ON w.table_id = c.table_id AND cx >= xmin AND cx < xmax AND cy >= ymin AND cy < ymax GROUP BY ALL""")
 def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("l_partkey") % 700, F.col("l_suppkey") % 800
