@@ -27,7 +27,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Cuts of texts and pairs of pieces kept in a worker at most, and the longest cut that is.
-CACHED_CUTS, CACHED_PAIRS, LONGEST_CUT = 600_000, 2_000_000, 48
+CACHED_CUTS, CACHED_PAIRS, LONGEST_CUT = 1_200_000, 1_000_000, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,8 +101,13 @@ class Pieces:
             raise ValueError("unsupported kind of model")
         self.id_of = {self.pieces[i]: i for i in usable}
         self.lowest = min((self.scores[i] for i in usable), default=0.0) - 10.0
+        self.made_of: dict[int, tuple[int, int]] = {}  # the two pieces of a piece's last merge
         if self.model_type == BPE:  # a piece that merging its own characters never yields is never used
-            usable = [i for i in usable if len(self.pieces[i]) == 1 or self.merged(self.pieces[i]) == [self.pieces[i]]]
+            for i in usable:
+                parts = self.merged(self.pieces[i], stop=2) if len(self.pieces[i]) > 1 else []
+                if len(parts) == 2:
+                    self.made_of[i] = (self.id_of.get(parts[0], -1), self.id_of.get(parts[1], -1))
+            usable = [i for i in usable if len(self.pieces[i]) == 1 or i in self.made_of]
         self.automaton = ahocorasick.Automaton()
         for i in usable:
             self.automaton.add_word(self.pieces[i], (i, len(self.pieces[i])))
@@ -112,10 +119,10 @@ class Pieces:
         self.cuts: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """What merging leaves of a short text: the best-scored neighbours first, leftmost on ties."""
+    def merged(self, text: str, stop: int = 1) -> list[str]:
+        """What merging leaves of a short text: the best-scored neighbours first, leftmost on ties; `stop` parts at least."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > stop:
             found = [self.id_of.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
             best = max((k for k, i in enumerate(found) if i is not None), key=lambda k: (self.scores[found[k]], -k), default=None)
             if best is None:
@@ -124,15 +131,27 @@ class Pieces:
         return parts
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether merging the text of both pieces leaves just these two; characters outside the vocabulary never merge."""
-        if left < 0 or right < 0:
-            return True
-        key = left * len(self.pieces) + right
-        known = self.pairs.get(key)
-        if known is None:
-            a, b = self.pieces[left], self.pieces[right]
-            known = self.pairs[key] = self.merged(a + b) == [a, b]
-        return known
+        """Whether merging the text of both pieces leaves just these two.
+
+        It does unless a merge across the border comes before one that made a
+        piece: so the merges that made the pieces at the border are undone, the
+        latest first, and each time the two at the border must not merge sooner.
+        """
+        pieces, scores = self.pieces, self.scores
+        limit, wins_tie = float("-inf"), False
+        while True:
+            across = self.id_of.get(pieces[left] + pieces[right])
+            if across is not None and (scores[across] > limit or (wins_tie and scores[across] == limit)):
+                return False
+            of_left, of_right = self.made_of.get(left), self.made_of.get(right)
+            if of_left and not (of_right and scores[right] <= scores[left]):
+                limit, wins_tie, left = scores[left], False, of_left[1]
+            elif of_right:
+                limit, wins_tie, right = scores[right], True, of_right[0]
+            else:
+                return True
+            if left < 0 or right < 0:  # a character outside the vocabulary
+                return True
 
     def best_path(self, text: str) -> list[int]:
         """Ids of a text in which spaces are U+2581."""
@@ -140,6 +159,7 @@ class Pieces:
         ends: list[tuple[int, int] | None] = [None] * (n + 1)  # (start, id) of the last piece of the best path to each position
         total = [0.0] * (n + 1)
         unigram = self.model_type == UNIGRAM
+        pairs, size_of = self.pairs, len(self.pieces)
         position = 0
 
         def settle(until: int) -> None:
@@ -152,13 +172,21 @@ class Pieces:
                     total[position] = total[position - 1] + self.lowest
 
         for end, (piece, size) in self.automaton.iter(text):
-            settle(end)
+            if position < end:
+                settle(end)
             start = end + 1 - size
             if unigram:
                 score = total[start] + self.scores[piece]
                 if ends[end + 1] is None or score > total[end + 1]:
                     ends[end + 1], total[end + 1] = (start, piece), score
-            elif ends[end + 1] is None and (not start or self.may_follow(ends[start][1], piece)):
+            elif ends[end + 1] is None:
+                last = ends[start][1] if start else -1
+                if last >= 0:  # other characters never merge
+                    allowed = pairs.get(last * size_of + piece)
+                    if allowed is None:
+                        allowed = pairs[last * size_of + piece] = self.may_follow(last, piece)
+                    if not allowed:
+                        continue
                 ends[end + 1] = (start, piece)
         settle(n)
         out: list[int] = []
@@ -185,9 +213,9 @@ class Pieces:
                 self.cuts.clear()
             if len(self.pairs) > CACHED_PAIRS:
                 self.pairs.clear()
-            missing = set(cuts).difference(self.cuts)
+            missing = set(filterfalse(self.cuts.__contains__, cuts))
             for cut in missing:
-                self.cuts[cut] = np.array(self.best_path(cut), dtype="<u4").tobytes()
+                self.cuts[cut] = array("I", self.best_path(cut)).tobytes()
             yield b"".join(map(self.cuts.__getitem__, cuts))
             for cut in missing:
                 if len(cut) > LONGEST_CUT:
