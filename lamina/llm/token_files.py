@@ -33,6 +33,7 @@ import itertools
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ SEGMENT_IDS = 1 << 22
 #: Documents of a bucket, about, and buckets at most (larger ones hold more segments).
 BUCKET_ROWS, MOST_BUCKETS = 2048, 4096
 #: Chunks of texts whose ids are kept at most, and the longest that is.
-CACHED_CHUNKS, LONGEST_CHUNK = 600_000, 48
+CACHED_CHUNKS, LONGEST_CHUNK = 1_500_000, 48
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4s6I")
 
@@ -74,16 +75,21 @@ def normalised(counts: np.ndarray, scale: int) -> np.ndarray:
 
 def encode_segment(ids: np.ndarray) -> bytes:
     """Ids (uint32) as a segment's data."""
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
     if not len(ids):
         return HEAD.pack(b"LRS1", 0, 0, 0, 0, 0, 4)
+    tally = np.bincount(ids)
+    symbols = np.flatnonzero(tally)
+    counts = tally[symbols]
+    rank = np.zeros(len(tally), dtype=np.int32)
+    rank[symbols] = np.arange(len(symbols))
+    index = rank[ids]
     scale = min(24, max(10, int(len(symbols)).bit_length() + 4))
     freq = normalised(counts.astype(np.int64), scale)
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     blocks = -(-len(ids) // BLOCK)
     steps = -(-len(ids) // (blocks * LANES))
     size = steps * LANES
-    laid = np.full(blocks * size, int(counts.argmax()), dtype=np.int64)
+    laid = np.full(blocks * size, int(counts.argmax()), dtype=np.int32)
     laid[: len(ids)] = index
     laid = laid.reshape(blocks, steps, LANES)
     shift, low32 = np.uint64(63 - scale), np.uint64(0xFFFFFFFF)
@@ -170,7 +176,7 @@ class Encoder:
 
     def add(self, chunks: list[str]) -> None:
         for chunk, e in zip(chunks, self.library.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+            self.known[chunk] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
@@ -178,7 +184,7 @@ class Encoder:
             chunks = CHUNK.findall(text)
             if len(self.known) > CACHED_CHUNKS:
                 self.known.clear()
-            missing = set(chunks).difference(self.known)
+            missing = set(itertools.filterfalse(self.known.__contains__, chunks))
             if missing:
                 self.add(list(missing))
             yield b"".join(map(self.known.__getitem__, chunks))
