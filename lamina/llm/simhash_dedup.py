@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import range_bounds, range_bucket, saved
+from .common import range_bounds, range_bucket, saved, whole_text
 
 #: Fingerprints of a tile: 512 x 512 comparisons fit the CPU's cache.
 TILE = 512
@@ -198,11 +198,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs, one for each class of near duplicates: its smallest doc_id (of rows that repeat it, one)."""
+    """Rows of docs, one for each class of near duplicates: its smallest doc_id (of rows that repeat it, the one of the least text)."""
     classes = near_duplicates(docs, **options)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    row = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id").join(
+    row = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", whole_text().alias("text")).join(
         kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id"))
     )
-    first = row.groupBy("doc_id").agg(F.min("doc").alias("doc"))
-    return first.select("doc.*")
+    return row.groupBy("doc_id").agg(F.min_by("doc", "text").alias("doc")).select("doc.*")
