@@ -103,7 +103,8 @@ def recall_report(layout: DataFrame, model: DataFrame) -> DataFrame:
     return joined.select("table_id", *[F.col(c).cast("double").alias(c) for c in numbers]).unionByName(means)
 
 
-def best_in_order(rows: DataFrame, key: str, order: list) -> DataFrame:
-    """The first row of each key."""
-    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where("__n = 1").drop("__n")
+
+
+def candidate_text(rows: Column) -> Column:
+    """All cells of an array of rows, a line each."""
+    return F.array_join(F.flatten(rows), "\n")
