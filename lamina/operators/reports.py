@@ -55,20 +55,31 @@ def page_stats(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.sum(F.length("text")).alias("total_chars"), F.count_if(F.length("text") > 0).alias("n_pages"))
 
 
-def matched_share(truth: str, found: str) -> float:
-    """Sum of matching blocks over the length of truth; an empty truth is found, in an empty text nothing is."""
-    if not truth:
-        return 1.0
-    if not found:
-        return 0.0
-    return sum(x.size for x in difflib.SequenceMatcher(None, truth, found, autojunk=False).get_matching_blocks()) / len(truth)
+class Matcher:
+    """Matches cells against texts; a text's index is kept while the next pairs share it."""
+
+    def __init__(self) -> None:
+        self.of, self.text = difflib.SequenceMatcher(autojunk=False), None
+
+    def share(self, truth: str, found: str) -> float:
+        """Sum of matching blocks over the length of truth; an empty truth is found, in an empty text nothing is."""
+        if not truth:
+            return 1.0
+        if not found:
+            return 0.0
+        if found != self.text:
+            self.of.set_seq2(found)
+            self.text = found
+        self.of.set_seq1(truth)
+        return sum(x.size for x in self.of.get_matching_blocks()) / len(truth)
 
 
 def containment(truth: Column, found: Column) -> Column:
     """Share of truth's characters in matching blocks with found, white space aside."""
 
     def shares(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([matched_share(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+        m = Matcher()
+        return pd.Series([m.share(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return F.pandas_udf(shares, "double")(compare_form(truth), compare_form(found))
 

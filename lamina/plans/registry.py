@@ -268,20 +268,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated queries: five vectors."""
-    return corpus(spark, sf_dir).where("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), "scope")
+    """The stated queries: vectors whose id is divisible by 100."""
+    return corpus(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), "scope")
 
 
 def rounded(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_cosine(which='vec_id < 5', on='true')} SELECT query_id, rank, id, round(score, 6) AS score FROM hits")
+@query(f"WITH {_cosine(which='vec_id % 100 = 0', on='true')} SELECT query_id, rank, id, round(score, 6) AS score FROM hits")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vectors.cosine_top_k(asked(spark, sf_dir), corpus(spark, sf_dir)))
 
 
-@query(f"WITH {_cosine(which='vec_id < 5', on='e.label = q.scope')} SELECT query_id, rank, id, round(score, 6) AS score FROM hits")
+@query(f"WITH {_cosine(which='vec_id % 100 = 0', on='e.label = q.scope')} SELECT query_id, rank, id, round(score, 6) AS score FROM hits")
 def cosine_topk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vectors.cosine_top_k(asked(spark, sf_dir), corpus(spark, sf_dir), scope="scope"))
 
@@ -305,7 +305,7 @@ CHUNK_FIELDS = ["chunk_id", "document_id", "page_start", "page_end", "section_ti
 
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("vec_id")
-    texts = docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 300).alias("text"))
+    texts = docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
     kinds = F.array(*map(F.lit, ["included", "excluded", "procedure", "other"]))
     return (
         R.table(spark, sf_dir, "embeddings").select("vec_id", "label").join(texts, "vec_id", "left").select(
@@ -321,9 +321,9 @@ _CHUNKS = """
     chunks AS (
         SELECT vec_id AS id, 'c' || vec_id AS chunk_id, 'd' || label AS document_id, vec_id AS page_start, vec_id + vec_id % 2 AS page_end,
                'title ' || vec_id AS section_title, ['included', 'excluded', 'procedure', 'other'][vec_id % 4 + 1] AS coverage_type,
-               coalesce(substr(text, 1, 300), '') AS text, CASE WHEN vec_id % 3 = 0 AND vec_id >= 7 THEN 'c' || (vec_id - 7) END AS related_chunk_id
+               coalesce(text, '') AS text, CASE WHEN vec_id % 3 = 0 AND vec_id >= 7 THEN 'c' || (vec_id - 7) END AS related_chunk_id
         FROM embeddings LEFT JOIN documents ON doc_id = vec_id)"""
-_RELATED = f"""{_cosine(which="vec_id < 5", on="true")}, {_CHUNKS},
+_RELATED = f"""{_cosine(which="vec_id % 100 = 0", on="true")}, {_CHUNKS},
     found AS (SELECT query_id, rank, {", ".join(CHUNK_FIELDS)}, round(score, 6) AS score FROM hits JOIN chunks USING (id)),
     wanted AS (
         SELECT query_id, related_chunk_id AS chunk_id, min(rank) AS first FROM found WHERE related_chunk_id IS NOT NULL GROUP BY ALL),
@@ -340,12 +340,12 @@ def attach_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {_CHUNKS}, ids AS (SELECT vec_id AS query_id, unnest(['c' || vec_id * 2, 'missing', 'c0', 'c' || vec_id]) AS chunk_id, unnest([0, 1, 2, 3]) AS pos FROM embeddings WHERE vec_id < 50)
+    WITH {_CHUNKS}, ids AS (SELECT vec_id AS query_id, unnest(['c' || vec_id * 2, 'missing', 'c0', 'c' || vec_id]) AS chunk_id, unnest([0, 1, 2, 3]) AS pos FROM embeddings)
     SELECT query_id, pos, chunk_id, section_title, 0.0::DOUBLE AS score FROM ids JOIN chunks USING (chunk_id)""")
 def get_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("c"), c.cast("string"))
     i = F.col("vec_id")
-    ids = R.table(spark, sf_dir, "embeddings").where("vec_id < 50").select(i.alias("query_id"), F.array(name(i * 2), F.lit("missing"), F.lit("c0"), name(i)).alias("ids"))
+    ids = R.table(spark, sf_dir, "embeddings").select(i.alias("query_id"), F.array(name(i * 2), F.lit("missing"), F.lit("c0"), name(i)).alias("ids"))
     return retrieval.by_ids(ids, vector_chunks(spark, sf_dir)).select("query_id", "pos", "chunk_id", "section_title", "score")
 
 
@@ -424,15 +424,14 @@ def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     embed = vectors.hashing_embedder()
     texts = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("scope"), "text", "source")
     stored = vectors.embedded(texts, "id", "text", embed).join(texts, "id")
-    questions = R.table(spark, sf_dir, "conversations").where("turn = 0 and role = 'user' and conv_id < 20").select(
+    questions = R.table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 100 = 0").select(
         F.col("conv_id").alias("query_id"), F.col("text").alias("question"), F.lit("en").alias("scope")
     )
     asked_vectors = vectors.embedded(questions, "query_id", "question", embed).withColumnRenamed("vector", "query_vector").join(questions, "query_id")
     found = vectors.cosine_top_k(asked_vectors.select("query_id", "query_vector", "scope"), stored.select("id", "vector", "scope"), scope="scope")
-    cut = F.substring("text", 1, CORPUS.large)
     named = texts.select(
         "id", F.col("id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.col("id").alias("page_start"), F.col("id").alias("page_end"),
-        F.col("source").alias("section_title"), CORPUS.coverage_type(F.col("source"), F.col("text")).alias("coverage_type"), cut.alias("text"), F.lit(None).cast("string").alias("related_chunk_id"),
+        F.col("source").alias("section_title"), CORPUS.coverage_type(F.col("source"), F.col("text")).alias("coverage_type"), "text", F.lit(None).cast("string").alias("related_chunk_id"),
     )
     hits = found.join(named, "id").drop("id")
     return retrieval.answers(questions.select("query_id", "question"), hits, named.drop("id"))
@@ -556,10 +555,9 @@ def truth_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three documents for each item, by number, as its candidates."""
-    n = R.table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"))
-    found = docs(spark, sf_dir).where("n_chars < 5000").crossJoin(F.broadcast(n))  # one row
-    return found.where("doc_id < 3 * n").select(F.expr("doc_id % n").alias("table_id"), F.expr("doc_id div n").alias("candidate"), "text")
+    """Documents dealt to the items, by number, as their candidates."""
+    n = R.table(spark, sf_dir, "benchmark").count() or 1
+    return docs(spark, sf_dir).select(F.expr(f"doc_id % {n}").alias("table_id"), F.expr(f"doc_id div {n}").alias("candidate"), "text")
 
 
 @query()
@@ -571,7 +569,7 @@ def containment_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RECALL = f"""
     n AS (SELECT count(*) AS n FROM benchmark),
     truth AS (SELECT item_id AS table_id, unnest(list_filter(string_split(text, ' '), lambda w: w <> '')) AS cell FROM benchmark),
-    candidates AS (SELECT doc_id % n AS table_id, doc_id // n AS candidate, text FROM documents, n WHERE n_chars < 5000 AND doc_id < 3 * n),
+    candidates AS (SELECT doc_id % n AS table_id, doc_id // n AS candidate, text FROM documents, n),
     each AS (
         SELECT table_id, candidate, avg(CASE WHEN contains({S.no_space("text")}, {S.no_space("cell")}) THEN 1.0 ELSE 0.0 END) AS recall
         FROM truth JOIN candidates USING (table_id) GROUP BY ALL),

@@ -97,7 +97,7 @@ def test_reports(spark):
     got = {r.table_id: r for r in best.collect()}
     for r in report:
         assert got[r["table_id"]].recall == pytest.approx(r["tt_recall"], abs=1e-3) and got[r["table_id"]].n_candidates == r["tt_num_candidates"]
-    assert reports.matched_share("", "x") == 1.0 and reports.matched_share("x", "") == 0.0
+    assert reports.Matcher().share("", "x") == 1.0 and reports.Matcher().share("x", "") == 0.0
     none = reports.chunk_summary(spark.createDataFrame([], "matched_category string")).first()
     assert none.total == 0 and none.matched_share is None
 
