@@ -11,6 +11,9 @@ bit that differs changes one of them by one, so two fingerprints within the
 radius have count vectors within the radius in the L1 norm. Fingerprints are
 sorted by total count and word counts, so that tiles have narrow ranges.
 
+A fingerprint may have several 64-bit words, of hashes with other seeds, where a
+finer measure is wanted.
+
 Copies are one fingerprint. Within a pair of blocks only links that join two
 parts of a class not yet joined are emitted (a spanning forest), so a group of
 thousands of near copies makes no quadratic output, and no link is lost.
@@ -40,37 +43,48 @@ TILE = 512
 BLOCK_ROWS, MOST_BLOCKS = 8192, 96
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """Lower-cases A-Z, takes ASCII-space-separated words and all shingles, repeats included."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int = 1) -> int:
+    """Lower-cases A-Z, takes ASCII-space-separated words and all shingles, repeats included; 64 bits for each of `words` seeds, from the first on."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
         return 0
-    digest = xxhash.xxh64_digest
-    if len(words) < shingle:
-        grams = [digest(b" ".join(words), seed)]
+    if len(found) < shingle:
+        grams = [b" ".join(found)]
     else:
-        grams = [digest(b" ".join(gram), seed) for gram in zip(*[words[i:] for i in range(shingle)])]
-    votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(grams), 1 << 16):  # bounded memory for texts of any length
-        bits = np.frombuffer(b"".join(grams[at : at + (1 << 16)]), dtype=np.uint8)
-        votes += np.unpackbits(bits.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(grams)).tobytes(), "big")
+        grams = [b" ".join(gram) for gram in zip(*[found[i:] for i in range(shingle)])]
+    digest, out = xxhash.xxh64_digest, b""
+    for k in range(seed, seed + words):
+        votes = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(grams), 1 << 16):  # bounded memory for texts of any length
+            bits = np.frombuffer(b"".join([digest(x, k) for x in grams[at : at + (1 << 16)]]), dtype=np.uint8)
+            votes += np.unpackbits(bits.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out += np.packbits(2 * votes > len(grams)).tobytes()
+    return int.from_bytes(out, "big")
+
+
+def key_columns(words: int) -> list[str]:
+    """Columns of a fingerprint: its first 64 bits, and the others if there are any."""
+    return ["fp"] if words == 1 else ["fp", "more"]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
+    """doc_id and the fingerprint as signed longs for each row."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = np.array([fingerprint(x, shingle, seed) for x in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": found.view(np.int64)})
+            found = b"".join(fingerprint(x, shingle, seed, words).to_bytes(8 * words, "big") for x in pdf["text"])
+            table = np.frombuffer(found, dtype=">i8").astype(np.int64).reshape(-1, words)
+            out = pd.DataFrame({"doc_id": pdf["doc_id"], "fp": table[:, 0]})
+            if words > 1:
+                out["more"] = list(table[:, 1:])
+            yield out
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInPandas(of, "doc_id long, fp long")
+    return kept.mapInPandas(of, "doc_id long, fp long" + (", more array<long>" if words > 1 else ""))
 
 
 def word_counts(fps: np.ndarray) -> np.ndarray:
-    """Population counts of the four 16-bit words of each fingerprint."""
+    """Population counts of the four 16-bit words of each fingerprint's first 64 bits."""
     return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
@@ -85,10 +99,27 @@ def gap(low_a, high_a, low_b, high_b):
     return np.maximum(0, np.maximum(low_a - high_b, low_b - high_a)).sum(axis=-1)
 
 
+def close(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of a and b, fingerprints of one or more 64-bit words, differ in `radius` or fewer bits."""
+    bits = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    if a.shape[1] == 1:
+        return bits <= radius
+    bits = bits.astype(np.uint16) + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
+    near = bits <= radius
+    x, y = np.nonzero(near)
+    if len(x) and a.shape[1] > 2:  # the other words of the few that are left
+        near[x, y] = bits[x, y] + np.bitwise_count(a[x, 2:] ^ b[y, 2:]).sum(axis=1, dtype=np.uint16) <= radius
+    return near
+
+
 def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Links between two sorted blocks (or within one, b None) that form a spanning forest of all of them; indices, b's after a's."""
+    """Links between two sorted blocks (or within one, b None) that form a spanning forest of all of them; indices, b's after a's.
+
+    A block is an array of fingerprints, or a matrix with their 64-bit words.
+    """
     same = b is None
-    b = a if same else b
+    a = a.reshape(len(a), -1)
+    b = a if same else b.reshape(len(b), -1)
     shift = 0 if same else len(a)
     parent = list(range(len(a) + (0 if same else len(b))))
 
@@ -98,7 +129,7 @@ def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tup
             x = parent[x]
         return x
 
-    tiles_a, tiles_b = tiles_of(word_counts(a)), tiles_of(word_counts(b))
+    tiles_a, tiles_b = tiles_of(word_counts(a[:, 0])), tiles_of(word_counts(b[:, 0]))
     low_b, high_b = np.array([t[1] for t in tiles_b]), np.array([t[2] for t in tiles_b])
     forest: list[tuple[int, int]] = []
     for k, (rows, low, high) in enumerate(tiles_a):
@@ -106,7 +137,7 @@ def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tup
             if same and other < k:
                 continue
             columns = tiles_b[other][0]
-            near = np.bitwise_count(a[rows, None] ^ b[None, columns]) <= radius
+            near = close(a[rows], b[columns], radius)
             if same and other == k:
                 near = np.triu(near, 1)
             if not near.any():
@@ -127,8 +158,8 @@ def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tup
     return forest
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """fps: distinct (fp, rep). Returns links (a, b), a > b, between reps, that connect what all links within the radius connect."""
+def links(fps: DataFrame, radius: int = 3, words: int = 1) -> DataFrame:
+    """fps: distinct (fp, rep), and more if there are more words. Returns links (a, b), a > b, between reps, that connect what all links within the radius connect."""
     n = fps.count()
     total = F.bit_count("fp").cast("long")
     word = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(65535)).cast("long")
@@ -147,18 +178,19 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
-        fp, rep = pdf["fp"].to_numpy().tobytes(), pdf["rep"].to_numpy().tobytes()
+        parts = [pdf["fp"].to_numpy()[:, None], *([np.stack(pdf["more"].to_numpy())] if words > 1 else [])]
+        fp, rep = np.hstack(parts).tobytes(), pdf["rep"].to_numpy().tobytes()
         return pd.DataFrame([(p, side, fp, rep) for p, side in partners.get(key[0], [])], columns=["pair", "side", "fp", "rep"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("side")
-        sides = [np.frombuffer(x, dtype=np.uint64) for x in pdf["fp"]]
+        sides = [np.frombuffer(x, dtype=np.uint64).reshape(-1, words) for x in pdf["fp"]]
         reps = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["rep"]])
         found = spanning_links(sides[0], sides[1] if len(sides) > 1 else None, radius)
         ends = reps[np.array(found, dtype=np.int64).reshape(-1, 2)]
         return pd.DataFrame({"a": ends.max(axis=1), "b": ends.min(axis=1)})
 
-    packed = blocked.select("block", "key", "fp", "rep").groupBy("block").applyInPandas(pack, "pair int, side int, fp binary, rep binary")
+    packed = blocked.select("block", "key", *key_columns(words), "rep").groupBy("block").applyInPandas(pack, "pair int, side int, fp binary, rep binary")
     return packed.groupBy("pair").applyInPandas(compare, "a long, b long")
 
 
@@ -186,21 +218,32 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def classes(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of the class) and the fingerprint's columns for each row of docs."""
+    columns = key_columns(words)
+    prints = saved(fingerprints(docs, shingle, seed, words), "fingerprints")
+    fps = saved(prints.groupBy(*columns).agg(F.min("doc_id").alias("rep")), "fps")
+    roots = components(links(fps.where("rep is not null"), radius, words))
+    named = fps.join(roots, fps["rep"] == roots["node"], "left").select(*columns, F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(named, columns)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the class) for each row of docs."""
-    prints = saved(fingerprints(docs, shingle, seed), "fingerprints")
-    fps = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
-    roots = components(links(fps.where("rep is not null"), radius))
-    classes = fps.join(roots, fps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select(
+    """doc_id, fingerprint (16 hex digits), component_id for each row of docs."""
+    return classes(docs, radius, shingle, seed).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+#: Near duplicates by the similarity of five-word shingles. A Jaccard similarity of 0.8 is a cosine of 0.889, at which
+#: 38.8 of 256 bits differ on average with a standard deviation of 5.7; unrelated texts differ in 128 +- 8. This radius
+#: links 98 % of pairs at 0.8, all at 0.85, half at 0.7, 9 % at 0.6 and none of unrelated ones.
+SIMILAR = {"radius": 50, "shingle": 5, "words": 4}
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs, one for each class of near duplicates: its smallest doc_id (of rows that repeat it, the one of the least text)."""
-    classes = near_duplicates(docs, **options)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """Rows of docs, one for each class of near duplicates (as SIMILAR says, unless options do): its smallest doc_id (of rows that repeat it, the one of the least text)."""
+    kept = classes(docs, **(options or SIMILAR)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     row = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", whole_text().alias("text")).join(
         kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id"))
     )

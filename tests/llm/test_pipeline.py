@@ -1,8 +1,15 @@
-"""The pipeline's stages on a small table: what goes, stays and changes."""
+"""The pipeline's stages on a small table, each against a brute-force version of its decisions."""
+
+import re
 
 import corpus_pipeline as P
+import numpy as np
+import sentencepiece
+from lamina.llm import quality as Q
+from lamina.llm import secret_scan as S
+from lamina.llm import simhash_dedup as D
 from lamina.llm.common import saved
-from lamina.llm.sentence_pieces import pieces
+from test_source_mix import brute_targets
 
 
 def test_stages(spark):
@@ -11,11 +18,46 @@ def test_stages(spark):
     seen = [docs]
     for name, stage in P.STAGES:
         seen.append(saved(stage(spark, seen[-1], d), name))
-    for before, after in zip(seen, seen[1:-1]):
+    for after in seen[1:-1]:
         assert after.columns == docs.columns and dict(after.dtypes) == dict(docs.dtypes)
-    ids = [{r.doc_id for r in x.select("doc_id").collect()} for x in seen]
-    assert all(b <= a for a, b in zip(ids, ids[1:])) and ids[2] < ids[1] < ids[0] and ids[3] == ids[2]
-    last = seen[-1].collect()
-    assert len(last) == seen[-2].count() and all(r.exact and len(r.ids) == r.n_ids for r in last)
-    assert pieces(f"{P.TOKENIZERS}/piece_bpe_32k.model").decode(__import__("numpy").array(last[0].ids, dtype="<u4").tobytes())
-    assert P.run(spark, d).count() == len(last)
+    start, good, single, clean, mixed, last = ({r.doc_id: r for r in x.collect()} for x in seen)
+
+    patterns = {i: Q.votes(r.text, r.text.split()) for i, r in start.items()}
+    counts = {p: list(patterns.values()).count(p) for p in set(patterns.values())}
+    likely = Q.posteriors(counts)
+    agree = np.mean([(likely[patterns[i]] >= 0.5) == (i in good) for i in start])
+    assert agree > 0.97 and set(good) < set(start) and all(good[i] == start[i] for i in good)
+
+    prints = {i: D.fingerprint(r.text, 5, 42, 4) for i, r in good.items()}
+    root = {i: i for i in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in prints:
+        for j in prints:
+            if j < i and (prints[i] ^ prints[j]).bit_count() <= D.SIMILAR["radius"]:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert set(single) == {i for i in prints if find(i) == i} and len(single) < len(good)
+
+    assert set(clean) == set(single)
+    for i, r in clean.items():
+        redone = [m for _, p, group, least in S.KINDS for m in re.finditer(p.replace("(?i:", "(?:"), r.text, re.I if group else 0) if len(m[group]) >= least]
+        assert not redone and (r.text == single[i].text or "[SECRET]" in r.text) and r.n_chars == len(r.text)
+
+    size = lambda t: len(t.split())
+    sizes, taken = {}, {}
+    for r in clean.values():
+        sizes[r.source] = sizes.get(r.source, 0) + size(r.text)
+    for r in seen[4].collect():
+        taken[r.source] = taken.get(r.source, 0) + size(r.text)
+    assert all(abs(taken.get(s, 0) - t) <= 1 for s, t in brute_targets(sizes).items()) and set(mixed) <= set(clean)
+
+    library = sentencepiece.SentencePieceProcessor(model_file=f"{P.TOKENIZERS}/piece_bpe_32k.model")
+    texts = sorted((r.doc_id, r.text) for r in seen[4].collect())
+    want = sorted((i, library.encode(t)) for i, t in texts)
+    assert sorted((r.doc_id, list(r.ids)) for r in seen[5].collect()) == want and all(r.exact for r in last.values())
+    assert P.run(spark, d).count() == len(want)

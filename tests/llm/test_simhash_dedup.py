@@ -111,5 +111,40 @@ def test_empty_null_and_repeated_rows(spark):
     rows = spark.createDataFrame([(5, "a b c d", "", 1, ""), (5, "a b c d", "", 1, ""), (None, "a b c d", "", 1, ""), (2, None, "", 1, "")], DOCS)
     got = sorted((r.doc_id or -1, r.component_id) for r in S.near_duplicates(rows).collect())
     assert got == [(-1, 5), (2, 2), (5, 5), (5, 5)]
-    assert sorted(r.doc_id for r in S.one_of_each(rows).collect()) == [2, 5]
+    assert sorted(r.doc_id for r in S.one_of_each(rows).collect()) == [2, 5] == sorted(r.doc_id for r in S.one_of_each(rows, radius=3).collect())
     assert S.one_of_each(rows).columns == rows.columns
+
+
+def test_wide_fingerprints_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(S, "TILE", 16)
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(40):
+        words = rng.choices(vocabulary, k=rng.randint(5, 300))
+        for edits in (0, 0, 1, len(words) // 60, len(words) // 5):
+            copy = list(words)
+            for i in rng.sample(range(len(copy)), min(edits, len(copy))):
+                copy[i] = "edited"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    df = ready(spark).createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    prints = [S.fingerprint(t, 5, 42, 4) for t in texts]
+    assert [p >> 192 for p in prints] == [S.fingerprint(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= S.SIMILAR["radius"]:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = {r.doc_id: r.component_id for r in S.classes(df, **S.SIMILAR).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    kept = {r.doc_id for r in S.one_of_each(df).collect()}
+    assert kept == {find(i) for i in range(len(texts))} and 40 <= len(kept) <= 90
