@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -88,20 +89,23 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         .select("conv_id", "msg", F.col("m").alias("up"), "score"),
         "up",
     )
-    reach = [up]  # up: the ancestor 2**k messages above; score: of the 2**k messages from msg on upwards
+    reach = [up]  # up: the ancestor 2**k messages above; score: of the messages from msg up to it, or to the root if up is null
+    at_root = lambda: reduce(DataFrame.unionByName, [x.where("up is null") for x in reach])
     while reach[-1].where("up is not null").limit(1).count():
-        last = reach[-1]
-        above = last.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("up").alias("next"), F.col("score").alias("more"))
+        open_ended = reach[-1].where("up is not null")  # the others are done, and leave the rounds
+        above = open_ended.unionByName(at_root()).select(
+            F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("up").alias("next"), F.col("score").alias("more")
+        )
         reach.append(
             saved(
-                last.join(above, here & (F.col("up") == F.col("m")), "left").select(
+                open_ended.join(above, here & (F.col("up") == F.col("m")), "left").select(
                     "conv_id", "msg", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")
                 ),
                 "up",
             )
         )
     parents = up.where("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("m")).distinct()
-    leaves = reach[-1].join(parents, here & (F.col("msg") == F.col("m")), "left_anti")
+    leaves = at_root().join(parents, here & (F.col("msg") == F.col("m")), "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "msg")))
     paths = ranked.where(F.col("rank") <= top).select("conv_id", F.col("msg").alias("leaf"), "rank", "msg", F.lit(0).cast("long").alias("place"))
     for k, step in enumerate(reach[:-1]):
