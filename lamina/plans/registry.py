@@ -245,9 +245,10 @@ def page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.page_stats(R.pages(spark, sf_dir))
 
 
-@query(f"WITH {S.RAW} SELECT doc_id, section_title AS title, coverage_type AS coverage_status, CAST(NULL AS BIGINT) AS limit_amount, [chunk_id] AS source_chunk_ids FROM raw WHERE matched_category <> ''")
+@query(f"WITH {S.RAW} SELECT doc_id, section_title AS title, coverage_type AS coverage_status, CAST(NULL AS VARCHAR) AS limit_amount, chunk_id AS source_chunk_ids FROM raw WHERE matched_category <> ''")
 def coverage_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.coverage_items(raw(spark, sf_dir))
+    found = ingest.coverage_items(raw(spark, sf_dir))
+    return found.withColumns({"limit_amount": F.col("limit_amount").cast("string"), "source_chunk_ids": F.array_join("source_chunk_ids", ",")})
 
 
 # Vectors and retrieval
@@ -587,13 +588,13 @@ def recall_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {_RECALL}, a AS (SELECT table_id, avg(recall) AS layout_recall, count(*) AS layout_rows FROM each WHERE candidate = 0 GROUP BY table_id),
     b AS (SELECT table_id, recall AS model_recall FROM best), j AS (SELECT * FROM a JOIN b USING (table_id))
     SELECT table_id, layout_recall, CAST(layout_rows AS DOUBLE) AS layout_rows, model_recall FROM j
-    UNION ALL SELECT NULL, avg(layout_recall), avg(layout_rows), avg(model_recall) FROM j""")
+    UNION ALL SELECT -1, avg(layout_recall), avg(layout_rows), avg(model_recall) FROM j""")
 def recall_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, found = truth_cells(spark, sf_dir), candidate_texts(spark, sf_dir)
     scored = truth.join(found.where("candidate = 0"), "table_id").withColumn("ratio", reports.exact_containment(F.col("cell"), F.col("text")))
     first = reports.recall(scored, ["table_id"]).select("table_id", F.col("recall").alias("layout_recall"), F.lit(1).cast("long").alias("layout_rows"))
     best = reports.best_candidates(truth, found, reports.exact_containment).where("candidate is not null").select("table_id", F.col("recall").alias("model_recall"))
-    return reports.recall_report(first, best)
+    return reports.recall_report(first, best).fillna({"table_id": -1})  # the row of means
 
 
 @query("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1")
