@@ -6,11 +6,12 @@ import atexit
 import math
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import ready
+
 #: ASCII white space of the word rule: a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,15 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where only the driver's path has it."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".strip(":")
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is made only where none is set, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -74,6 +66,14 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About n rows by a hash of key, the same ones at every run; all if there are no more than n. Nothing is sorted or gathered for it."""
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < math.ceil(n / total * (1 << 30)))
+
+
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most buckets - 1 ascending cut points of an integer column; their number does not grow with the data."""
     if buckets < 2:

@@ -4,7 +4,7 @@ Heuristic labellers vote good, bad or nothing on each text. How often each
 pattern of votes occurs is counted over all documents, and
 expectation-maximisation over those counts estimates each labeller's accuracy
 on good texts and on each kind of bad ones, and so the posterior of each pattern. The posteriors of
-SAMPLE documents (the smallest hashes of doc_id) train a logistic scorer over
+about SAMPLE documents, chosen by hash of doc_id, train a logistic scorer over
 hashed shapes of words, which then scores every whole text.
 
 No given label is used.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import hash_sample, saved, whole_text
 
 BUCKETS, SAMPLE = 1024, 6000
 ROUNDS, STEPS, RATE, SHRINK = 200, 600, 0.5, 1e-5
@@ -186,7 +186,7 @@ def train(seen: DataFrame) -> np.ndarray:
         x = np.array([dense(t) for t in rows["terms"]], dtype=np.float64).reshape(-1, BUCKETS)
         yield pd.DataFrame({"w": [fit(x, np.array([good[p] for p in rows["pattern"]])).tolist()]})
 
-    sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(SAMPLE)
+    sample = hash_sample(seen, "doc_id", SAMPLE).limit(2 * SAMPLE)
     models = sample.repartition(1).mapInPandas(learn, "w array<double>").collect()  # of the sample
     return np.array(models[0]["w"]) if models else np.zeros(BUCKETS + 1)
 

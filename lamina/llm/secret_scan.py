@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models (DataFrame operations only).
 
 Base patterns give the labelled samples: what they find are strings known to be
-random, counted over all documents; shorter words outside them, of TRAIN_DOCS
-documents chosen by hash, are ordinary identifiers. Both classes get first-order Markov
+random, counted over all documents; shorter words outside them, of about
+TRAIN_DOCS documents chosen by hash, are ordinary identifiers. Both classes get first-order Markov
 models over characters, smoothed by the class's character frequencies. Every
 further run of 16 or more key characters is then scored by the log-likelihood
 ratio of the two models and is a span of kind `markov` if that reaches THRESHOLD
@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import hash_sample, whole_text
 
 # The base kinds in order, their patterns, the group that is measured and its least length.
 KINDS = (
@@ -116,7 +116,7 @@ def _codes(token: Column) -> Column:
 def train(scanned: DataFrame) -> list[float]:
     """Log-likelihood ratio (random : ordinary) of each pair of neighbouring characters, row by row of the first."""
     random = scanned.where(F.size("base") > 0).select(F.explode("base.value").alias("token"), F.lit(1).alias("random"))
-    sample = scanned.select("doc_id", "text", "base").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    sample = hash_sample(scanned.select("doc_id", "text", "base"), "doc_id", TRAIN_DOCS)
     cleaned = F.aggregate(F.col("base"), F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(" ")))
     words = F.explode(F.regexp_extract_all(cleaned, F.lit(IDENTIFIER), F.lit(0))).alias("token")
     ordinary = sample.select(words, F.lit(0).alias("random"))

@@ -5,9 +5,9 @@ and their five-letter beginnings, hashed. The machine adds to the linear weights
 the inner products of the factors of each pair of terms that occur together, so
 that, say, an insult counts for more beside the mention of a group.
 
-It is trained on SAMPLE labelled documents at most, those with the smallest hash
-of doc_id, whose ids and labels are the only thing broadcast. Of their terms
-those are kept whose chi-squared statistic against the label is CHI or more (the
+It is trained on about SAMPLE labelled documents, chosen by hash of doc_id, whose
+ids and labels are the only thing broadcast (rows that repeat one of these ids:
+4 * SAMPLE in all at most). Of their terms those are kept whose chi-squared statistic against the label is CHI or more (the
 largest TERMS of them), so long texts don't drown in words that tell nothing.
 Every whole text is then scored.
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import hash_sample, whole_text
 
 BITS = 20
 SAMPLE, TERMS, CHI = 20_000, 4096, 12.0
@@ -142,11 +142,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> bytes:
     """A machine from labelled rows outside the held-out fold."""
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = (
-        told.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").cast("int").alias("label"))
-        .orderBy(F.xxhash64("labelled"), "labelled").limit(SAMPLE)
-    )
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))  # SAMPLE rows of two numbers
+    by_id = told.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").cast("int").alias("label"))
+    sample = hash_sample(by_id, "labelled", SAMPLE).limit(2 * SAMPLE)
+    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))  # 2 * SAMPLE rows of two numbers at most
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -158,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame) -> bytes:
         yield pd.DataFrame({"model": [machine.dump()]})
 
     found = texts.select("doc_id", "label", "text").mapInPandas(hashed, "doc_id long, label int, terms binary")
-    models = found.repartition(1).mapInPandas(learn, "model binary").collect()  # of the sample
+    models = found.limit(4 * SAMPLE).repartition(1).mapInPandas(learn, "model binary").collect()  # of the sample
     return bytes(models[0]["model"]) if models else fit([], np.zeros(0)).dump()
 
 
