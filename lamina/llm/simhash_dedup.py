@@ -62,6 +62,23 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int =
     return int.from_bytes(out, "big")
 
 
+#: The Jaccard similarity of near duplicates' shingle sets, as a fraction.
+LEAST = (4, 5)
+
+
+def may_reach(common, union):
+    """Whether so many common shingles of so many are a similarity of LEAST."""
+    return LEAST[1] * common >= LEAST[0] * union
+
+
+def gram_set(text: str | None, shingle: int) -> set[bytes]:
+    """The distinct shingles of fingerprint()."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(found) < shingle:
+        return {b" ".join(found)} if found else set()
+    return set(map(b" ".join, zip(*[found[i:] for i in range(shingle)])))
+
+
 def key_columns(words: int) -> list[str]:
     """Columns of a fingerprint: its first 64 bits, and the others if there are any."""
     return ["fp"] if words == 1 else ["fp", "more"]
@@ -112,10 +129,14 @@ def close(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return near
 
 
-def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+def spanning_links(
+    a: np.ndarray, b: np.ndarray | None, radius: int, sizes: tuple | None = None, parts: tuple | None = None
+) -> list[tuple[int, int]]:
     """Links between two sorted blocks (or within one, b None) that form a spanning forest of all of them; indices, b's after a's.
 
-    A block is an array of fingerprints, or a matrix with their 64-bit words.
+    A block is an array of fingerprints, or a matrix with their 64-bit words. With sizes of a's and b's shingle sets, links
+    whose sizes alone rule out a Jaccard similarity of LEAST are none. With parts of a's and b's, all links between different
+    parts are returned.
     """
     same = b is None
     a = a.reshape(len(a), -1)
@@ -142,6 +163,13 @@ def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tup
                 near = np.triu(near, 1)
             if not near.any():
                 continue
+            if sizes:
+                x, y = sizes[0][rows][:, None], sizes[-1][columns][None, :]
+                near &= may_reach(np.minimum(x, y), np.maximum(x, y))
+            if parts:
+                near &= parts[0][rows][:, None] != parts[-1][columns][None, :]
+                forest += [(rows.start + int(x), columns.start + int(y) + shift) for x, y in zip(*np.nonzero(near), strict=True)]
+                continue
             while True:  # links inside a part already joined drop out at once
                 of_rows = np.array([root(x) for x in range(rows.start, rows.stop)])
                 of_columns = np.array([root(x + shift) for x in range(columns.start, columns.stop)])
@@ -159,8 +187,13 @@ def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tup
 
 
 def links(fps: DataFrame, radius: int = 3, words: int = 1) -> DataFrame:
-    """fps: distinct (fp, rep), and more if there are more words. Returns links (a, b), a > b, between reps, that connect what all links within the radius connect."""
+    """fps: distinct (fp, rep), and more if there are more words. Returns links (a, b), a > b, between reps, that connect what all links within the radius connect.
+
+    With a column n_grams, only links whose sets' sizes allow a Jaccard similarity of LEAST count. With a column part, all links
+    between different parts are returned.
+    """
     n = fps.count()
+    extra = [c for c in ("n_grams", "part") if c in fps.columns]
     total = F.bit_count("fp").cast("long")
     word = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(65535)).cast("long")
     tail = F.shiftrightunsigned(F.xxhash64("fp"), 44)
@@ -180,17 +213,21 @@ def links(fps: DataFrame, radius: int = 3, words: int = 1) -> DataFrame:
         pdf = pdf.sort_values("key")
         parts = [pdf["fp"].to_numpy()[:, None], *([np.stack(pdf["more"].to_numpy())] if words > 1 else [])]
         fp, rep = np.hstack(parts).tobytes(), pdf["rep"].to_numpy().tobytes()
-        return pd.DataFrame([(p, side, fp, rep) for p, side in partners.get(key[0], [])], columns=["pair", "side", "fp", "rep"])
+        more = [pdf[c].to_numpy(dtype=np.int64).tobytes() for c in extra]
+        return pd.DataFrame([(p, side, fp, rep, *more) for p, side in partners.get(key[0], [])], columns=["pair", "side", "fp", "rep", *extra])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("side")
         sides = [np.frombuffer(x, dtype=np.uint64).reshape(-1, words) for x in pdf["fp"]]
         reps = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["rep"]])
-        found = spanning_links(sides[0], sides[1] if len(sides) > 1 else None, radius)
+        sizes, parts = (tuple(np.frombuffer(x, dtype=np.int64) for x in pdf[c]) if c in extra else None for c in ("n_grams", "part"))
+        found = spanning_links(sides[0], sides[1] if len(sides) > 1 else None, radius, sizes, parts)
         ends = reps[np.array(found, dtype=np.int64).reshape(-1, 2)]
         return pd.DataFrame({"a": ends.max(axis=1), "b": ends.min(axis=1)})
 
-    packed = blocked.select("block", "key", *key_columns(words), "rep").groupBy("block").applyInPandas(pack, "pair int, side int, fp binary, rep binary")
+    packed = blocked.select("block", "key", *key_columns(words), "rep", *extra).groupBy("block").applyInPandas(
+        pack, "pair int, side int, fp binary, rep binary" + "".join(f", {c} binary" for c in extra)
+    )
     return packed.groupBy("pair").applyInPandas(compare, "a long, b long")
 
 
@@ -248,3 +285,75 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
         kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id"))
     )
     return row.groupBy("doc_id").agg(F.min_by("doc", "text").alias("doc")).select("doc.*")
+
+
+def set_prints(docs: DataFrame, shingle: int, seed: int, words: int) -> DataFrame:
+    """doc_id, digest (of the text), grams_key (of the set of shingles), n_grams and the fingerprint's columns for each row."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [gram_set(x, shingle) for x in pdf["text"]]
+            found = b"".join(fingerprint(x, shingle, seed, words).to_bytes(8 * words, "big") for x in pdf["text"])
+            table = np.frombuffer(found, dtype=">i8").astype(np.int64).reshape(-1, words)
+            keys = [xxhash.xxh3_128_digest(b"\n".join(sorted(x))) for x in sets]
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "digest": pdf["digest"], "grams_key": keys, "n_grams": [len(x) for x in sets],
+                "fp": table[:, 0], "more": list(table[:, 1:]),
+            })
+
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(whole_text()).alias("digest"))
+    return kept.mapInPandas(of, "doc_id long, digest string, grams_key binary, n_grams long, fp long, more array<long>")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Those of pairs (a, b) of nodes (rep, digest) whose shingle sets have a Jaccard similarity of LEAST."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, theirs = None, set()
+        for pdf in batches:
+            kept = []
+            for a, b, text, other in zip(pdf["a"], pdf["b"], pdf["text"], pdf["other"], strict=True):
+                if b != last:
+                    last, theirs = b, gram_set(other, shingle)
+                mine = gram_set(text, shingle)
+                common = len(mine & theirs)
+                if may_reach(common, len(mine) + len(theirs) - common):
+                    kept.append((a, b))
+            yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(nodes.select("rep", "digest"), "rep")
+    told = docs.select(F.md5(whole_text()).alias("digest"), whole_text().alias("text")).join(asked, "digest")
+    texts = saved(told.groupBy("rep").agg(F.first("text").alias("text")), "texts")
+    both = pairs.join(texts.withColumnRenamed("rep", "a"), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("other")), "b")
+    return both.select("a", "b", "text", "other").mapInPandas(check, "a long, b long")
+
+
+def one_of_similar(docs: DataFrame, radius: int = 50, shingle: int = 5, seed: int = 42, words: int = 4) -> DataFrame:
+    """Rows of docs, one for each class of texts that pairs of a Jaccard similarity of LEAST between their sets of shingles chain.
+
+    Fingerprints search for the pairs; each pair counts by its exact similarity only. First those of a spanning forest are
+    held against it; then all pairs between classes that these leave apart, so that no similar pair hides behind another
+    one, and a group of near copies, which is one class by then, makes no quadratic output.
+    """
+    prints = saved(set_prints(docs, shingle, seed, words), "set-prints")
+    columns = ["grams_key", "n_grams", *key_columns(words)]
+    nodes = saved(prints.groupBy(*columns).agg(F.min("digest").alias("digest")).withColumn("rep", F.monotonically_increasing_id()), "nodes")
+    long = nodes.select("rep", "n_grams", *key_columns(words))
+    first = saved(links(long, radius, words).distinct(), "candidates")
+    stars = components(verified(first, nodes, docs, shingle)).withColumnsRenamed({"node": "a", "root": "b"})
+    parted = long.join(stars.withColumnRenamed("a", "rep"), "rep", "left").withColumn("part", F.coalesce("b", "rep")).drop("b")
+    others = saved(links(saved(parted, "parted"), radius, words).join(first, ["a", "b"], "left_anti"), "candidates")
+    roots = components(stars.unionByName(verified(others, nodes, docs, shingle)))
+    named = nodes.select("grams_key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("grams_key", F.coalesce("root", "rep").alias("root"))
+    return first_rows(docs, prints.select("doc_id", "digest", "grams_key").join(named, "grams_key"))
+
+
+def first_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of docs, one for each root of members (doc_id, digest of the text, root): that of the smallest doc_id, then of the least digest; null doc_ids come last."""
+    kept = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    row = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(whole_text()).alias("digest"), order.alias("order"))
+    found = row.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    return found.groupBy("doc_id", "digest").agg(F.min_by("doc", "order").alias("doc")).select("doc.*")

@@ -148,3 +148,55 @@ def test_wide_fingerprints_against_brute_force(spark, monkeypatch):
     assert got == {i: find(i) for i in range(len(texts))}
     kept = {r.doc_id for r in S.one_of_each(df).collect()}
     assert kept == {find(i) for i in range(len(texts))} and 40 <= len(kept) <= 90
+
+
+def gram_sets(texts, size=5):
+    split = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in split]
+
+
+def similar_classes(texts):
+    """The smallest index of each text's class, by exact Jaccard similarity of 0.8."""
+    sets, root = gram_sets(texts), list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(words, n, rng):
+    """Words with n of them, apart from each other, replaced."""
+    copy = list(words)
+    for at in range(n):
+        copy[at * len(copy) // n + 3] = f"new{rng.random()}"
+    return copy
+
+
+def similar_rows(spark, texts):
+    df = ready(spark).createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id for r in S.one_of_similar(df).collect()}
+
+
+def test_only_similar_texts_are_one_class(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(S, "TILE", 16)
+    rng = random.Random(3)
+    texts = []
+    for _ in range(30):  # 300 words: five edits are a similarity of 0.84, eight one of 0.76, which many fingerprints link
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(edited(words, n, rng)) for n in (1, 1, 5, 8, 8, 10)]
+    rng.shuffle(texts)
+    want = set(similar_classes(texts))
+    prints = [S.fingerprint(t, 5, 42, 4) for t in texts]
+    sets = gram_sets(texts)
+    false = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 50 and 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j])]
+    assert len(false) > 10
+    assert similar_rows(spark, texts) == want
