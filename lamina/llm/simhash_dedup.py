@@ -46,12 +46,15 @@ BLOCK_ROWS, MOST_BLOCKS = 8192, 96
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int = 1) -> int:
     """Lower-cases A-Z, takes ASCII-space-separated words and all shingles, repeats included; 64 bits for each of `words` seeds, from the first on."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
     if len(found) < shingle:
-        grams = [b" ".join(found)]
-    else:
-        grams = [b" ".join(gram) for gram in zip(*[found[i:] for i in range(shingle)])]
+        return votes_of([b" ".join(found)] if found else [], seed, words)
+    return votes_of([b" ".join(gram) for gram in zip(*[found[i:] for i in range(shingle)])], seed, words)
+
+
+def votes_of(grams: list[bytes], seed: int, words: int) -> int:
+    """The fingerprint that these shingles vote for; zero if there are none."""
+    if not grams:
+        return 0
     digest, out = xxhash.xxh64_digest, b""
     for k in range(seed, seed + words):
         votes = np.zeros(64, dtype=np.int64)
@@ -288,12 +291,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def set_prints(docs: DataFrame, shingle: int, seed: int, words: int) -> DataFrame:
-    """doc_id, digest (of the text), grams_key (of the set of shingles), n_grams and the fingerprint's columns for each row."""
+    """doc_id, digest (of the text), grams_key (of the set of shingles), n_grams and the columns of the fingerprint, for which each distinct shingle votes once."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [gram_set(x, shingle) for x in pdf["text"]]
-            found = b"".join(fingerprint(x, shingle, seed, words).to_bytes(8 * words, "big") for x in pdf["text"])
+            found = b"".join(votes_of(list(x), seed, words).to_bytes(8 * words, "big") for x in sets)
             table = np.frombuffer(found, dtype=">i8").astype(np.int64).reshape(-1, words)
             keys = [xxhash.xxh3_128_digest(b"\n".join(sorted(x))) for x in sets]
             yield pd.DataFrame({

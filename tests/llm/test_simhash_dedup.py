@@ -200,3 +200,19 @@ def test_only_similar_texts_are_one_class(spark, monkeypatch):
     false = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 50 and 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j])]
     assert len(false) > 10
     assert similar_rows(spark, texts) == want
+
+
+def test_repeated_lines_neither_link_nor_part_texts(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, texts = fresh(12), []
+    for _ in range(20):  # different texts that share a line, ten times
+        texts.append(" ".join(fresh(100) + line * 10))
+    for _ in range(20):  # a text, and with its last words ten times
+        words = fresh(300)
+        texts += [" ".join(words), " ".join(words + words[-12:] * 10)]
+    want = similar_classes(texts)
+    assert len(set(want)) == 40
+    assert similar_rows(spark, texts) == set(want)
+    prints = [S.votes_of(list(S.gram_set(t, 5)), 42, 4) for t in texts]
+    assert all((prints[i] ^ prints[j]).bit_count() > 50 for i in range(20) for j in range(i))
