@@ -87,8 +87,8 @@ def key_columns(words: int) -> list[str]:
     return ["fp"] if words == 1 else ["fp", "more"]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
-    """doc_id and the fingerprint as signed longs for each row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, words: int = 1, digest: bool = False) -> DataFrame:
+    """doc_id and the fingerprint as signed longs for each row, and the text's digest if asked for."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -97,10 +97,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, words: int =
             out = pd.DataFrame({"doc_id": pdf["doc_id"], "fp": table[:, 0]})
             if words > 1:
                 out["more"] = list(table[:, 1:])
+            if digest:
+                out["digest"] = pdf["digest"]
             yield out
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInPandas(of, "doc_id long, fp long" + (", more array<long>" if words > 1 else ""))
+    kept = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.md5(whole_text()).alias("digest")] if digest else [])
+    )
+    return kept.mapInPandas(of, "doc_id long, fp long" + (", more array<long>" if words > 1 else "") + (", digest string" if digest else ""))
 
 
 def word_counts(fps: np.ndarray) -> np.ndarray:
@@ -258,14 +262,16 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def classes(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
-    """doc_id, component_id (smallest doc_id of the class) and the fingerprint's columns for each row of docs."""
+def classes(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, words: int = 1, digest: bool = False) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of the class), root (the class's own key) and the fingerprint's columns for each row of docs; the text's digest if asked for."""
     columns = key_columns(words)
-    prints = saved(fingerprints(docs, shingle, seed, words), "fingerprints")
-    fps = saved(prints.groupBy(*columns).agg(F.min("doc_id").alias("rep")), "fps")
-    roots = components(links(fps.where("rep is not null"), radius, words))
-    named = fps.join(roots, fps["rep"] == roots["node"], "left").select(*columns, F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, columns)
+    prints = saved(fingerprints(docs, shingle, seed, words, digest), "fingerprints")
+    fps = prints.groupBy(*columns).agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id())
+    fps = saved(fps, "fps")
+    roots = components(links(fps.where("least is not null").drop("least"), radius, words))
+    named = fps.join(roots, fps["rep"] == roots["node"], "left").select(*columns, "least", F.coalesce("root", "rep").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(named.drop("least").join(ids, "root"), columns)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -282,12 +288,8 @@ SIMILAR = {"radius": 50, "shingle": 5, "words": 4}
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs, one for each class of near duplicates (as SIMILAR says, unless options do): its smallest doc_id (of rows that repeat it, the one of the least text)."""
-    kept = classes(docs, **(options or SIMILAR)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    row = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", whole_text().alias("text")).join(
-        kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    )
-    return row.groupBy("doc_id").agg(F.min_by("doc", "text").alias("doc")).select("doc.*")
+    """Rows of docs, one for each class of near duplicates by fingerprints alone (as SIMILAR says, unless options do), as first_rows chooses."""
+    return first_rows(docs, classes(docs, digest=True, **(options or SIMILAR)))
 
 
 def set_prints(docs: DataFrame, shingle: int, seed: int, words: int) -> DataFrame:

@@ -216,3 +216,14 @@ def test_repeated_lines_neither_link_nor_part_texts(spark):
     assert similar_rows(spark, texts) == set(want)
     prints = [S.votes_of(list(S.gram_set(t, 5)), 42, 4) for t in texts]
     assert all((prints[i] ^ prints[j]).bit_count() > 50 for i in range(20) for j in range(i))
+
+
+def test_rows_without_own_doc_id_keep_one_of_each_class(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(8)]
+    ids = [None, None, None, 7, 7, 1, None, 7]
+    rows = [(i, t, {"k": n}) for n, (i, t) in enumerate(zip([*ids, None, 3, None], [*texts, texts[0], texts[1], ""], strict=True))]
+    docs = ready(spark).createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    want = sorted([(-1, texts[0]), (3, texts[1]), (-1, texts[2]), (7, texts[3]), (7, texts[4]), (1, texts[5]), (-1, texts[6]), (7, texts[7]), (-1, "")])
+    for one in (S.one_of_each(docs), S.one_of_similar(docs)):
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in one.collect()) == want and one.columns == docs.columns
