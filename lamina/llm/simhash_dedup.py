@@ -69,6 +69,10 @@ def votes_of(grams: list[bytes], seed: int, words: int) -> int:
 LEAST = (4, 5)
 
 
+#: Sets of fewer shingles are compared as they are, with the larger ones that they can be similar to: a fingerprint of few votes says little.
+SHORT = 20
+
+
 def may_reach(common, union):
     """Whether so many common shingles of so many are a similarity of LEAST."""
     return LEAST[1] * common >= LEAST[0] * union
@@ -136,6 +140,31 @@ def close(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return near
 
 
+def joined(near: np.ndarray, row: int, column: int, parent: list[int]) -> list[tuple[int, int]]:
+    """Links of a tile, whose first pair is (row, column), that join parts of parent not yet joined; joins them."""
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found: list[tuple[int, int]] = []
+    while True:  # links inside a part already joined drop out at once
+        of_rows = np.array([root(row + x) for x in range(near.shape[0])])
+        of_columns = np.array([root(column + y) for y in range(near.shape[1])])
+        near &= of_rows[:, None] != of_columns[None, :]
+        open_rows = np.flatnonzero(near.any(axis=1))
+        if not len(open_rows):
+            return found
+        for x, y in zip(open_rows, near[open_rows].argmax(axis=1), strict=True):
+            i, j = row + int(x), column + int(y)
+            p, q = root(i), root(j)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                found.append((i, j))
+
+
 def spanning_links(
     a: np.ndarray, b: np.ndarray | None, radius: int, sizes: tuple | None = None, parts: tuple | None = None
 ) -> list[tuple[int, int]]:
@@ -150,13 +179,6 @@ def spanning_links(
     b = a if same else b.reshape(len(b), -1)
     shift = 0 if same else len(a)
     parent = list(range(len(a) + (0 if same else len(b))))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     tiles_a, tiles_b = tiles_of(word_counts(a[:, 0])), tiles_of(word_counts(b[:, 0]))
     low_b, high_b = np.array([t[1] for t in tiles_b]), np.array([t[2] for t in tiles_b])
     forest: list[tuple[int, int]] = []
@@ -177,19 +199,7 @@ def spanning_links(
                 near &= parts[0][rows][:, None] != parts[-1][columns][None, :]
                 forest += [(rows.start + int(x), columns.start + int(y) + shift) for x, y in zip(*np.nonzero(near), strict=True)]
                 continue
-            while True:  # links inside a part already joined drop out at once
-                of_rows = np.array([root(x) for x in range(rows.start, rows.stop)])
-                of_columns = np.array([root(x + shift) for x in range(columns.start, columns.stop)])
-                near &= of_rows[:, None] != of_columns[None, :]
-                open_rows = np.flatnonzero(near.any(axis=1))
-                if not len(open_rows):
-                    break
-                for x, y in zip(open_rows, near[open_rows].argmax(axis=1), strict=True):
-                    i, j = rows.start + int(x), columns.start + int(y) + shift
-                    p, q = root(i), root(j)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        forest.append((i, j))
+            forest += joined(near, rows.start, columns.start + shift, parent)
     return forest
 
 
@@ -293,7 +303,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def set_prints(docs: DataFrame, shingle: int, seed: int, words: int) -> DataFrame:
-    """doc_id, digest (of the text), grams_key (of the set of shingles), n_grams and the columns of the fingerprint, for which each distinct shingle votes once."""
+    """doc_id, digest (of the text), grams_key (of the set of shingles), n_grams, the columns of the fingerprint, for which each distinct shingle votes once, and the shingles' hashes of short texts."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -304,10 +314,40 @@ def set_prints(docs: DataFrame, shingle: int, seed: int, words: int) -> DataFram
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "digest": pdf["digest"], "grams_key": keys, "n_grams": [len(x) for x in sets],
                 "fp": table[:, 0], "more": list(table[:, 1:]),
+                "grams": [[xxhash.xxh64_intdigest(g, seed) - (1 << 63) for g in x] if may_reach(SHORT - 1, len(x)) else None for x in sets],
             })
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(whole_text()).alias("digest"))
-    return kept.mapInPandas(of, "doc_id long, digest string, grams_key binary, n_grams long, fp long, more array<long>")
+    return kept.mapInPandas(of, "doc_id long, digest string, grams_key binary, n_grams long, fp long, more array<long>, grams array<long>")
+
+
+def short_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, that connect what pairs of short sets (rep, n_grams, grams) of a similarity of LEAST connect.
+
+    Two such sets share one of their n // 5 + 1 rarest shingles (for 4/5): sets meet by these, rare ones first so that few meet.
+    """
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        sets, reps, step = pdf["grams"].tolist(), pdf["rep"].to_numpy(), 256
+        sizes, parent, found = np.array([len(x) for x in sets]), list(range(len(sets))), []
+        for i in range(0, len(sets), step):
+            left = np.unique(np.concatenate(sets[i : i + step]))
+            has = lambda j, left=left: np.array([np.isin(left, x) for x in sets[j : j + step]], dtype=np.float32)
+            mine = has(i)
+            for j in range(i, len(sets), step):
+                common = (mine @ has(j).T).astype(np.int64)
+                near = may_reach(common, sizes[i : i + step, None] + sizes[None, j : j + step] - common)
+                found += joined(np.triu(near, 1) if i == j else near, i, j, parent)
+        ends = reps[np.array(found, dtype=np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"a": ends.max(axis=1), "b": ends.min(axis=1)})
+
+    each = nodes.where("grams is not null").select("rep", F.explode("grams").alias("gram"))
+    ranked = each.join(each.groupBy("gram").count(), "gram").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("all"))
+    size = F.size("all")
+    first = F.slice("all", 1, (size - F.ceil(size * LEAST[0] / LEAST[1]) + 1).cast("int"))
+    met = ranked.select("rep", F.col("all.gram").alias("grams"), F.explode(first).alias("one")).where("one.count > 1")
+    return met.select("rep", "grams", F.col("one.gram").alias("gram")).groupBy("gram").applyInPandas(compare, "a long, b long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -336,16 +376,18 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
 def one_of_similar(docs: DataFrame, radius: int = 50, shingle: int = 5, seed: int = 42, words: int = 4) -> DataFrame:
     """Rows of docs, one for each class of texts that pairs of a Jaccard similarity of LEAST between their sets of shingles chain.
 
-    Fingerprints search for the pairs; each pair counts by its exact similarity only. First those of a spanning forest are
+    Short texts' sets are compared exactly. Of the others, fingerprints search for the pairs; each pair counts by its exact similarity only. First those of a spanning forest are
     held against it; then all pairs between classes that these leave apart, so that no similar pair hides behind another
     one, and a group of near copies, which is one class by then, makes no quadratic output.
     """
     prints = saved(set_prints(docs, shingle, seed, words), "set-prints")
     columns = ["grams_key", "n_grams", *key_columns(words)]
-    nodes = saved(prints.groupBy(*columns).agg(F.min("digest").alias("digest")).withColumn("rep", F.monotonically_increasing_id()), "nodes")
-    long = nodes.select("rep", "n_grams", *key_columns(words))
+    nodes = prints.groupBy(*columns).agg(F.min("digest").alias("digest"), F.first("grams").alias("grams"))
+    nodes = saved(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
+    long = nodes.where(F.col("n_grams") >= SHORT).select("rep", "n_grams", *key_columns(words))
     first = saved(links(long, radius, words).distinct(), "candidates")
-    stars = components(verified(first, nodes, docs, shingle)).withColumnsRenamed({"node": "a", "root": "b"})
+    sure = verified(first, nodes, docs, shingle).unionByName(short_links(nodes))
+    stars = components(sure).withColumnsRenamed({"node": "a", "root": "b"})
     parted = long.join(stars.withColumnRenamed("a", "rep"), "rep", "left").withColumn("part", F.coalesce("b", "rep")).drop("b")
     others = saved(links(saved(parted, "parted"), radius, words).join(first, ["a", "b"], "left_anti"), "candidates")
     roots = components(stars.unionByName(verified(others, nodes, docs, shingle)))

@@ -227,3 +227,18 @@ def test_rows_without_own_doc_id_keep_one_of_each_class(spark):
     want = sorted([(-1, texts[0]), (3, texts[1]), (-1, texts[2]), (7, texts[3]), (7, texts[4]), (1, texts[5]), (-1, texts[6]), (7, texts[7]), (-1, "")])
     for one in (S.one_of_each(docs), S.one_of_similar(docs)):
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in one.collect()) == want and one.columns == docs.columns
+
+
+def test_short_texts_by_their_exact_sets(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, texts = fresh(9), ["", "", None]
+    texts += [" ".join(fresh(rng.choice((1, 4, 5, 6, 6, 6, 7)))) for _ in range(500)]
+    for n in (8, 9, 12, 17, 23):
+        for _ in range(40):
+            words = fresh(n)
+            texts += [" ".join(x) for x in (words, [*words, "more"], [*words, *fresh(n // 6 + 1)])]
+    texts += [" ".join([*line, *fresh(k % 4)]) for k in range(300)]  # a common line
+    rng.shuffle(texts)
+    want = similar_classes(texts)
+    assert similar_rows(spark, texts) == set(want) and len(set(want)) < len(texts) - 240
