@@ -23,6 +23,10 @@ zero, which links like any other; a text of fewer words than a shingle is one
 shingle. Repeated rows each get their row. Null doc_id: kept, and named by the
 smallest other doc_id of its class (null if there is none). Empty table: empty
 result. Other columns are not read.
+
+The pipeline's stage (one_of_similar) goes further: fingerprints, for which each
+distinct shingle votes once, only search for pairs there, and a pair counts by the
+exact similarity of its sets of shingles; short texts' sets are compared directly.
 """
 
 from __future__ import annotations
@@ -278,7 +282,7 @@ def classes(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42,
     prints = saved(fingerprints(docs, shingle, seed, words, digest), "fingerprints")
     fps = prints.groupBy(*columns).agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id())
     fps = saved(fps, "fps")
-    roots = components(links(fps.where("least is not null").drop("least"), radius, words))
+    roots = components(links(fps.drop("least"), radius, words))
     named = fps.join(roots, fps["rep"] == roots["node"], "left").select(*columns, "least", F.coalesce("root", "rep").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(named.drop("least").join(ids, "root"), columns)

@@ -242,3 +242,13 @@ def test_short_texts_by_their_exact_sets(spark):
     rng.shuffle(texts)
     want = similar_classes(texts)
     assert similar_rows(spark, texts) == set(want) and len(set(want)) < len(texts) - 240
+
+
+def test_rows_without_doc_id_link_others(spark, monkeypatch):
+    prints = {"a": 0, "b": 0b111, "c": 0b111111, "far": (1 << 64) - 1, "farther": (1 << 64) - 2}
+    monkeypatch.setattr(S, "fingerprints", lambda docs, *_: docs.select("doc_id", "fp"))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(4, prints["a"]), (None, prints["b"]), (2, prints["c"]), (None, prints["far"]), (None, prints["farther"])]
+    docs = ready(spark).createDataFrame([(i, signed(p)) for i, p in rows], "doc_id long, fp long")
+    got = sorted((r.fp, r.component_id) for r in S.classes(docs).collect())
+    assert got == [(-2, None), (-1, None), (0, 2), (7, 2), (63, 2)]
