@@ -309,16 +309,19 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 def set_prints(docs: DataFrame, shingle: int, seed: int, words: int) -> DataFrame:
     """doc_id, digest (of the text), grams_key (of the set of shingles), n_grams, the columns of the fingerprint, for which each distinct shingle votes once, and the shingles' hashes of short texts."""
 
+    def of_text(text: str) -> tuple[bytes, int, bytes, list[int] | None]:
+        grams = gram_set(text, shingle)
+        hashes = [xxhash.xxh64_intdigest(g, seed) - (1 << 63) for g in grams] if may_reach(SHORT - 1, len(grams)) else None
+        key = xxhash.xxh3_128_digest(b"\n".join(sorted(grams)))
+        return key, len(grams), votes_of(list(grams), seed, words).to_bytes(8 * words, "big"), hashes
+
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [gram_set(x, shingle) for x in pdf["text"]]
-            found = b"".join(votes_of(list(x), seed, words).to_bytes(8 * words, "big") for x in sets)
-            table = np.frombuffer(found, dtype=">i8").astype(np.int64).reshape(-1, words)
-            keys = [xxhash.xxh3_128_digest(b"\n".join(sorted(x))) for x in sets]
+        for pdf in batches:  # one text's set at a time: a batch's would fill the memory
+            keys, sizes, found, grams = zip(*map(of_text, pdf["text"]), strict=True) if len(pdf) else ([], [], [], [])
+            table = np.frombuffer(b"".join(found), dtype=">i8").astype(np.int64).reshape(-1, words)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "digest": pdf["digest"], "grams_key": keys, "n_grams": [len(x) for x in sets],
-                "fp": table[:, 0], "more": list(table[:, 1:]),
-                "grams": [[xxhash.xxh64_intdigest(g, seed) - (1 << 63) for g in x] if may_reach(SHORT - 1, len(x)) else None for x in sets],
+                "doc_id": pdf["doc_id"], "digest": pdf["digest"], "grams_key": keys, "n_grams": sizes,
+                "fp": table[:, 0], "more": list(table[:, 1:]), "grams": grams,
             })
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(whole_text()).alias("digest"))
