@@ -186,7 +186,7 @@ def train(seen: DataFrame) -> np.ndarray:
         x = np.array([dense(t) for t in rows["terms"]], dtype=np.float64).reshape(-1, BUCKETS)
         yield pd.DataFrame({"w": [fit(x, np.array([good[p] for p in rows["pattern"]])).tolist()]})
 
-    sample = hash_sample(seen, "doc_id", SAMPLE).limit(2 * SAMPLE)
+    sample = hash_sample(seen, ["doc_id", "terms"], SAMPLE).limit(2 * SAMPLE)
     models = sample.repartition(1).mapInPandas(learn, "w array<double>").collect()  # of the sample
     return np.array(models[0]["w"]) if models else np.zeros(BUCKETS + 1)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ from . import (
 )
 from .common import table
 
-#: Where the public tokenizers' files are; operators take a path.
-TOKENIZERS = "/opt/tokenizers"
+#: Vocabulary files of public tokenizers; operators take a path.
+PIECES, BYTE_BPE = (public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_50k.json"))
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
@@ -55,11 +56,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_pieces.round_trip_report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentence_pieces.round_trip_report(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = token_files.write_segments(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2)
+    segments = token_files.write_segments(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
     return token_files.read_documents(segments)
 
 

@@ -116,7 +116,7 @@ def _codes(token: Column) -> Column:
 def train(scanned: DataFrame) -> list[float]:
     """Log-likelihood ratio (random : ordinary) of each pair of neighbouring characters, row by row of the first."""
     random = scanned.where(F.size("base") > 0).select(F.explode("base.value").alias("token"), F.lit(1).alias("random"))
-    sample = hash_sample(scanned.select("doc_id", "text", "base"), "doc_id", TRAIN_DOCS)
+    sample = hash_sample(scanned.select("doc_id", "text", "base"), ["doc_id", "text"], TRAIN_DOCS)
     cleaned = F.aggregate(F.col("base"), F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(" ")))
     words = F.explode(F.regexp_extract_all(cleaned, F.lit(IDENTIFIER), F.lit(0))).alias("token")
     ordinary = sample.select(words, F.lit(0).alias("random"))

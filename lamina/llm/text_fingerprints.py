@@ -17,7 +17,8 @@ base holds each fingerprint once, with its number of documents.
 
 Defined cases: null text: empty; a text without words has fingerprint zero.
 Repeated rows are rows of their own; the next document of a row is the next row
-by doc_id, then text. Null doc_id comes first. A single row is its own next.
+by doc_id, then text (where thousands share a doc_id, by their texts' hashes
+first). Null doc_id comes first. A single row is its own next.
 Empty table: empty result. Other columns are not read.
 """
 
@@ -28,12 +29,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, range_bounds, range_bucket, saved, whole_text
+from .common import SPACE, Buckets, constants, saved, whole_text
 
 #: Widths of the five blocks, from the lowest bit.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Rows of a bucket of neighbouring documents, about, and buckets at most.
-BUCKET_ROWS, MOST_BUCKETS = 1500, 4096
+#: Rows of a bucket of neighbouring documents, about.
+BUCKET_ROWS = 1500
 
 
 def words_of(text: Column) -> Column:
@@ -111,25 +112,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     are added at a bucket's end as extra rows, so nothing is ordered in one task.
     """
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    keyed = docs.select(F.col("doc_id"), k.alias("k"), whole_text().alias("text"))
-    ids = docs.select(k.alias("k"))
-    n = ids.count()
-    bounds = range_bounds(ids, "k", max(1, min(MOST_BUCKETS, n // BUCKET_ROWS)))
-    firsts = sorted(map(tuple, ids.groupBy(range_bucket(F.col("k"), bounds).alias("b")).agg(F.min("k")).collect()))  # MOST_BUCKETS rows
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    own = F.struct(range_bucket(F.col("k"), bounds).alias("bucket"), F.lit(False).alias("extra"))
-    starts, previous = [b for _, b in firsts], [before[b] for _, b in firsts]
-    at = range_bucket(F.col("k"), starts[1:])
-    lookup = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), at)
-    if not firsts:
-        placed = keyed.withColumn("place", own)
-    else:
-        is_first = F.col("k") == lookup(starts, "long")
-        also = F.struct(lookup(previous, "int").alias("bucket"), F.lit(True).alias("extra"))
-        placed = keyed.withColumn("place", F.explode(F.when(is_first, F.array(own, also)).otherwise(F.array(own))))
-    order = Window.partitionBy("place.bucket").orderBy("place.extra", "k", "text")
+    buckets = Buckets(docs.select(k.alias("k")), BUCKET_ROWS)
+    keyed = docs.select(F.col("doc_id"), k.alias("k"), whole_text().alias("text")).withColumn("b", buckets.of(F.col("k"), F.xxhash64("text")).cast("int"))
+    firsts = sorted(map(tuple, keyed.groupBy("b").agg(F.min("k")).collect()))  # a row for each bucket
+    first_of, before = [0] * buckets.count, [0] * buckets.count
+    for i, (b, first) in enumerate(firsts):
+        first_of[b], before[b] = first, firsts[i - 1][0]  # the first follows the last
+    own = F.struct("b", F.lit(False).alias("extra"))
+    previous = F.get(constants(before), F.col("b")).cast("int")
+    also = F.struct(previous.alias("b"), F.lit(True).alias("extra"))
+    is_first = F.col("k") == F.get(constants(first_of), F.col("b"))
+    placed = keyed.withColumn("place", F.explode(F.when(is_first, F.array(own, also)).otherwise(F.array(own))))
+    order = Window.partitionBy("place.b").orderBy("place.extra", "k", "text")
     return placed.select(
-        "doc_id", F.col("place.bucket").alias("bucket"), F.row_number().over(order).alias("n"), "text",
+        "doc_id", F.col("place.b").alias("bucket"), F.row_number().over(order).alias("n"), "text",
         F.lead("text").over(order).alias("next_text"), F.col("place.extra").alias("extra"),
     )
 

@@ -20,11 +20,13 @@ A text's ids are joined from those of its chunks: white space and what follows,
 up to the next white space. The tokenizer's pre-tokenizer never joins a
 character to white space after it, so a chunk's ids don't depend on what lies
 around it. Chunks recur, and each is encoded by the library once while it is in
-the bounded cache.
+the bounded cache; the new ones of many texts make one call.
 
 Defined cases: null text: empty, one end id. Null doc_id: kept, before all
-others. Repeated rows are documents of their own, in order of their texts. Empty
-table: no segment, empty result. Other columns are not read.
+others. Repeated rows are documents of their own, in order of their texts; where
+thousands share a doc_id, in order of their texts' hashes first, so that they
+spread over buckets. Empty table: no segment, empty result. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -41,14 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import range_bounds, range_bucket, saved, whole_text
+from .common import Buckets, saved, whole_text
 
 BLOCK, LANES, CHECK = 1 << 16, 64, 256
 SEGMENT_IDS = 1 << 22
-#: Documents of a bucket, about, and buckets at most (larger ones hold more segments).
-BUCKET_ROWS, MOST_BUCKETS = 2048, 4096
-#: Chunks of texts whose ids are kept at most, and the longest that is.
-CACHED_CHUNKS, LONGEST_CHUNK = 1_500_000, 48
+#: Documents of a bucket, about (larger ones hold more segments).
+BUCKET_ROWS = 2048
+#: Chunks of texts whose ids are kept at most, and the longest that is; characters whose chunks are looked up at once; chunks of a call of the library.
+CACHED_CHUNKS, LONGEST_CHUNK, PART_CHARS, CALL_CHUNKS = 1_500_000, 48, 2_000_000, 20_000
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4s6I")
 
@@ -166,31 +168,44 @@ def decode_segment(data: bytes) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizer with a bounded memory of chunks."""
+    """A tokenizer with a bounded memory of chunks, in two generations: the older one goes when the newer one is full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def add(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.library.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.known[chunk] = array("I", e.ids).tobytes()
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Sees to it that all chunks are known; those that are too long to keep."""
+        if len(self.known) > CACHED_CHUNKS // 2:
+            self.older, self.known = self.known, {}
+        missing = chunks.difference(self.known)
+        again = missing.intersection(self.older)
+        self.known.update((c, self.older[c]) for c in again)
+        new = list(missing.difference(again))
+        for lo in range(0, len(new), CALL_CHUNKS):
+            part = new[lo : lo + CALL_CHUNKS]
+            for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[chunk] = array("I", e.ids).tobytes()
+        return [c for c in new if len(c) > LONGEST_CHUNK]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        for text in texts:
-            chunks = CHUNK.findall(text)
-            if len(self.known) > CACHED_CHUNKS:
-                self.known.clear()
-            missing = set(itertools.filterfalse(self.known.__contains__, chunks))
-            if missing:
-                self.add(list(missing))
-            yield b"".join(map(self.known.__getitem__, chunks))
-            for chunk in missing:
-                if len(chunk) > LONGEST_CHUNK:
-                    del self.known[chunk]
+        """Each text's ids as little-endian 32-bit integers. New chunks of many texts are one call of the library."""
+        lo = 0
+        while lo < len(texts):
+            chunked, size = [], 0
+            while lo < len(texts) and (not chunked or size + len(texts[lo]) <= PART_CHARS):
+                chunked.append(CHUNK.findall(texts[lo]))
+                size += len(texts[lo])
+                lo += 1
+            passing = self.learn(set(itertools.chain.from_iterable(chunked)))
+            of = self.known.__getitem__
+            for chunks in chunked:
+                yield b"".join(map(of, chunks))
+            for chunk in passing:
+                del self.known[chunk]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -213,11 +228,11 @@ _SEGMENTS = pa.schema([("bucket", pa.int32()), ("segment", pa.int32()), ("doc_id
 def write_segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Encodes and writes all documents in ascending order of doc_id; the table of segments."""
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    ids = docs.select(k.alias("k"))
-    bounds = range_bounds(ids, "k", max(1, min(MOST_BUCKETS, ids.count() // BUCKET_ROWS)))
+    buckets = Buckets(docs.select(k.alias("k")), BUCKET_ROWS)
     dealt = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), whole_text().alias("text"), range_bucket(k, bounds).cast("int").alias("bucket"))
-        .repartitionById(len(bounds) + 1, F.col("bucket"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), whole_text().alias("text"))
+        .withColumn("bucket", buckets.of(F.col("k"), F.xxhash64("text")).cast("int"))
+        .repartitionById(buckets.count, F.col("bucket"))
         .sortWithinPartitions("bucket", "k", "text")
         .select("bucket", "doc_id", "text")
     )
@@ -248,7 +263,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def starts(segments: DataFrame) -> DataFrame:
-    """(bucket, segment, first): ids in all segments before. Totals of buckets (MOST_BUCKETS rows) are summed first."""
+    """(bucket, segment, first): ids in all segments before. Totals of buckets (MOST_BUCKETS rows, and those of hot keys) are summed first."""
     count = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
     sizes = segments.select("bucket", "segment", count.alias("n"))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

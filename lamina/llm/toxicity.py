@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame) -> bytes:
     """A machine from labelled rows outside the held-out fold."""
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     by_id = told.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").cast("int").alias("label"))
-    sample = hash_sample(by_id, "labelled", SAMPLE).limit(2 * SAMPLE)
+    sample = hash_sample(by_id, ["labelled"], SAMPLE).limit(2 * SAMPLE)
     texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))  # 2 * SAMPLE rows of two numbers at most
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,8 +7,8 @@ import numpy as np
 import sentencepiece
 from lamina.llm import quality as Q
 from lamina.llm import secret_scan as S
-from lamina.llm import simhash_dedup as D
 from lamina.llm.common import saved
+from test_simhash_dedup import similar_classes
 from test_source_mix import brute_targets
 
 
@@ -28,20 +28,9 @@ def test_stages(spark):
     agree = np.mean([(likely[patterns[i]] >= 0.5) == (i in good) for i in start])
     assert agree > 0.97 and set(good) < set(start) and all(good[i] == start[i] for i in good)
 
-    prints = {i: D.fingerprint(r.text, 5, 42, 4) for i, r in good.items()}
-    root = {i: i for i in prints}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in prints:
-        for j in prints:
-            if j < i and (prints[i] ^ prints[j]).bit_count() <= D.SIMILAR["radius"]:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    assert set(single) == {i for i in prints if find(i) == i} and len(single) < len(good)
+    ids = sorted(good)
+    want = {ids[i] for i in set(similar_classes([good[i].text for i in ids]))}
+    assert set(single) == want and len(single) < len(good)
 
     assert set(clean) == set(single)
     for i, r in clean.items():
@@ -56,7 +45,7 @@ def test_stages(spark):
         taken[r.source] = taken.get(r.source, 0) + size(r.text)
     assert all(abs(taken.get(s, 0) - t) <= 1 for s, t in brute_targets(sizes).items()) and set(mixed) <= set(clean)
 
-    library = sentencepiece.SentencePieceProcessor(model_file=f"{P.TOKENIZERS}/piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=P.PIECES)
     texts = sorted((r.doc_id, r.text) for r in seen[4].collect())
     want = sorted((i, library.encode(t)) for i, t in texts)
     assert sorted((r.doc_id, list(r.ids)) for r in seen[5].collect()) == want and all(r.exact for r in last.values())

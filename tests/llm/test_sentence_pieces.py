@@ -9,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from lamina.llm import sentence_pieces as S
 from lamina.llm.common import ready
-from lamina.llm.queries import TOKENIZERS
+from lamina.llm.queries import PIECES
 
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+MODEL = PIECES
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
 TEXTS = st.lists(st.one_of(st.sampled_from([" ", "  ", "the", "ing", "tion", "\n", "é", "日本", "😀", "ab", "!", "▁", " " * 17, " " * 40]), st.text(max_size=4)), max_size=12).map("".join)
 

@@ -22,6 +22,10 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def brute_classes(prints):
     """prints: {doc_id: fp}"""
     ids, root = sorted(prints), {}
@@ -81,7 +85,7 @@ def test_spanning_links_join_all_that_links_join():
 
 
 def test_blocks_and_components(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(S, "PACK_ROWS", 8)
     monkeypatch.setattr(S, "TILE", 8)
     rng = random.Random(9)
     prints = {}
@@ -93,8 +97,7 @@ def test_blocks_and_components(spark, monkeypatch):
     first = {}
     for i, fp in prints.items():
         first.setdefault(fp, i)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    fps = spark.createDataFrame([(signed(fp), i) for fp, i in first.items()], "fp long, rep long")
+    fps = ready(spark).createDataFrame([(signed(fp), i) for fp, i in first.items()], "fp long, rep long")
     roots = {r.node: r.root for r in S.components(S.links(fps)).collect()}
     want = brute_classes({i: fp for fp, i in first.items()})
     assert {i: roots.get(i, i) for i in want} == want
@@ -107,47 +110,23 @@ def test_long_chain_of_links(spark):
 
 def test_empty_null_and_repeated_rows(spark):
     ready(spark)
-    assert S.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
+    empty = spark.createDataFrame([], DOCS)
+    assert S.near_duplicates(empty).collect() == [] and S.one_of_similar(empty).collect() == []
     rows = spark.createDataFrame([(5, "a b c d", "", 1, ""), (5, "a b c d", "", 1, ""), (None, "a b c d", "", 1, ""), (2, None, "", 1, "")], DOCS)
     got = sorted((r.doc_id or -1, r.component_id) for r in S.near_duplicates(rows).collect())
     assert got == [(-1, 5), (2, 2), (5, 5), (5, 5)]
-    assert sorted(r.doc_id for r in S.one_of_each(rows).collect()) == [2, 5] == sorted(r.doc_id for r in S.one_of_each(rows, radius=3).collect())
-    assert S.one_of_each(rows).columns == rows.columns
+    assert sorted(r.doc_id for r in S.one_of_similar(rows).collect()) == [2, 5]
+    assert S.one_of_similar(rows).columns == rows.columns
 
 
-def test_wide_fingerprints_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(S, "TILE", 16)
-    rng = random.Random(11)
-    vocabulary = [f"w{i}" for i in range(500)]
-    texts = []
-    for _ in range(40):
-        words = rng.choices(vocabulary, k=rng.randint(5, 300))
-        for edits in (0, 0, 1, len(words) // 60, len(words) // 5):
-            copy = list(words)
-            for i in rng.sample(range(len(copy)), min(edits, len(copy))):
-                copy[i] = "edited"
-            texts.append(" ".join(copy))
-    rng.shuffle(texts)
-    df = ready(spark).createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    prints = [S.fingerprint(t, 5, 42, 4) for t in texts]
-    assert [p >> 192 for p in prints] == [S.fingerprint(t, 5) for t in texts]
-    root = list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= S.SIMILAR["radius"]:
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    got = {r.doc_id: r.component_id for r in S.classes(df, **S.SIMILAR).collect()}
-    assert got == {i: find(i) for i in range(len(texts))}
-    kept = {r.doc_id for r in S.one_of_each(df).collect()}
-    assert kept == {find(i) for i in range(len(texts))} and 40 <= len(kept) <= 90
+def test_large_ids_beside_null_ones_and_unlike_texts_of_one_id(spark):
+    big, text = (1 << 60) + 1, " ".join(f"x{i}" for i in range(40))
+    other = " ".join(f"y{i}" for i in range(40))
+    rows = [(big, text), (None, text), (big + 2, other), (3, text.upper()), (3, other), (None, "alone")]
+    got = S.near_duplicates(ready(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    name = {brute_fingerprint(t): t.lower() for _, t in rows}
+    found = sorted((name[int(r.fingerprint, 16)], r.doc_id or 0, r.component_id) for r in got)
+    assert found == sorted([(text, big, 3), (text, 0, 3), (text, 3, 3), (other, big + 2, 3), (other, 3, 3), ("alone", 0, None)])
 
 
 def gram_sets(texts, size=5):
@@ -185,8 +164,36 @@ def similar_rows(spark, texts):
     return {r.doc_id for r in S.one_of_similar(df).collect()}
 
 
+def wide(texts):
+    return [int.from_bytes(S.votes_of(S.gram_hashes(t, 5)).tobytes(), "big") for t in texts]
+
+
+def test_wide_fingerprints_and_bitmaps_against_brute_force():
+    rng = random.Random(11)
+    for n in (0, 1, 4, 5, 6, 30, 500):
+        text = " ".join(rng.choices(["a", "B", "c", "dé"], k=n))
+        grams = S.gram_hashes(text, 5)
+        assert len(grams) == len(gram_sets([text])[0]) and (np.sort(grams) == grams).all()
+        votes = np.zeros((S.WORDS, 64), dtype=int)
+        for k in range(S.WORDS):
+            for h in S.mixed(grams ^ S._KEYS[k]):
+                votes[k] += np.unpackbits(np.frombuffer(np.uint64(h).tobytes(), dtype=np.uint8))
+        assert (np.packbits(2 * votes > len(grams)) == S.votes_of(grams).view(np.uint8)).all()
+        assert int(np.bitwise_count(S.bitmap_of(grams).view(np.uint64)).sum()) == len({int(g) % 64 + 64 * (int(g) // 64 % S.WORDS) for g in grams})
+    alike = [(S.gram_hashes(t, 5), S.gram_hashes(t + " more", 5)) for t in ("a b c d e f g h i", "a b c d e f g h i j k l m n")]
+    assert all(len(np.intersect1d(x, y)) == len(x) == len(y) - 1 for x, y in alike)
+
+
+def test_sizes_bound_how_far_similar_sets_lie_apart():
+    for p in range(1, S.MOST_SHORT + 1):
+        for q in range(1, S.MOST_SHORT + 1):
+            found = [p + q - 2 * c for c in range(min(p, q) + 1) if 5 * c >= 4 * (p + q - c)]
+            assert not found or max(found) <= S.APART[p + q]
+    assert all(S.may_reach(S.SHORT - 1, n) == (n <= S.MOST_SHORT) for n in range(S.SHORT, 60))
+
+
 def test_only_similar_texts_are_one_class(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(S, "PACK_ROWS", 16)
     monkeypatch.setattr(S, "TILE", 16)
     rng = random.Random(3)
     texts = []
@@ -195,9 +202,9 @@ def test_only_similar_texts_are_one_class(spark, monkeypatch):
         texts += [" ".join(edited(words, n, rng)) for n in (1, 1, 5, 8, 8, 10)]
     rng.shuffle(texts)
     want = set(similar_classes(texts))
-    prints = [S.fingerprint(t, 5, 42, 4) for t in texts]
+    prints = wide(texts)
     sets = gram_sets(texts)
-    false = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 50 and 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j])]
+    false = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= S.RADIUS and 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j])]
     assert len(false) > 10
     assert similar_rows(spark, texts) == want
 
@@ -214,8 +221,8 @@ def test_repeated_lines_neither_link_nor_part_texts(spark):
     want = similar_classes(texts)
     assert len(set(want)) == 40
     assert similar_rows(spark, texts) == set(want)
-    prints = [S.votes_of(list(S.gram_set(t, 5)), 42, 4) for t in texts]
-    assert all((prints[i] ^ prints[j]).bit_count() > 50 for i in range(20) for j in range(i))
+    prints = wide(texts)
+    assert all((prints[i] ^ prints[j]).bit_count() > S.RADIUS for i in range(20) for j in range(i))
 
 
 def test_rows_without_own_doc_id_keep_one_of_each_class(spark):
@@ -225,8 +232,10 @@ def test_rows_without_own_doc_id_keep_one_of_each_class(spark):
     rows = [(i, t, {"k": n}) for n, (i, t) in enumerate(zip([*ids, None, 3, None], [*texts, texts[0], texts[1], ""], strict=True))]
     docs = ready(spark).createDataFrame(rows, "doc_id long, text string, more map<string,int>")
     want = sorted([(-1, texts[0]), (3, texts[1]), (-1, texts[2]), (7, texts[3]), (7, texts[4]), (1, texts[5]), (-1, texts[6]), (7, texts[7]), (-1, "")])
-    for one in (S.one_of_each(docs), S.one_of_similar(docs)):
-        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in one.collect()) == want and one.columns == docs.columns
+    one = S.one_of_similar(docs)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in one.collect()) == want and one.columns == docs.columns
+    again = S.one_of_similar(docs.unionByName(docs))  # each row twice
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in again.collect()) == want
 
 
 def test_short_texts_by_their_exact_sets(spark):
@@ -244,11 +253,9 @@ def test_short_texts_by_their_exact_sets(spark):
     assert similar_rows(spark, texts) == set(want) and len(set(want)) < len(texts) - 240
 
 
-def test_rows_without_doc_id_link_others(spark, monkeypatch):
+def test_rows_without_doc_id_link_others(spark):
     prints = {"a": 0, "b": 0b111, "c": 0b111111, "far": (1 << 64) - 1, "farther": (1 << 64) - 2}
-    monkeypatch.setattr(S, "fingerprints", lambda docs, *_: docs.select("doc_id", "fp"))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = [(4, prints["a"]), (None, prints["b"]), (2, prints["c"]), (None, prints["far"]), (None, prints["farther"])]
     docs = ready(spark).createDataFrame([(i, signed(p)) for i, p in rows], "doc_id long, fp long")
-    got = sorted((r.fp, r.component_id) for r in S.classes(docs).collect())
+    got = sorted((r.fp, r.component_id) for r in S.named(docs, 3).collect())
     assert got == [(-2, None), (-1, None), (0, 2), (7, 2), (63, 2)]

@@ -75,3 +75,16 @@ def test_few_repeated_and_null_rows(spark):
     assert T.fingerprint_report(one.limit(0), F.col("doc_id") % 100 == 0).collect() == []
     some = spark.createDataFrame([(None, "a b", "", 0, ""), (4, "a b", "", 0, ""), (4, "a b", "", 0, ""), (4, None, "", 0, "")], SCHEMA)
     assert sorted(r.n_chars for r in T.fingerprint_report(some, F.col("doc_id") % 100 == 0).collect()) == [0, 3, 3, 3]
+
+
+def test_many_rows_without_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(T, "BUCKET_ROWS", 4)
+    texts = [f"w{i} x{i * i}" for i in range(300)]
+    data = [(None, t) for t in texts] + [((1 << 60) + i, f"z{i}") for i in range(20)]
+    got = T.fingerprint_report(ready(spark).createDataFrame(data, "doc_id long, text string"), F.col("doc_id") % 100 == 0).collect()
+    assert sorted((r.doc_id or 0) for r in got) == sorted((i or 0) for i, _ in data)
+    prints = {f"{brute_fp(t):016x}": t for t in texts}
+    halves = {hashlib.sha256((t[: len(t) - len(t) // 2] + o[: len(t) // 2]).encode()).hexdigest(): (t, o) for t in texts for o in [*texts, "z0"]}
+    followed = [halves[r.edited_sha256][1] for r in got if r.doc_id is None]
+    assert all(halves[r.edited_sha256][0] == prints[r.fingerprint] or len(prints[r.fingerprint]) < 4 for r in got if r.doc_id is None)
+    assert len(set(followed)) > 10  # an order without rows lost

@@ -9,10 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from lamina.llm import token_files as T
 from lamina.llm.common import ready
-from lamina.llm.queries import TOKENIZERS
+from lamina.llm.queries import BYTE_BPE
 from tokenizers import Tokenizer
 
-PATH = f"{TOKENIZERS}/byte_bpe_50k.json"
+PATH = BYTE_BPE
 LIBRARY = Tokenizer.from_file(PATH)
 TEXTS = st.lists(st.one_of(st.sampled_from([" ", "  ", "\t", "\n", " \n ", "the", "'s", "é", "\x85", "\x1c", "　", "12", "!?", "<|endoftext|>", "日本", "😀"]), st.text(max_size=3)), max_size=14).map("".join)
 
