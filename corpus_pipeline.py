@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import quality, secret_scan, sentence_pieces, simhash_dedup, source_mix
 from lamina.llm.common import ready, saved, table
-from lamina.llm.queries import TOKENIZERS
+from lamina.llm.queries import PIECES
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids of each row, n_ids, and the SHA-256 of the text decoded from them."""
     ready(spark)
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
-    return sentence_pieces.encoded_and_checked(docs, model)
+    return sentence_pieces.encoded_and_checked(docs, PIECES)
 
 
 STAGES = [
