@@ -20,7 +20,9 @@ A text's ids are joined from those of its chunks: white space and what follows,
 up to the next white space. The tokenizer's pre-tokenizer never joins a
 character to white space after it, so a chunk's ids don't depend on what lies
 around it. Chunks recur, and each is encoded by the library once while it is in
-the bounded cache; the new ones of many texts make one call.
+the bounded cache. Cutting and counting chunks is done by Arrow for many texts at
+once; new chunks are joined to longer texts, as they would stand in one, for fewer
+calls of the library, and told apart by the bytes of their pieces.
 
 Defined cases: null text: empty, one end id. Null doc_id: kept, before all
 others. Repeated rows are documents of their own, in order of their texts; where
@@ -35,11 +37,11 @@ import itertools
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +52,16 @@ SEGMENT_IDS = 1 << 22
 #: Documents of a bucket, about (larger ones hold more segments).
 BUCKET_ROWS = 2048
 #: Chunks of texts whose ids are kept at most, and the longest that is; characters whose chunks are looked up at once; chunks of a call of the library.
-CACHED_CHUNKS, LONGEST_CHUNK, PART_CHARS, CALL_CHUNKS = 1_500_000, 48, 2_000_000, 20_000
+CACHED_CHUNKS, LONGEST_CHUNK, PART_CHARS, CALL_CHUNKS, JOINED_CHUNKS = 1_500_000, 48, 8_000_000, 50_000, 500
+CACHED_IDS = 10 * CACHED_CHUNKS
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4s6I")
 
-# Unicode White_Space, which the pre-tokenizer's pattern calls \s: that of Python less four control characters.
-_WS, _NOT_WS = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-CHUNK = re.compile(f"{_WS}*{_NOT_WS}+|{_WS}+")
+#: Unicode White_Space, which the pre-tokenizer's pattern calls \s.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+#: Set between chunks; texts that hold it are cut by CHUNK.
+MARK = "\0"
 
 
 def normalised(counts: np.ndarray, scale: int) -> np.ndarray:
@@ -167,45 +172,98 @@ def decode_segment(data: bytes) -> np.ndarray:
     return ids
 
 
+def chunks_of(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
+    """Index of each chunk among the distinct ones, these, and how many chunks come before each text's end."""
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        lists = pa.array([CHUNK.findall(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, f"([{SPACES}]+)", MARK + r"\1"), MARK)
+    found = lists.flatten().dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+
 class Encoder:
-    """A tokenizer with a bounded memory of chunks, in two generations: the older one goes when the newer one is full."""
+    """A tokenizer with a bounded memory of chunks' ids; those met once go first."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, chunks: set[str]) -> list[str]:
-        """Sees to it that all chunks are known; those that are too long to keep."""
-        if len(self.known) > CACHED_CHUNKS // 2:
-            self.older, self.known = self.known, {}
-        missing = chunks.difference(self.known)
-        again = missing.intersection(self.older)
-        self.known.update((c, self.older[c]) for c in again)
-        new = list(missing.difference(again))
-        for lo in range(0, len(new), CALL_CHUNKS):
-            part = new[lo : lo + CALL_CHUNKS]
-            for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = array("I", e.ids).tobytes()
-        return [c for c in new if len(c) > LONGEST_CHUNK]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian 32-bit integers. New chunks of many texts are one call of the library."""
-        lo = 0
-        while lo < len(texts):
-            chunked, size = [], 0
-            while lo < len(texts) and (not chunked or size + len(texts[lo]) <= PART_CHARS):
-                chunked.append(CHUNK.findall(texts[lo]))
-                size += len(texts[lo])
-                lo += 1
-            passing = self.learn(set(itertools.chain.from_iterable(chunked)))
-            of = self.known.__getitem__
-            for chunks in chunked:
-                yield b"".join(map(of, chunks))
-            for chunk in passing:
-                del self.known[chunk]
+        vocabulary = self.library.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a byte is one character of a byte-level piece
+        self.n_bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.known = pa.array([], pa.string())
+        self.start, self.size, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.pool = np.zeros(0, dtype=np.uint32)
+
+    def joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after the other, and the number of each one's."""
+        found, sizes = [], []
+        for lo in range(0, len(chunks), CALL_CHUNKS):
+            part = chunks[lo : lo + CALL_CHUNKS]
+            texts = ["".join(part[i : i + JOINED_CHUNKS]) for i in range(0, len(part), JOINED_CHUNKS)]
+            ids = np.array([i for e in self.library.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], dtype=np.uint32)
+            ends, at = np.cumsum([len(c.encode()) for c in part]), np.cumsum(self.n_bytes[ids])
+            last = np.searchsorted(at, ends)
+            if len(at) and at[-1] == ends[-1] and (at[last] == ends).all():
+                found.append(ids)
+                sizes.append(np.diff(last + 1, prepend=0))
+            else:  # bytes don't tell where chunks end: each on its own
+                ids, each = self.each(part)
+                found.append(ids)
+                sizes.append(each)
+        return np.concatenate(found or [self.pool[:0]]), np.concatenate(sizes or [self.size[:0]])
+
+    def forget(self) -> None:
+        """Keeps the chunks met most often, half of CACHED_CHUNKS at most."""
+        often = np.argsort(-self.uses, kind="stable")[: CACHED_CHUNKS // 2]
+        order = np.sort(often[self.uses[often] > 1])
+        self.known, self.pool = self.known.take(pa.array(order)), self.gather(order)
+        self.size, self.uses = self.size[order], np.ones(len(order), dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size, self.uses = np.concatenate([self.size, sizes]), np.concatenate([self.uses, np.zeros(len(sizes), dtype=np.int64)])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def gather(self, entries: np.ndarray) -> np.ndarray:
+        """The entries' ids, one after the other."""
+        size = self.size[entries]
+        before = np.cumsum(size) - size
+        return self.pool[np.repeat(self.start[entries] - before, size) + np.arange(int(size.sum()))]
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (uint32), one text after the other, and the number of each one's."""
+        index, distinct, ends = chunks_of(texts)
+        if len(self.known) + len(distinct) > CACHED_CHUNKS or len(self.pool) > CACHED_IDS:
+            self.forget()
+        entry = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(entry < 0)
+        missing = distinct.take(pa.array(new)).to_pylist()
+        # chunks that start with white space and end without follow each other in one string as they do in a text
+        kind = np.array([2 if len(c) > LONGEST_CHUNK else 0 if c and c[0] in SPACES and c[-1] not in SPACES else 1 for c in missing], dtype=np.int8)
+        order = np.argsort(kind, kind="stable")
+        entry[new[order]] = len(self.start) + np.arange(len(new))
+        n_known = len(self.start) + int((kind < 2).sum())
+        for k, ids_of in ((0, self.joined), (1, self.each), (2, self.each)):
+            part = [missing[i] for i in np.flatnonzero(kind == k)]
+            if k < 2:
+                self.known = pa.concat_arrays([self.known, pa.array(part, pa.string())])
+            else:  # these are forgotten at once
+                n_ids = len(self.pool)
+            self.learn(*ids_of(part))
+        self.uses[entry] += np.bincount(index, minlength=len(distinct))
+        found = entry[index]
+        total = np.concatenate([[0], np.cumsum(self.size[found])])
+        ids, counts = self.gather(found), np.diff(total[ends], prepend=0)
+        self.start, self.size, self.uses, self.pool = self.start[:n_known], self.size[:n_known], self.uses[:n_known], self.pool[:n_ids]
+        return ids, counts
+
+    def each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, each encoded on its own."""
+        found = [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.concatenate([self.pool[:0], *found]), np.array([len(x) for x in found], dtype=np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -221,6 +279,22 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches of (bucket, doc_id, text) put together, or cut, to about `most` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for lo in range(0, batch.num_rows, step):
+            piece = batch.slice(lo, step)
+            held.append(piece)
+            size += piece.nbytes
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 SEGMENTS = "bucket int, segment int, doc_ids array<long>, counts array<int>, data binary"
 _SEGMENTS = pa.schema([("bucket", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("data", pa.binary())])
 
@@ -239,23 +313,25 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(tokenizer)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype=np.uint32)
         now, number, size, held = None, 0, 0, []
 
         def segment() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), dtype="<u4")
-            row = ([now], [number], [[d for d, _ in held]], [[len(x) // 4 for _, x in held]], [encode_segment(ids)])
+            ids = np.concatenate([x for _, found in held for x in (found, end)])
+            row = ([now], [number], [[d for d, _ in held]], [[len(x) + 1 for _, x in held]], [encode_segment(ids)])
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _SEGMENTS, strict=True)], schema=_SEGMENTS)
 
-        for batch in batches:
-            rows = zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), of.encode(batch.column("text").to_pylist()), strict=True)
-            for bucket, doc_id, found in rows:
+        for part in parts_of(batches, PART_CHARS):
+            ids, counts = of.encode(part.column("text").combine_chunks())
+            at = 0
+            for bucket, doc_id, n in zip(part.column("bucket").to_pylist(), part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
                 if held and (bucket != now or size >= SEGMENT_IDS):
                     yield segment()
                     number, size, held = (number + 1 if bucket == now else 0), 0, []
                 now = bucket
-                held.append((doc_id, found + end))
-                size += len(found) // 4 + 1
+                held.append((doc_id, ids[at : at + n]))
+                at += n
+                size += n + 1
         if held:
             yield segment()
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,13 +15,13 @@ from tokenizers import Tokenizer
 
 PATH = BYTE_BPE
 LIBRARY = Tokenizer.from_file(PATH)
-TEXTS = st.lists(st.one_of(st.sampled_from([" ", "  ", "\t", "\n", " \n ", "the", "'s", "é", "\x85", "\x1c", "　", "12", "!?", "<|endoftext|>", "日本", "😀"]), st.text(max_size=3)), max_size=14).map("".join)
+TEXTS = st.lists(st.one_of(st.sampled_from(["\0", " ", "  ", "\t", "\n", " \n ", "the", "'s", "é", "\x85", "\x1c", "　", "12", "!?", "<|endoftext|>", "日本", "😀"]), st.text(max_size=3)), max_size=14).map("".join)
 
 
 @settings(max_examples=500, deadline=None)
 @given(TEXTS.filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t)))
 def test_ids_of_chunks_are_the_librarys(text):
-    got = np.frombuffer(next(T.encoder(PATH).encode([text])), dtype="<u4").tolist()
+    got = T.encoder(PATH).encode(pa.array([text]))[0].tolist()
     assert got == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
@@ -62,3 +63,17 @@ def test_documents_against_the_library(spark, monkeypatch):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         at += len(ids)
     assert T.read_documents(T.write_segments(docs.limit(0), PATH, end_id=2)).collect() == []
+
+
+def test_memory_that_forgets(monkeypatch):
+    """Ids stay the library's whatever is forgotten in between."""
+    monkeypatch.setattr(T, "CACHED_CHUNKS", 40)
+    monkeypatch.setattr(T, "CALL_CHUNKS", 7)
+    monkeypatch.setattr(T, "JOINED_CHUNKS", 3)
+    rng, of = random.Random(4), T.Encoder(PATH)
+    for n in range(60):
+        texts = [None or " ".join(rng.choices([f"w{i}" for i in range(90)] + ["the", "", "\n", "é\t", "x" * 60, "\0a"], k=rng.randint(0, 12))) for _ in range(rng.randint(0, 6))]
+        ids, counts = of.encode(pa.array(texts, pa.string()))
+        want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(of.known) <= 40 + 90
