@@ -5,12 +5,12 @@ it follows its output links to all pieces that end there, and each relaxes the
 best path to that position from the one to its start.
 
 What is best follows from the kind of model file. Unigram models: the largest
-sum of scores. BPE models: scores are priorities of merges, and their sums do
-not give the library's result; the last piece of a prefix is the one piece that
-merging would leave after the last piece of the shorter prefix, so a piece
-relaxes a position only if merging the text of both leaves these two. (Without
-ties in priority there is just one such piece; longest first, as the links give
-them, is the order of trial.) Characters outside the vocabulary become bytes.
+sum of scores. BPE models: scores are priorities of merges, and the largest sum
+of all paths is not the library's result. There a piece relaxes a position only
+from a path whose last piece it may follow: merging the text of both leaves these
+two. Where merging gives one result, one piece of a position passes this test, and
+the best path is the library's; several that pass compete by their sums. (Sums
+take a step for each character outside the vocabulary, which becomes bytes.)
 
 White space is part of a piece's start only, so a text is cut before white
 space, and the ids of recurring cuts are kept in a bounded memory.
@@ -27,22 +27,24 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunk_memory import ChunkMemory, flat, parts_of
 from .common import whole_text
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Cuts of texts and pairs of pieces kept in a worker at most, and the longest cut that is.
-CACHED_CUTS, CACHED_PAIRS, LONGEST_CUT = 1_200_000, 1_000_000, 48
+#: Cuts of texts and pairs of pieces kept in a worker at most, and the longest cut that is; bytes of texts whose cuts are looked up at once.
+CACHED_CUTS, CACHED_PAIRS, LONGEST_CUT, PART_BYTES = 2_000_000, 1_000_000, 48, 12_000_000
+#: Set between cuts; texts that hold it are cut by CUT.
+MARK = "\0"
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -116,7 +118,7 @@ class Pieces:
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()
             for p, k in zip(self.pieces, self.kinds, strict=True)
         ]
-        self.cuts: dict[str, bytes] = {}
+        self.cuts = ChunkMemory(CACHED_CUTS, LONGEST_CUT)
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str, stop: int = 1) -> list[str]:
@@ -155,71 +157,65 @@ class Pieces:
 
     def best_path(self, text: str) -> list[int]:
         """Ids of a text in which spaces are U+2581."""
-        n = len(text)
-        ends: list[tuple[int, int] | None] = [None] * (n + 1)  # (start, id) of the last piece of the best path to each position
-        total = [0.0] * (n + 1)
-        unigram = self.model_type == UNIGRAM
-        pairs, size_of = self.pairs, len(self.pieces)
-        position = 0
-
-        def settle(until: int) -> None:
-            """Positions that no piece has reached end in a character outside the vocabulary."""
-            nonlocal position
-            while position < until:
-                position += 1
-                if ends[position] is None:
-                    ends[position] = (position - 1, -1)
-                    total[position] = total[position - 1] + self.lowest
+        n, none = len(text), -2
+        last_of = [none] * (n + 1)  # last piece of the best path to each position; -1: a character outside the vocabulary, or the start
+        start_of = [0] * (n + 1)
+        total = [float("-inf")] * (n + 1)
+        last_of[0], total[0] = -1, 0.0
+        bpe, scores, pairs, n_pieces = self.model_type == BPE, self.scores, self.pairs, len(self.pieces)
+
+        def settle(position: int) -> None:
+            """Positions up to this one that no piece has reached end in a character outside the vocabulary."""
+            at = position
+            while last_of[at] == none:
+                at -= 1
+            for at in range(at, position):
+                last_of[at + 1], start_of[at + 1], total[at + 1] = -1, at, total[at] + self.lowest
 
         for end, (piece, size) in self.automaton.iter(text):
-            if position < end:
-                settle(end)
-            start = end + 1 - size
-            if unigram:
-                score = total[start] + self.scores[piece]
-                if ends[end + 1] is None or score > total[end + 1]:
-                    ends[end + 1], total[end + 1] = (start, piece), score
-            elif ends[end + 1] is None:
-                last = ends[start][1] if start else -1
-                if last >= 0:  # other characters never merge
-                    allowed = pairs.get(last * size_of + piece)
-                    if allowed is None:
-                        allowed = pairs[last * size_of + piece] = self.may_follow(last, piece)
-                    if not allowed:
-                        continue
-                ends[end + 1] = (start, piece)
+            end += 1
+            start = end - size
+            last = last_of[start]
+            if last == none:
+                settle(start)
+                last = -1
+            score = total[start] + scores[piece]
+            if score <= total[end]:
+                continue
+            if bpe and last >= 0:  # other characters never merge
+                pair = last * n_pieces + piece
+                if pair not in pairs:
+                    pairs[pair] = self.may_follow(last, piece)
+                if not pairs[pair]:
+                    continue
+            last_of[end], start_of[end], total[end] = piece, start, score
         settle(n)
         out: list[int] = []
-        at = n
-        while at:
-            start, piece = ends[at]
+        while n:
+            start, piece = start_of[n], last_of[n]
             if piece >= 0:
                 out.append(piece)
             elif self.byte_ids:
-                out += [self.byte_ids[b] for b in reversed(text[start:at].encode("utf-8", "surrogatepass"))]
+                out += [self.byte_ids[b] for b in reversed(text[start:n].encode("utf-8", "surrogatepass"))]
             else:
                 out.append(self.unknown)
-            at = start
+            n = start
         return out[::-1]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        for text in texts:
-            if not text:
-                yield b""
-                continue
-            cuts = CUT.findall((" " + text if self.dummy_prefix else text).replace(" ", SPACE))
-            if len(self.cuts) > CACHED_CUTS:
-                self.cuts.clear()
-            if len(self.pairs) > CACHED_PAIRS:
-                self.pairs.clear()
-            missing = set(filterfalse(self.cuts.__contains__, cuts))
-            for cut in missing:
-                self.cuts[cut] = array("I", self.best_path(cut)).tobytes()
-            yield b"".join(map(self.cuts.__getitem__, cuts))
-            for cut in missing:
-                if len(cut) > LONGEST_CUT:
-                    del self.cuts[cut]
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (uint32), one text after the other, and the number of each one's."""
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs.clear()
+        return self.cuts.ids(self.cut(texts), [lambda cuts: flat([np.array(self.best_path(c), dtype=np.uint32) for c in cuts])])
+
+    def cut(self, texts: pa.StringArray) -> pa.ListArray:
+        """Texts before their spaces, which become U+2581."""
+        if self.dummy_prefix:
+            texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+        spaced = pc.replace_substring(texts, " ", SPACE)
+        if pc.any(pc.match_substring(texts, MARK)).as_py():
+            return pa.array([CUT.findall(x) for x in spaced.to_pylist()], pa.list_(pa.string()))
+        return pc.split_pattern(pc.replace_substring_regex(spaced, f"({SPACE}+)", MARK + r"\1"), MARK)
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
@@ -243,15 +239,26 @@ def _kept(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
+def _rows(of: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str], list[np.ndarray]]]:
+    """doc_id, text and ids of some rows at a time."""
+    for part in parts_of(batches, PART_BYTES):
+        texts = part.column("text").combine_chunks()
+        ids, counts = of.encode(texts)
+        yield part.column("doc_id").combine_chunks(), texts.to_pylist(), np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat(ids)[0].astype(np.int32)))
+
+
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids of each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = pieces(model)
-        for batch in batches:
-            found = [np.frombuffer(x, dtype="<i4") for x in of.encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int32()))], schema=schema)
+        for doc_id, _, ids in _rows(pieces(model), batches):
+            yield pa.RecordBatch.from_arrays([doc_id, _lists(ids)], schema=schema)
 
     return _kept(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -269,39 +276,31 @@ def decoded(ids: DataFrame, model: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def encoded_and_checked(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids, n_ids, decoded_sha256, exact of each row; the digest is of the text decoded from the ids."""
-    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("decoded_sha256", pa.string()), ("exact", pa.bool_())]
-    schema = pa.schema(fields)
+def _checked(docs: DataFrame, model: str, of_ids: list[tuple], kinds: str) -> DataFrame:
+    """doc_id, columns of the ids (name, Arrow type, function of rows' ids), decoded_sha256, exact of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), *[(name, kind) for name, kind, _ in of_ids], ("decoded_sha256", pa.string()), ("exact", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = pieces(model)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 500):  # ids take more room than texts
-                part, rows = texts[lo : lo + 500], []
-                for text, ids in zip(part, of.encode(part), strict=True):
-                    back = of.decode(ids)
-                    rows.append((np.frombuffer(ids, dtype="<i4"), len(ids) // 4, hashlib.sha256(back.encode()).hexdigest(), back == text))
-                columns = zip(*rows, strict=True)
-                arrays = [pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(part)), *arrays], schema=schema)
+        for doc_id, texts, ids in _rows(of, batches):
+            back = [of.decode(x.tobytes()) for x in ids]
+            digests = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())
+            exact = pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([doc_id, *[make(ids) for _, _, make in of_ids], digests, exact], schema=schema)
 
-    return _kept(docs).mapInArrow(run, "doc_id long, ids array<int>, n_ids long, decoded_sha256 string, exact boolean")
+    return _kept(docs).mapInArrow(run, f"doc_id long, {kinds}, decoded_sha256 string, exact boolean")
+
+
+def _counted(ids: list[np.ndarray]) -> pa.Array:
+    return pa.array([len(x) for x in ids], pa.int64())
+
+
+def encoded_and_checked(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, ids, n_ids, decoded_sha256, exact of each row; the digest is of the text decoded from the ids."""
+    return _checked(docs, model, [("ids", pa.list_(pa.int32()), _lists), ("n_ids", pa.int64(), _counted)], "ids array<int>, n_ids long")
 
 
 def round_trip_report(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian 32-bit integers), decoded_sha256, exact: each row encoded, and decoded from its ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("exact", pa.bool_())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = pieces(model)
-        for batch in batches:
-            texts, rows = batch.column("text").to_pylist(), []
-            for text, ids in zip(texts, of.encode(texts), strict=True):
-                back = of.decode(ids)
-                rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
-
-    return _kept(docs).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, exact boolean")
+    crc = lambda ids: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+    return _checked(docs, model, [("n_ids", pa.int64(), _counted), ("ids_crc32", pa.int64(), crc)], "n_ids long, ids_crc32 long")

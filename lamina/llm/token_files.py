@@ -45,15 +45,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunk_memory import ChunkMemory, flat, parts_of
 from .common import Buckets, saved, whole_text
 
 BLOCK, LANES, CHECK = 1 << 16, 64, 256
 SEGMENT_IDS = 1 << 22
 #: Documents of a bucket, about (larger ones hold more segments).
 BUCKET_ROWS = 2048
-#: Chunks of texts whose ids are kept at most, and the longest that is; characters whose chunks are looked up at once; chunks of a call of the library.
-CACHED_CHUNKS, LONGEST_CHUNK, PART_CHARS, CALL_CHUNKS, JOINED_CHUNKS = 1_500_000, 48, 8_000_000, 50_000, 500
-CACHED_IDS = 10 * CACHED_CHUNKS
+#: Chunks of texts whose ids are kept at most, and the longest that is; bytes of texts whose chunks are looked up at once; chunks of a call of the library.
+CACHED_CHUNKS, LONGEST_CHUNK, PART_BYTES, CALL_CHUNKS, JOINED_CHUNKS = 2_000_000, 48, 12_000_000, 50_000, 500
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4s6I")
 
@@ -172,18 +172,14 @@ def decode_segment(data: bytes) -> np.ndarray:
     return ids
 
 
-def chunks_of(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
-    """Index of each chunk among the distinct ones, these, and how many chunks come before each text's end."""
+def chunks_of(texts: pa.StringArray) -> pa.ListArray:
     if pc.any(pc.match_substring(texts, MARK)).as_py():
-        lists = pa.array([CHUNK.findall(x) for x in texts.to_pylist()], pa.list_(pa.string()))
-    else:
-        lists = pc.split_pattern(pc.replace_substring_regex(texts, f"([{SPACES}]+)", MARK + r"\1"), MARK)
-    found = lists.flatten().dictionary_encode()
-    return found.indices.to_numpy(zero_copy_only=False), found.dictionary, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return pa.array([CHUNK.findall(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+    return pc.split_pattern(pc.replace_substring_regex(texts, f"([{SPACES}]+)", MARK + r"\1"), MARK)
 
 
 class Encoder:
-    """A tokenizer with a bounded memory of chunks' ids; those met once go first."""
+    """A tokenizer with a bounded memory of chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -192,12 +188,10 @@ class Encoder:
         vocabulary = self.library.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a byte is one character of a byte-level piece
         self.n_bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
-        self.known = pa.array([], pa.string())
-        self.start, self.size, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(3))
-        self.pool = np.zeros(0, dtype=np.uint32)
+        self.memory = ChunkMemory(CACHED_CHUNKS, LONGEST_CHUNK)
 
     def joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, one after the other, and the number of each one's."""
+        """For chunks that start with white space and end without: they follow each other in one string as they do in a text."""
         found, sizes = [], []
         for lo in range(0, len(chunks), CALL_CHUNKS):
             part = chunks[lo : lo + CALL_CHUNKS]
@@ -206,64 +200,20 @@ class Encoder:
             ends, at = np.cumsum([len(c.encode()) for c in part]), np.cumsum(self.n_bytes[ids])
             last = np.searchsorted(at, ends)
             if len(at) and at[-1] == ends[-1] and (at[last] == ends).all():
-                found.append(ids)
-                sizes.append(np.diff(last + 1, prepend=0))
-            else:  # bytes don't tell where chunks end: each on its own
-                ids, each = self.each(part)
-                found.append(ids)
-                sizes.append(each)
-        return np.concatenate(found or [self.pool[:0]]), np.concatenate(sizes or [self.size[:0]])
-
-    def forget(self) -> None:
-        """Keeps the chunks met most often, half of CACHED_CHUNKS at most."""
-        often = np.argsort(-self.uses, kind="stable")[: CACHED_CHUNKS // 2]
-        order = np.sort(often[self.uses[often] > 1])
-        self.known, self.pool = self.known.take(pa.array(order)), self.gather(order)
-        self.size, self.uses = self.size[order], np.ones(len(order), dtype=np.int64)
-        self.start = np.cumsum(self.size) - self.size
-
-    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.size, self.uses = np.concatenate([self.size, sizes]), np.concatenate([self.uses, np.zeros(len(sizes), dtype=np.int64)])
-        self.pool = np.concatenate([self.pool, ids])
-
-    def gather(self, entries: np.ndarray) -> np.ndarray:
-        """The entries' ids, one after the other."""
-        size = self.size[entries]
-        before = np.cumsum(size) - size
-        return self.pool[np.repeat(self.start[entries] - before, size) + np.arange(int(size.sum()))]
+                size = np.diff(last + 1, prepend=0)
+            else:  # bytes don't tell where chunks end
+                ids, size = self.each(part)
+            found.append(ids)
+            sizes.append(size)
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat([np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)])
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts (uint32), one text after the other, and the number of each one's."""
-        index, distinct, ends = chunks_of(texts)
-        if len(self.known) + len(distinct) > CACHED_CHUNKS or len(self.pool) > CACHED_IDS:
-            self.forget()
-        entry = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        new = np.flatnonzero(entry < 0)
-        missing = distinct.take(pa.array(new)).to_pylist()
-        # chunks that start with white space and end without follow each other in one string as they do in a text
-        kind = np.array([2 if len(c) > LONGEST_CHUNK else 0 if c and c[0] in SPACES and c[-1] not in SPACES else 1 for c in missing], dtype=np.int8)
-        order = np.argsort(kind, kind="stable")
-        entry[new[order]] = len(self.start) + np.arange(len(new))
-        n_known = len(self.start) + int((kind < 2).sum())
-        for k, ids_of in ((0, self.joined), (1, self.each), (2, self.each)):
-            part = [missing[i] for i in np.flatnonzero(kind == k)]
-            if k < 2:
-                self.known = pa.concat_arrays([self.known, pa.array(part, pa.string())])
-            else:  # these are forgotten at once
-                n_ids = len(self.pool)
-            self.learn(*ids_of(part))
-        self.uses[entry] += np.bincount(index, minlength=len(distinct))
-        found = entry[index]
-        total = np.concatenate([[0], np.cumsum(self.size[found])])
-        ids, counts = self.gather(found), np.diff(total[ends], prepend=0)
-        self.start, self.size, self.uses, self.pool = self.start[:n_known], self.size[:n_known], self.uses[:n_known], self.pool[:n_ids]
-        return ids, counts
-
-    def each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, each encoded on its own."""
-        found = [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        return np.concatenate([self.pool[:0], *found]), np.array([len(x) for x in found], dtype=np.int64)
+        alone = lambda c: not (c and c[0] in SPACES and c[-1] not in SPACES)
+        return self.memory.ids(chunks_of(texts), [self.joined, self.each], alone)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -279,22 +229,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def parts_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Batches of (bucket, doc_id, text) put together, or cut, to about `most` bytes of text."""
-    held, size = [], 0
-    for batch in batches:
-        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
-        for lo in range(0, batch.num_rows, step):
-            piece = batch.slice(lo, step)
-            held.append(piece)
-            size += piece.nbytes
-            if size >= most:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 SEGMENTS = "bucket int, segment int, doc_ids array<long>, counts array<int>, data binary"
 _SEGMENTS = pa.schema([("bucket", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("data", pa.binary())])
 
@@ -321,7 +255,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             row = ([now], [number], [[d for d, _ in held]], [[len(x) + 1 for _, x in held]], [encode_segment(ids)])
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _SEGMENTS, strict=True)], schema=_SEGMENTS)
 
-        for part in parts_of(batches, PART_CHARS):
+        for part in parts_of(batches, PART_BYTES):
             ids, counts = of.encode(part.column("text").combine_chunks())
             at = 0
             for bucket, doc_id, n in zip(part.column("bucket").to_pylist(), part.column("doc_id").to_pylist(), counts.tolist(), strict=True):

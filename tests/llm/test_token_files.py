@@ -76,4 +76,4 @@ def test_memory_that_forgets(monkeypatch):
         ids, counts = of.encode(pa.array(texts, pa.string()))
         want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
-        assert len(of.known) <= 40 + 90
+        assert len(of.memory.known) <= 40 + 90
