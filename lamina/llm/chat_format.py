@@ -32,7 +32,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,29 +128,38 @@ def formatted(messages: DataFrame, top: int = 1) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("place")).alias("place"), "role", "text"))).alias("turns"))  # one conversation
     )
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [format_turns([(t["role"], t["text"]) for t in turns]) for turns in pdf["turns"]]
-            out = pdf[["conv_id", "leaf", "rank"]].copy()
-            out["formatted"] = [x[0] for x in done]
-            out["loss_spans"] = [[{"start": a, "end": b} for a, b in x[1]] for x in done]
-            yield out
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    return turns.mapInPandas(write, "conv_id long, leaf long, rank int, formatted string, loss_spans array<struct<start:int,end:int>>")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [format_turns([(t["role"], t["text"]) for t in turns.as_py()]) for turns in batch.column("turns")]
+            texts = pa.array([text for text, _ in done], pa.string())
+            masks = pa.array([[{"start": a, "end": b} for a, b in mask] for _, mask in done], spans)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), texts, masks], names=[*keys, "formatted", "loss_spans"])
+
+    keys = ["conv_id", "leaf", "rank"]
+    typed = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("leaf").cast("long").alias("leaf"), F.col("rank").cast("int").alias("rank"), "turns")
+    return typed.mapInArrow(write, "conv_id long, leaf long, rank int, formatted string, loss_spans array<struct<start:int,end:int>>")
 
 
 def read_back(output: DataFrame) -> DataFrame:
     """Digests of formatted conversations, from the formatted texts and masks alone."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    fields = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for conv, text, spans in zip(pdf["conv_id"], pdf["formatted"], pdf["loss_spans"], strict=True):
+            for text, spans in zip(batch.column("formatted"), batch.column("loss_spans"), strict=True):
+                text = text.as_py()
                 turns = parse_turns(text)
-                loss = "".join(_BACK.sub(r"\1", text[s["start"] : s["end"]]) for s in spans)
+                loss = "".join(_BACK.sub(r"\1", text[s["start"] : s["end"]]) for s in spans.as_py())
                 whole = "".join(f"{role}\n{words}\n" for role, words in turns)
                 sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((conv, len(turns), sha(whole), len(loss), sha(loss), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                rows.append((len(turns), sha(whole), len(loss), sha(loss), len(text)))
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+            made = [pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *made], names=["conv_id", *(name for name, _ in fields)])
 
-    return output.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    typed = output.select(F.col("conv_id").cast("long").alias("conv_id"), "formatted", "loss_spans")
+    return typed.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -4,7 +4,7 @@ Heuristic labellers vote good, bad or nothing on each text. How often each
 pattern of votes occurs is counted over all documents, and
 expectation-maximisation over those counts estimates each labeller's accuracy
 on good texts and on each kind of bad ones, and so the posterior of each pattern. The posteriors of
-about SAMPLE documents, chosen by hash of doc_id, train a logistic scorer over
+about SAMPLE documents, chosen by hash of doc_id and terms, train a logistic scorer over
 hashed shapes of words, which then scores every whole text.
 
 No given label is used.
@@ -182,12 +182,12 @@ def train(seen: DataFrame) -> np.ndarray:
     good = posteriors(counts)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches, pd.DataFrame(columns=["doc_id", "pattern", "terms"])]).sort_values(["doc_id", "pattern", "terms"])
+        rows = pd.concat([*batches, pd.DataFrame(columns=["pattern", "terms"])]).sort_values(["pattern", "terms"])
         x = np.array([dense(t) for t in rows["terms"]], dtype=np.float64).reshape(-1, BUCKETS)
         yield pd.DataFrame({"w": [fit(x, np.array([good[p] for p in rows["pattern"]])).tolist()]})
 
     sample = hash_sample(seen, ["doc_id", "terms"], SAMPLE).limit(2 * SAMPLE)
-    models = sample.repartition(1).mapInPandas(learn, "w array<double>").collect()  # of the sample
+    models = sample.select("pattern", "terms").repartition(1).mapInPandas(learn, "w array<double>").collect()  # of the sample
     return np.array(models[0]["w"]) if models else np.zeros(BUCKETS + 1)
 
 
@@ -196,12 +196,15 @@ def quality_report(docs: DataFrame) -> DataFrame:
     seen = saved(voted(docs), "votes")
     w = train(seen)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores = [float(dense(t) @ w[:-1] + w[-1]) for t in pdf["terms"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "votes": pdf["pattern"], "score": 1 / (1 + np.exp(-np.clip(scores, -700, 700)))})
+    schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("score", pa.float64())])
 
-    scored = seen.mapInPandas(run, "doc_id long, votes string, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margins = np.array([float(dense(t) @ w[:-1] + w[-1]) for t in batch.column("terms").to_pylist()], dtype=float)
+            scores = 1 / (1 + np.exp(-np.clip(margins, -700, 700)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pattern"), pa.array(scores)], schema=schema)
+
+    scored = seen.mapInArrow(run, "doc_id long, votes string, score double")
     return scored.withColumn("keep", F.col("score") >= 0.5)
 
 

@@ -11,7 +11,8 @@ bucket totals, so a source that holds a third of all rows is still spread.
 
 Defined cases: null or empty text: size 0, taken 0, no position. Null source: a
 source of its own, last. Rows that repeat (doc_id, source, size) share what the
-mix takes of them equally. Empty table: empty result. Other columns are not read.
+mix takes of them equally, to a word: the first ones take one more. Empty table:
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def mix(
     epochs: int = 3,
     slopes: dict[int, float] | None = None,
 ) -> DataFrame:
-    """A row per (doc_id, source, size): n_same rows share it; passes holds each epoch's (words, position) for one of them."""
+    """A row per (doc_id, source, size): n_same rows share it; passes holds each epoch's (words, more, position): each of them takes `words`, the first `more` ones another."""
     sizes = saved(sized(docs), "sizes")
     sources = saved(targets(sizes, weights, epochs), "sources")
     units = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_same"))
@@ -100,23 +101,31 @@ def mix(
         .withColumn("start", F.col("offset") + F.coalesce(F.sum("words").over(in_bucket), F.lit(0)))
         .withColumn("demand", demand)
     )
+    taken = lambda e: F.greatest(F.lit(0), F.least(F.col("words"), F.col("demand") - F.col("start") - F.col("source_size") * e))
     one_pass = lambda e: F.struct(
-        F.floor(
-            F.greatest(F.lit(0), F.least(F.col("words"), F.col("demand") - F.col("start") - F.col("source_size") * e)) / F.col("n_same")
-        ).alias("words"),
+        F.floor(taken(e) / F.col("n_same")).alias("words"),
+        (taken(e) % F.col("n_same")).alias("more"),
         due_at(
             F.least(F.lit(1.0), (F.col("start") + F.col("source_size") * e) / F.greatest(F.lit(1), F.col("demand"))), slope
         ).alias("position"),
     )
-    passes = F.filter(F.array(*[one_pass(e) for e in range(epochs)]), lambda p: p["words"] > 0)
+    passes = F.filter(F.array(*[one_pass(e) for e in range(epochs)]), lambda p: p["words"] + p["more"] > 0)
     return started.select("doc_id", "source", "size", "n_same", "source_size", "target", passes.alias("passes"))
 
 
+def passes_of(copy: Column) -> Column:
+    """The passes over one of the rows that share a size, by its number from 0: array<struct<words, position>>."""
+    words = lambda p: p["words"] + F.when(copy < p["more"], F.lit(1)).otherwise(F.lit(0))
+    all_passes = F.transform("passes", lambda p: F.struct(words(p).alias("words"), p["position"].alias("position")))
+    return F.filter(all_passes, lambda p: p["words"] > 0)
+
+
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """A row per row of docs, in training order: doc_id, size, source_size, target, taken, position (of the first pass; null if none)."""
     planned = mix(docs, **options)
     return (
-        planned.withColumn("copy", F.explode(F.expr("array_repeat(0, int(n_same))")))
+        planned.select("*", F.posexplode(F.expr("array_repeat(0, int(n_same))")).alias("copy", "zero"))
+        .withColumn("passes", passes_of(F.col("copy")))
         .select(
             "doc_id",
             "size",
@@ -135,8 +144,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A pass that takes part of a document holds its first words, joined by single spaces.
     """
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", n_words(whole_text()).alias("size"))
-    planned = mix(docs, **options).select(
-        F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "passes"
+    planned = saved(mix(docs, **options), "mix").select(
+        F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "n_same", "passes"
     )
     same = (
         F.col("doc_id").eqNullSafe(F.col("p_id"))
@@ -147,7 +156,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.slice(F.split(F.regexp_replace(F.col("doc.text"), "^" + SPACE, ""), SPACE), 1, F.col("pass.words").cast("int")), " "
     )
     text = F.when(F.col("pass.words") >= F.col("size"), F.col("doc.text")).otherwise(first_words)
-    passes = keyed.join(planned, same).withColumn("pass", F.explode("passes"))
+    alike = Window.partitionBy("p_id", "p_source", "p_size").orderBy(F.xxhash64("doc.text"))
+    single = keyed.join(planned.where("n_same = 1"), same).withColumn("copy", F.lit(0))
+    several = keyed.join(planned.where("n_same > 1"), same).withColumn("copy", F.row_number().over(alike) - 1)
+    rows = single.unionByName(several) if planned.where("n_same > 1").limit(1).count() else single
+    passes = rows.withColumn("pass", F.explode(passes_of(F.col("copy"))))
     return passes.select(
         *[
             text.alias("text") if c == "text"

@@ -49,5 +49,8 @@ def test_defined_cases(spark):
     rows = [(1, 0, "user", None, "x", "y"), (1, 1, None, "b", "x", "y"), (1, 1, "assistant", "a" * 100_000, "x", "y"), (None, 0, "user", "n", "", "")]
     told = ready(spark).createDataFrame(rows, schema)
     got = {r.conv_id: r for r in C.read_back(C.formatted(C.reply_tree(told))).collect()}
+    big = (1 << 60) + 1
+    beside = C.read_back(C.formatted(C.reply_tree(told.unionByName(ready(spark).createDataFrame([(big, 0, "user", "x", "", "")], schema))))).collect()
+    assert {r.conv_id for r in beside} == {1, None, big}
     assert got[1].n_turns == 3 and got[1].loss_chars == 100_000 and got[None].n_turns == 1
     assert C.read_back(C.formatted(C.reply_tree(told.limit(0)))).collect() == []
