@@ -115,12 +115,13 @@ def constants(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
 
-def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
-    """About buckets - 1 ascending cut points of a long column without nulls: every eighth of the distinct keys that a hash picks."""
+def range_bounds(df: DataFrame, key: str, buckets: int, weight: str | None = None) -> list[int]:
+    """About buckets - 1 ascending cut points of a long column without nulls, that part rows (or their weights) evenly: every eighth of the distinct keys that a hash picks."""
     if buckets < 2:
         return []
-    step = max(1, df.count() // (8 * buckets))
-    picked = df.select(key).where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).distinct()
+    heavy = F.col(weight) if weight else F.lit(1)
+    step = max(1, df.agg(F.sum(heavy)).first()[0] // (8 * buckets))
+    picked = df.where(F.pmod(F.xxhash64(key), F.lit(step)) < heavy).select(key).distinct()
     found = np.sort(np.array([r[0] for r in picked.collect()], dtype=np.int64))  # 8 * buckets
     return found[4::8].tolist()
 

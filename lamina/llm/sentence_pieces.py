@@ -42,7 +42,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Cuts of texts and pairs of pieces kept in a worker at most, and the longest cut that is; bytes of texts whose cuts are looked up at once.
-CACHED_CUTS, CACHED_PAIRS, LONGEST_CUT, PART_BYTES = 2_000_000, 1_000_000, 48, 12_000_000
+CACHED_CUTS, CACHED_PAIRS, LONGEST_CUT, PART_BYTES = 1_500_000, 1_000_000, 48, 6_000_000
 #: Set between cuts; texts that hold it are cut by CUT.
 MARK = "\0"
 

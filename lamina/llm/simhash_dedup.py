@@ -29,7 +29,10 @@ columns are not read.
 The pipeline's stage (one_of_similar) goes further: fingerprints of 256 bits, for
 which each distinct shingle votes once, only search for pairs there, and a pair
 counts by the exact similarity of its sets of shingles (64-bit hashes stand for
-shingles). Tiles whose sizes of sets rule the similarity out are skipped too.
+shingles). Tiles whose sizes of sets rule the similarity out are skipped too. The
+first comparison finds the texts that have any candidate, and what chains of
+candidates connect; the second one has these texts' sets, compares within such
+chains only, and holds each candidate against the exact similarity in its tile.
 Sets of few shingles are searched by bitmaps, one bit a shingle, in place of
 votes: two bitmaps differ in no more bits than their sets in shingles, so that
 search loses nothing. Its defined cases: texts without words are alike. Of the
@@ -53,8 +56,8 @@ from .common import MOST_BUCKETS, range_bounds, range_bucket, saved, whole_text
 
 #: Fingerprints of a tile: 512 x 512 comparisons fit the CPU's cache.
 TILE = 512
-#: Fingerprints of a pack, about, and packs of a block: pairs of blocks are the units of work.
-PACK_ROWS, BLOCK = 2048, 4
+#: Fingerprints of a pack, about, or shingles of one with sets, and packs of a block: pairs of blocks are the units of work.
+PACK_ROWS, PACK_GRAMS, BLOCK = 2048, 1 << 18, 4
 #: Tasks that the units are dealt to at most.
 MOST_TASKS = 8192
 
@@ -169,15 +172,15 @@ def gap(low_a, high_a, low_b, high_b):
 
 
 class Boxes:
-    """Ranges of some groups of fingerprints: of word counts and, if given, of sizes of sets."""
+    """Ranges of some groups of fingerprints: of word counts and, where given, of sizes of sets and of classes."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray):
-        """Rows of four counts, and of the size as the fifth."""
+        """Rows of four counts, the size, and the class."""
         self.low, self.high = low, high
 
     @staticmethod
-    def of(fps: np.ndarray, sizes: np.ndarray | None, starts: list[int]) -> Boxes:
-        facts = word_counts(fps[:, 0]) if sizes is None else np.hstack([word_counts(fps[:, 0]), sizes[:, None]])
+    def of(fps: np.ndarray, others: list[np.ndarray], starts: list[int]) -> Boxes:
+        facts = np.column_stack([word_counts(fps[:, 0]), *others])
         return Boxes(np.minimum.reduceat(facts, starts), np.maximum.reduceat(facts, starts))
 
     def meet(self, row: int, other: Boxes, radius: int) -> np.ndarray:
@@ -186,9 +189,55 @@ class Boxes:
         ok = gap(a[0][:4], a[1][:4], b[0][:, :4], b[1][:, :4]) <= radius
         if len(a[0]) > 4:
             ok &= may_reach(np.minimum(a[1][4], b[1][:, 4]), np.maximum(a[0][4], b[0][:, 4]))
+        if len(a[0]) > 5:
+            ok &= (a[0][5] <= b[1][:, 5]) & (b[0][:, 5] <= a[1][5])
         return np.flatnonzero(ok)
 
 
+class Sets:
+    """Sets of 64-bit numbers, one after the other, by their sizes."""
+
+    def __init__(self, grams: np.ndarray, sizes: np.ndarray):
+        self.grams, self.sizes = grams, sizes
+        self.ends = np.cumsum(sizes)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' numbers, and the place in rows of each."""
+        parts = [self.grams[self.ends[r] - self.sizes[r] : self.ends[r]] for r in rows]
+        return np.concatenate(parts), np.repeat(np.arange(len(rows)), self.sizes[rows])
+
+
+#: Distinct shingles that a matrix of sets has at once.
+COLUMNS = 4096
+
+
+def similar(near: np.ndarray, a: Sets, b: Sets, row: int, column: int) -> np.ndarray:
+    """Which pairs of a tile, whose first one is (row, column), have a Jaccard similarity of LEAST."""
+    x, y = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    (left, at_left), (right, at_right) = a.of(x + row), b.of(y + column)
+    shared = np.intersect1d(left, right)
+
+    def told(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number among the shared, place), by number."""
+        number = np.searchsorted(shared, grams)
+        kept = shared[np.minimum(number, len(shared) - 1)] == grams if len(shared) else np.zeros(len(grams), dtype=bool)
+        order = np.argsort(number[kept], kind="stable")
+        return number[kept][order], at[kept][order]
+
+    (p, at_p), (q, at_q) = told(left, at_left), told(right, at_right)
+    common = np.zeros((len(x), len(y)), dtype=np.float32)
+    for lo in range(0, len(shared), COLUMNS):
+        one, other = np.zeros((len(x), COLUMNS), dtype=np.float32), np.zeros((len(y), COLUMNS), dtype=np.float32)
+        for matrix, number, at in ((one, p, at_p), (other, q, at_q)):
+            some = slice(*np.searchsorted(number, (lo, lo + COLUMNS)))
+            matrix[at[some], number[some] - lo] = 1
+        common += one @ other.T
+    common = common.astype(np.int64)
+    out = np.zeros_like(near)
+    out[np.ix_(x, y)] = may_reach(common, a.sizes[x + row][:, None] + b.sizes[y + column][None, :] - common)
+    return out & near
+
+
 def close(a: np.ndarray, b: np.ndarray, radius: int, sizes: tuple | None, apart: np.ndarray | None) -> np.ndarray:
     """Which rows of a and b, fingerprints of 64-bit words, differ in `radius` bits at most (and, of these sizes, in `apart`) and have sizes that allow a similarity of LEAST."""
     words = a.shape[1]
@@ -237,36 +286,40 @@ def joined(near: np.ndarray, row: int, column: int, parent: list[int]) -> list[t
                 found.append((i, j))
 
 
-def spanning_links(
-    a: np.ndarray, b: np.ndarray | None, radius: int, sizes: tuple | None = None, parts: tuple | None = None, apart: np.ndarray | None = None
-) -> list[tuple[int, int]]:
-    """Links between two sorted blocks (or within one, b None) that form a spanning forest of all of them; indices, b's after a's.
+class Block:
+    """Sorted fingerprints, rows of 64-bit words, with sizes of their sets, the sets and their classes where given."""
 
-    A block is an array of fingerprints, or a matrix with their 64-bit words. With sizes of a's and b's shingle sets, links
-    whose sizes alone rule out a Jaccard similarity of LEAST are none; `apart` limits the bits by the sum of sizes. With parts
-    of a's and b's, all links between different parts are returned.
+    def __init__(self, fps: np.ndarray, sizes: np.ndarray | None = None, grams: np.ndarray | None = None, parts: np.ndarray | None = None):
+        self.fps, self.sizes, self.parts = fps.reshape(len(fps), -1), sizes, parts
+        self.sets = None if grams is None else Sets(grams, sizes)
+        self.starts = list(range(0, len(fps), TILE))
+        self.boxes = Boxes.of(self.fps, [x for x in (sizes, parts) if x is not None], self.starts)
+
+
+def spanning_links(a: Block, b: Block | None, radius: int, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between two blocks (or within one, b None) that form a spanning forest of all of them; indices, b's after a's.
+
+    With sizes of shingle sets, links whose sizes alone rule out a Jaccard similarity of LEAST are none; `apart` limits the
+    bits by the sum of sizes. With the sets, only links of that similarity are any; with classes, only those within one.
     """
-    same = b is None
-    a = a.reshape(len(a), -1)
-    b = a if same else b.reshape(len(b), -1)
-    shift = 0 if same else len(a)
-    parent = list(range(len(a) + (0 if same else len(b))))
-    starts_a, starts_b = list(range(0, len(a), TILE)), list(range(0, len(b), TILE))
-    boxes_a, boxes_b = Boxes.of(a, sizes[0] if sizes else None, starts_a), Boxes.of(b, sizes[-1] if sizes else None, starts_b)
+    same, b = b is None, b or a
+    shift = 0 if same else len(a.fps)
+    parent = list(range(len(a.fps) + (0 if same else len(b.fps))))
     forest: list[tuple[int, int]] = []
-    for k, row in enumerate(starts_a):
+    for k, row in enumerate(a.starts):
         rows = slice(row, row + TILE)
-        for other in boxes_a.meet(k, boxes_b, radius):
+        for other in a.boxes.meet(k, b.boxes, radius):
             if same and other < k:
                 continue
-            columns = slice(starts_b[other], starts_b[other] + TILE)
-            near = close(a[rows], b[columns], radius, (sizes[0][rows], sizes[-1][columns]) if sizes else None, apart)
+            columns = slice(b.starts[other], b.starts[other] + TILE)
+            near = close(a.fps[rows], b.fps[columns], radius, None if a.sizes is None else (a.sizes[rows], b.sizes[columns]), apart)
+            if a.parts is not None:
+                near &= a.parts[rows][:, None] == b.parts[columns][None, :]
             if same and other == k:
                 near = np.triu(near, 1)
-            if parts and near.any():
-                near &= parts[0][rows][:, None] != parts[-1][columns][None, :]
-                forest += [(row + int(x), columns.start + int(y) + shift) for x, y in zip(*np.nonzero(near), strict=True)]
-            elif near.any():
+            if a.sets and near.any():
+                near = similar(near, a.sets, b.sets, row, columns.start)
+            if near.any():
                 forest += joined(near, row, columns.start + shift, parent)
     return forest
 
@@ -275,31 +328,39 @@ def links(fps: DataFrame, radius: int = 3, apart: list[int] | None = None) -> Da
     """fps: distinct (fp, rep), fp a long or an array of longs. Returns links (a, b), a > b, between reps, that connect what all links within the radius connect.
 
     With a column n_grams, only links whose sets' sizes allow a Jaccard similarity of LEAST count, and by the sum of sizes only
-    those of `apart` bits at most. With a column part, all links between different parts are returned.
+    those of `apart` bits at most. With columns grams (the sorted set, binary) and part too, only links of that similarity
+    within a part (a number of 31 bits) count; rows that repeat a rep are one.
     """
-    extra = [c for c in ("n_grams", "part") if c in fps.columns]
+    sized, exact = "n_grams" in fps.columns, "grams" in fps.columns
     limits = np.array(apart) if apart else None
-    sized = "n_grams" in extra
     first = F.col("fp") if dict(fps.dtypes)["fp"] == "bigint" else F.get("fp", F.lit(0))
-    tail = F.shiftrightunsigned(F.xxhash64("fp"), 44)
     word = lambda k: F.bit_count(F.shiftrightunsigned(first, 16 * k).bitwiseAND(65535)).cast("long")
-    order: Column = F.col("n_grams") if sized else ((F.bit_count(first).cast("long") * 17 + word(0)) * 17 + word(1)) * 17 + word(2)
-    keyed = fps.withColumn("key", order * (1 << 20) + tail)
-    bounds = range_bounds(keyed.select("key"), "key", min(MOST_BUCKETS, keyed.count() // PACK_ROWS))
+    if exact:
+        order, buckets, weight = F.col("part") * (1 << 31) + F.col("n_grams"), fps.agg(F.sum("n_grams")).first()[0] or 0, "n_grams"
+        buckets //= PACK_GRAMS
+    else:
+        order = F.col("n_grams") if sized else ((F.bit_count(first).cast("long") * 17 + word(0)) * 17 + word(1)) * 17 + word(2)
+        order, buckets, weight = order * (1 << 20) + F.shiftrightunsigned(F.xxhash64("fp"), 44), fps.count() // PACK_ROWS, None
+    extra = [c for c in ("n_grams", "part", "grams") if c in fps.columns]
+    keyed = fps.withColumn("key", order)
+    bounds = range_bounds(keyed.select("key", *([weight] if weight else [])), "key", min(MOST_BUCKETS, buckets), weight)
     placed = keyed.select("fp", "rep", "key", *extra, range_bucket(F.col("key"), bounds).cast("int").alias("pack"))
+    if exact:
+        placed = placed.repartition("pack").groupBy("pack", "rep").agg(*[F.first(c).alias(c) for c in ("key", "fp", *extra)])
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
+        pdf = pdf.sort_values(["key", "rep"])
         fp = np.stack(pdf["fp"].to_numpy()).reshape(len(pdf), -1)
-        box = Boxes.of(fp, pdf["n_grams"].to_numpy(np.int32) if sized else None, [0])
-        more = [pdf[c].to_numpy(dtype=np.int64).tobytes() for c in extra]
-        row = [pdf["pack"].iloc[0], box.low[0].tolist(), box.high[0].tolist(), fp.tobytes(), fp.shape[1], pdf["rep"].to_numpy().tobytes(), *more]
+        numbers = {c: pdf[c].to_numpy(np.int64) for c in extra if c != "grams"}
+        box = Boxes.of(fp, list(numbers.values()), [0])
+        blobs = [numbers[c].tobytes() if c in numbers else b"".join(pdf[c]) for c in extra]
+        row = [pdf["pack"].iloc[0], box.low[0].tolist(), box.high[0].tolist(), fp.tobytes(), fp.shape[1], pdf["rep"].to_numpy().tobytes(), *blobs]
         return pd.DataFrame([row], columns=["pack", "low", "high", "fp", "words", "rep", *extra])
 
     blobs = "".join(f", {c} binary" for c in extra)
-    packs = placed.groupBy("pack").applyInPandas(packed, "pack int, low array<int>, high array<int>, fp binary, words int, rep binary" + blobs)
+    packs = placed.groupBy("pack").applyInPandas(packed, "pack int, low array<long>, high array<long>, fp binary, words int, rep binary" + blobs)
     packs = saved(packs, "packs")
-    boxes = sorted(map(tuple, packs.select("pack", "low", "high").collect()))  # ranges of PACK_ROWS fingerprints each
+    boxes = sorted(map(tuple, packs.select("pack", "low", "high").collect()))  # ranges of a pack each
     if not boxes:
         return fps.sparkSession.createDataFrame([], "a long, b long")
     numbers = np.array([p for p, _, _ in boxes]) // BLOCK
@@ -319,12 +380,14 @@ def links(fps: DataFrame, radius: int = 3, apart: list[int] | None = None) -> Da
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pack")
         sides = [g for _, g in pdf.groupby(pdf["pack"] // BLOCK)]
-        column = lambda g, c, kind: np.frombuffer(b"".join(g[c]), dtype=kind)
-        fp = [column(g, "fp", np.uint64).reshape(-1, int(g["words"].iloc[0])) for g in sides]
+        column = lambda g, c, kind: np.frombuffer(b"".join(g[c]), dtype=kind) if c in g else None
+        found = [
+            Block(column(g, "fp", np.uint64).reshape(-1, int(g["words"].iloc[0])), column(g, "n_grams", np.int64), column(g, "grams", np.uint64), column(g, "part", np.int64))
+            for g in sides
+        ]
         reps = np.concatenate([column(g, "rep", np.int64) for g in sides])
-        sizes, parts = (tuple(column(g, c, np.int64) for g in sides) if c in extra else None for c in ("n_grams", "part"))
-        found = spanning_links(fp[0], fp[1] if len(fp) > 1 else None, radius, sizes, parts, limits)
-        ends = reps[np.array(found, dtype=np.int64).reshape(-1, 2)]
+        forest = spanning_links(found[0], found[1] if len(found) > 1 else None, radius, limits)
+        ends = reps[np.array(forest, dtype=np.int64).reshape(-1, 2)]
         return pd.DataFrame({"a": ends.max(axis=1), "b": ends.min(axis=1)})
 
     n_units = sum(len(box.meet(k, box, radius)) for k in range(len(blocks)))
@@ -392,62 +455,44 @@ def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
     return kept.mapInArrow(of, "doc_id long, digest string, grams_key binary, n_grams long, fp array<long>, bitmap array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """pairs (a, b) of nodes (rep, digest), and whether their shingle sets have a Jaccard similarity of LEAST."""
+def candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """links() of nodes (rep, n_grams, fp, bitmap, and what else links() takes): small sets by their bitmaps, others by their fingerprints, those in between by both."""
+    more = [c for c in nodes.columns if c not in ("rep", "n_grams", "fp", "bitmap")]
+    long = nodes.where(F.col("n_grams") >= SHORT).select("fp", "rep", "n_grams", *more)
+    short = nodes.where("bitmap is not null").select(F.col("bitmap").alias("fp"), "rep", "n_grams", *more)
+    return links(long, radius).unionByName(links(short, max(APART), APART)).distinct()
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, theirs = None, None
-        for batch in batches:
-            found = []
-            for b, text, other in zip(batch.column("b").to_pylist(), batch.column("text"), batch.column("other"), strict=True):
-                if b != last:
-                    last, theirs = b, gram_hashes(other.as_py(), shingle)
-                mine = gram_hashes(text.as_py(), shingle)
-                common = len(np.intersect1d(mine, theirs, assume_unique=True))
-                found.append(bool(may_reach(common, len(mine) + len(theirs) - common)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.bool_())], names=["a", "b", "similar"])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(nodes.select("rep", "digest"), "rep")
-    told = docs.select(F.md5(whole_text()).alias("digest"), whole_text().alias("text")).join(asked, "digest")
-    texts = saved(told.groupBy("rep").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(texts.withColumnRenamed("rep", "a"), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("other")), "b")
-    return saved(both.select("a", "b", "text", "other").mapInArrow(check, "a long, b long, similar boolean"), "verified")
 
+def with_grams(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """nodes (doc_id, digest, ...) with grams, the sorted hashes of the shingles of their texts; a row for each row of docs that a node names."""
+    others = [c for c in nodes.columns if c not in ("doc_id", "digest")]
 
-def similar_roots(nodes: DataFrame, docs: DataFrame, shingle: int, radius: int) -> DataFrame:
-    """(node, root) of nodes (rep, digest, n_grams, fp, bitmap) that chains of pairs with a similarity of LEAST connect, for nodes other than roots.
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = pa.array([gram_hashes(x.as_py(), shingle).tobytes() for x in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), grams], names=[*others, "grams"])
 
-    A spanning forest of the candidate pairs is held against the exact similarity. What it connects without any false link
-    is done. Among the nodes of the rest, all candidate pairs between classes that are apart so far are held against it too,
-    so that no similar pair hides behind another one, and a group of near copies makes no quadratic output.
-    """
+    told = docs.select(F.col("doc_id").cast("long").alias("d"), F.md5(whole_text()).alias("m"), whole_text().alias("text"))
+    both = told.join(nodes, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("digest"))).select(*others, "text")
+    kinds = dict(nodes.dtypes)
+    return both.mapInArrow(add, ", ".join(f"{c} {kinds[c]}" for c in others) + ", grams binary")
 
-    def candidates(nodes: DataFrame) -> DataFrame:
-        more = [c for c in ("part",) if c in nodes.columns]
-        long = nodes.where(F.col("n_grams") >= SHORT).select("fp", "rep", "n_grams", *more)
-        short = nodes.where("bitmap is not null").select(F.col("bitmap").alias("fp"), "rep", "n_grams", *more)
-        return links(long, radius).unionByName(links(short, max(APART), APART)).distinct()
-
-    first = verified(saved(candidates(nodes), "candidates"), nodes, docs, shingle)
-    stars = components(first.where("similar").select("a", "b")).withColumnsRenamed({"node": "a", "root": "b"})
-    false = first.where("not similar").select("a")
-    if not false.limit(1).count():
-        return stars.withColumnsRenamed({"a": "node", "b": "root"})
-    of_all = components(first.select("a", "b"))
-    whole = of_all.unionByName(of_all.select(F.col("root").alias("node"), "root")).distinct()  # each node of a candidate pair
-    doubtful = whole.join(whole.join(false.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct(), "root", "left_semi")
-    parted = nodes.join(doubtful.select(F.col("node").alias("rep")), "rep", "left_semi").join(stars.withColumnRenamed("a", "rep"), "rep", "left")
-    parted = saved(parted.withColumn("part", F.coalesce("b", "rep")).drop("b"), "parted")
-    others = saved(candidates(parted).join(first, ["a", "b"], "left_anti"), "candidates")
-    return components(stars.unionByName(verified(others, nodes, docs, shingle).where("similar").select("a", "b")))
+
+def similar_roots(nodes: DataFrame, docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """(node, root) of nodes (rep, doc_id, digest, n_grams, fp, bitmap) that chains of pairs with a similarity of LEAST connect, for nodes other than roots."""
+    roots = components(candidates(nodes.drop("doc_id", "digest"), radius))
+    chained = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    part = F.shiftrightunsigned(F.xxhash64("root"), 33)  # chains that share it are compared in vain, but none is lost
+    told = saved(with_grams(nodes.join(chained.select(F.col("node").alias("rep"), part.alias("part")), "rep"), docs, shingle), "sets")
+    return components(candidates(told, radius))
 
 
 def one_of_similar(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
     """Rows of docs, one for each class of texts that pairs of a Jaccard similarity of LEAST between their sets of shingles chain."""
     prints = saved(set_prints(docs, shingle), "set-prints")
-    nodes = prints.groupBy("grams_key").agg(F.min(F.struct("digest", "n_grams", "fp", "bitmap")).alias("n")).select("grams_key", "n.*")
+    nodes = prints.groupBy("grams_key").agg(F.min(F.struct("digest", "doc_id", "n_grams", "fp", "bitmap")).alias("n")).select("grams_key", "n.*")
     nodes = saved(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
-    roots = similar_roots(nodes, docs, shingle, radius)
+    roots = similar_roots(nodes.drop("grams_key"), docs, shingle, radius)
     classes = nodes.select("grams_key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("grams_key", F.coalesce("root", "rep").alias("root"))
     return first_rows(docs, prints.select("doc_id", "digest", "grams_key").join(classes, "grams_key"))
 

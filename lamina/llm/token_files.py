@@ -53,7 +53,7 @@ SEGMENT_IDS = 1 << 22
 #: Documents of a bucket, about (larger ones hold more segments).
 BUCKET_ROWS = 2048
 #: Chunks of texts whose ids are kept at most, and the longest that is; bytes of texts whose chunks are looked up at once; chunks of a call of the library.
-CACHED_CHUNKS, LONGEST_CHUNK, PART_BYTES, CALL_CHUNKS, JOINED_CHUNKS = 2_000_000, 48, 12_000_000, 50_000, 500
+CACHED_CHUNKS, LONGEST_CHUNK, PART_BYTES, CALL_CHUNKS, JOINED_CHUNKS = 1_500_000, 48, 6_000_000, 50_000, 500
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4s6I")
 

@@ -7,7 +7,7 @@ import numpy as np
 import sentencepiece
 from lamina.llm import quality as Q
 from lamina.llm import secret_scan as S
-from lamina.llm.common import saved
+from lamina.llm.common import ready, saved
 from test_simhash_dedup import similar_classes
 from test_source_mix import brute_targets
 
@@ -50,3 +50,23 @@ def test_stages(spark):
     want = sorted((i, library.encode(t)) for i, t in texts)
     assert sorted((r.doc_id, list(r.ids)) for r in seen[5].collect()) == want and all(r.exact for r in last.values())
     assert P.run(spark, d).count() == len(want)
+
+
+def test_null_and_repeated_ids_and_no_rows(spark):
+    """Stages keep a row for each class whatever ids rows share, and take a table without rows."""
+    schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+    big = (1 << 60) + 1
+    words = "the cat sat on the mat and looked at the dog that came in from the garden to sleep by the fire".split()
+    unlike = [" ".join(words[i:] + words[:i]) + f". It was number{i} of them, she said; then they left." for i in range(8)]
+    ids = [None, None, big, big, 7, 7, None, 3]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, unlike, strict=True)] + [(None, unlike[0], "en", "s", 1), (5, None, "en", "s", 0), (None, "", None, None, None)]
+    docs = ready(spark).createDataFrame(rows, schema)
+    kept = P.drop_near_duplicates(spark, docs, "")
+    one = {i for i in similar_classes([r[1] for r in rows])}
+    assert kept.count() == len(one) and {r.text or "" for r in kept.collect()} == {rows[i][1] or "" for i in one}
+    for start in (docs, docs.limit(0)):
+        seen = start
+        for name, stage in P.STAGES:
+            seen = saved(stage(spark, seen, ""), name)
+        assert (seen.count() > 0) == (start is docs)
+        assert big in {r.doc_id for r in seen.collect()} or start is not docs

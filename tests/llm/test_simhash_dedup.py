@@ -69,7 +69,7 @@ def test_spanning_links_join_all_that_links_join():
     want = brute_classes(dict(enumerate(map(int, fps))))
     half = len(fps) // 3
     for parts in ([(fps, None, 0)], [(fps[:half], None, 0), (fps[half:], None, half), (fps[:half], fps[half:], 0)]):
-        edges = [(a + s, b + s) for x, y, s in parts for a, b in S.spanning_links(x, y, 3)]
+        edges = [(a + s, b + s) for x, y, s in parts for a, b in S.spanning_links(S.Block(x), None if y is None else S.Block(y), 3)]
         root = list(range(len(fps)))
 
         def find(x, root=root):
@@ -194,6 +194,8 @@ def test_sizes_bound_how_far_similar_sets_lie_apart():
 
 def test_only_similar_texts_are_one_class(spark, monkeypatch):
     monkeypatch.setattr(S, "PACK_ROWS", 16)
+    monkeypatch.setattr(S, "PACK_GRAMS", 2000)
+    monkeypatch.setattr(S, "COLUMNS", 50)
     monkeypatch.setattr(S, "TILE", 16)
     rng = random.Random(3)
     texts = []
