@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import quality, secret_scan, sentence_pieces, simhash_dedup, source_mix
-from lamina.llm.common import ready, saved, table
+from lamina.llm.common import ready, released, saved, table, written
 from lamina.llm.queries import PIECES
 
 
@@ -53,8 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage wrote for itself, and read, goes when its rows are written."""
+    docs, since = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)
+        released(since)
     return docs
