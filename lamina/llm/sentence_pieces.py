@@ -42,7 +42,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Cuts of texts and pairs of pieces kept in a worker at most, and the longest cut that is; bytes of texts whose cuts are looked up at once.
-CACHED_CUTS, CACHED_PAIRS, LONGEST_CUT, PART_BYTES = 1_500_000, 1_000_000, 48, 6_000_000
+CACHED_CUTS, CACHED_PAIRS, LONGEST_CUT, PART_BYTES = 700_000, 300_000, 48, 2_000_000
 #: Set between cuts; texts that hold it are cut by CUT.
 MARK = "\0"
 
@@ -244,6 +244,7 @@ def _rows(of: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Ar
     for part in parts_of(batches, PART_BYTES):
         texts = part.column("text").combine_chunks()
         ids, counts = of.encode(texts)
+        pa.default_memory_pool().release_unused()
         yield part.column("doc_id").combine_chunks(), texts.to_pylist(), np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
 
 

@@ -121,7 +121,7 @@ class _Hashes(dict):
 
 _hash_of = _Hashes()
 #: Words whose hashes a worker keeps at most.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 
 
 def gram_hashes(text: str | None, shingle: int) -> np.ndarray:
