@@ -9,8 +9,10 @@ ratio of the two models and is a span of kind `markov` if that reaches THRESHOLD
 a character. Base spans stay.
 
 Positions come from split() and regexp_extract_all() with the same pattern:
-match i starts after i + 1 gaps and i matches. Sums of lengths are taken in
-groups of 256, so a text with many matches costs no square of their number.
+match i starts after i + 1 gaps and i matches. Running sums and maxima are taken
+in groups of GROUP and of GROUP groups, candidates are held against base spans by
+binary search, and texts are cut from pieces of PIECE characters, so a text with
+many matches costs no square of their number or its length.
 
 Defined cases: null text: empty. Texts without spans get zero counts, the digest
 of the empty string and an empty list. Repeated rows each get their row. Without
@@ -42,7 +44,7 @@ TRAIN_DOCS, THRESHOLD = 2000, 0.5
 #: Weight of a class's own character frequencies (plus one each) in the distribution after any character.
 BACKOFF = 20
 
-GROUP = 256
+GROUP, PIECE = 64, 256
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -50,28 +52,50 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def prefix_sums(lengths: Column) -> Column:
-    """Running sums of an array of ints, in groups."""
+def running(values: Column, combine: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """Running sums, or what combine does (0 changes nothing), of an array of ints that are not negative; in groups, and groups of groups."""
+    fold = lambda part: F.aggregate(part, F.lit(0), combine)
+    at = lambda i: F.floor(i / GROUP).cast("int")
 
     def of(x: Column) -> Column:
-        n = F.size(x)
-        add = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
-        groups = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / GROUP).cast("int")), lambda g: add(F.slice(x, g * GROUP + 1, F.lit(GROUP))))
+        inside = lambda i: fold(F.slice(x, at(i) * GROUP + 1, i - at(i) * GROUP + 1))
+        groups = F.transform(F.sequence(F.lit(0), at(F.size(x) - 1)), lambda g: fold(F.slice(x, g * GROUP + 1, F.lit(GROUP))))
+
+        def with_totals(totals: Column) -> Column:
+            before = lambda i: F.when(at(i) > 0, F.get(totals, at(i) - 1)).otherwise(F.lit(0))
+            return F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: combine(before(i), inside(i)))
+
+        small = F.transform(x, lambda _, i: fold(F.slice(x, F.lit(1), i + 1)))
+        whole = running(groups, combine, levels - 1) if levels else bound(groups, lambda g: F.transform(g, lambda _, i: fold(F.slice(g, F.lit(1), i + 1))))
+        return F.when(F.size(x) <= GROUP, small).otherwise(bound(whole, with_totals))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(bound(values, of))
+
+
+def prefix_sums(lengths: Column) -> Column:
+    return running(lengths, lambda a, b: a + b)
 
-        def with_groups(sums: Column) -> Column:
-            def with_bases(bases: Column) -> Column:
-                at = lambda i: F.floor(i / GROUP).cast("int")
-                return F.transform(
-                    F.sequence(F.lit(0), n - 1),
-                    lambda i: F.get(bases, at(i)) + add(F.slice(x, at(i) * GROUP + 1, i - at(i) * GROUP + 1)),
-                )
 
-            bases = F.transform(sums, lambda _, g: F.when(g == 0, F.lit(0)).otherwise(add(F.slice(sums, F.lit(1), F.greatest(g, F.lit(1))))))
-            return bound(bases, with_bases)
+def pieces_of(text: Column) -> Column:
+    """Array of the text's pieces of PIECE characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-        return bound(groups, with_groups)
 
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(bound(lengths, of))
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end of the text in pieces."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    one = F.substring(piece(first), start - first * PIECE + 1, end - start)
+    whole = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    more = F.concat(F.substring(piece(first), start - first * PIECE + 1, F.lit(PIECE)), whole, F.substring(piece(last), F.lit(1), end - last * PIECE))
+    return F.when(end <= start, F.lit("")).when(first == last, one).otherwise(more)
+
+
+def below(values: Column, x: Column) -> Column:
+    """How many of ascending ints are below x, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(31))])
+    used = F.filter(steps, lambda s: s <= F.size(values))
+    return F.aggregate(used, F.lit(0), lambda n, s: F.when((n + s <= F.size(values)) & (F.get(values, n + s - 1) < x), n + s).otherwise(n))
 
 
 def spans_of(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
@@ -153,8 +177,21 @@ def markov_spans(text: Column, base: Column, ratios: list[float]) -> Column:
         return bound(_codes(token), of)
 
     candidates = spans_of(text, "markov", len(KINDS), CANDIDATE, 0, 16)
-    clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(candidates, lambda s: clear(s) & (ratio(s["value"]) >= THRESHOLD))
+
+    def clear_of(b: Column) -> Column:
+        """Of the base spans that start before a candidate's end, the greatest end tells."""
+        before = lambda s: below(b["starts"], s["end"])
+        clear = lambda s: bound(before(s), lambda n: F.when(n == 0, F.lit(True)).otherwise(F.get(b["ends"], n - 1) <= s["start"]))
+        return F.filter(candidates, lambda s: clear(s) & (ratio(s["value"]) >= THRESHOLD))
+
+    free = F.filter(candidates, lambda s: ratio(s["value"]) >= THRESHOLD)
+    sides = F.struct(F.transform(base, lambda b: b["start"]).alias("starts"), reach_of(base).alias("ends"))
+    return F.when(F.size(base) == 0, free).otherwise(bound(sides, clear_of))
+
+
+def reach_of(spans: Column) -> Column:
+    """The greatest end of each span and those before it."""
+    return running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -184,16 +221,15 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     )
     ratios = train(scanned)
     spans = F.array_sort(F.concat(F.col("base"), markov_spans(F.col("text"), F.col("base"), ratios)))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        text = F.when(
-            apart, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
-        ).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("out"))
+    def clean_of(x: Column) -> Column:
+        """What stands before each span that no earlier one reaches, then the mark; at last the rest."""
+        until = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(x["reach"], F.greatest(i - 1, F.lit(0))))
+        part = lambda s, i: F.when((i > 0) & (s["start"] < until(i)), F.lit("")).otherwise(F.concat(cut(x["pieces"], until(i), s["start"]), F.lit(mark)))
+        rest = cut(x["pieces"], F.get(x["reach"], F.size(x["reach"]) - 1), F.length("text"))
+        return F.concat(F.array_join(F.transform("spans", part), ""), rest)
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    clean = bound(F.struct(pieces_of(F.col("text")).alias("pieces"), reach_of(F.col("spans")).alias("reach")), clean_of)
     done = scanned.withColumn("spans", spans).withColumn("clean", F.when(F.size("spans") > 0, clean))
     changed = {"text": F.col("clean"), "n_chars": F.length("clean")}
     return done.select(
