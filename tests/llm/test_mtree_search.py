@@ -25,7 +25,7 @@ def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(M, "PAGE", 64)
     monkeypatch.setattr(M, "LEAF", 8)
     monkeypatch.setattr(M, "PIVOTS", 5)
-    monkeypatch.setattr(M, "PAGES_AT_ONCE", 3)
+    monkeypatch.setattr(M, "PAGES_AT_ONCE", 1)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 8))
     rows = [(i, [float(x) for x in np.float32(centres[i % 6] + 0.05 * rng.normal(size=8))], "a", "b") for i in range(400)]
@@ -43,3 +43,35 @@ def test_few_rows_and_none(spark):
     assert [tuple(r) for r in M.top_k(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 32768)]
     assert M.top_k(df.limit(0), df.limit(0)).collect() == []
     assert M.top_k(df, df.limit(0)).collect() == []
+
+
+def exact(rows, queries, k, width):
+    """By integers of any length; scores clamped to a long's range."""
+    whole = [(i, [int(np.floor(np.float64(256) * np.float64(x))) for x in v] + [0] * (width - len(v))) for i, v, *_ in rows]
+    out = []
+    for n, (i, v) in enumerate(whole):
+        if queries(i):
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for m, (j, w) in enumerate(whole) if m != n)[:k]
+            out += [(i, r, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def test_large_components_and_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(M, "PAGE", 32)
+    monkeypatch.setattr(M, "LEAF", 8)
+    monkeypatch.setattr(M, "PIVOTS", 8)
+    monkeypatch.setattr(M, "PAGES_AT_ONCE", 2)
+    rng = np.random.default_rng(5)
+    schema = "vec_id long, embedding array<double>, score string, vec string"
+    for size, width in ((1.0, 1024), (1e5, 6), (1e8, 6), (1e30, 6), (1e300, 4)):
+        rows = [(i, [float(x) for x in size * rng.normal(size=width)], "", "") for i in range(160)]
+        rows += [(500 + i, [float(x) for x in rng.normal(size=width)], "", "") for i in range(40)]
+        rows += [(600, rows[7][1], "", ""), (610, [x * (1 + 2**-52) for x in rows[7][1]], "", "")]
+        df = ready(spark).createDataFrame(rows, schema)
+        got = sorted(tuple(r) for r in M.top_k(df, df.where("vec_id % 10 = 0"), k=4).select("query_id", "rank", "vec_id", "score").collect())
+        assert got == exact(rows, lambda i: i % 10 == 0, 4, width)
+
+
+def test_keys_sort_as_numbers():
+    numbers = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 10**300, -(10**300), 65535, 65536]
+    assert sorted(numbers) == sorted(numbers, key=M.order_key)
