@@ -15,7 +15,10 @@ NOT_WS = WS.replace("[", "[^", 1)
 #: Line breaks.
 NL = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+#: White space at the ends, as a pattern, for SQL.
 EDGES = f"^{WS}+|{WS}+$"
+#: The same white space as characters.
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PAGE_NUMBER = rf"^[-–—]?{WS}*[0-9]{{1,4}}{WS}*[-–—]?{WS}*{NOT_WS}{{0,20}}$"
 
 
@@ -25,7 +28,7 @@ def sanitised(c: Column) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, EDGES, "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def match_form(c: Column) -> Column:

@@ -30,16 +30,28 @@ def long_length(c: Column) -> Column:
     return F.length(c).cast("long")
 
 
+def with_lines(pages: DataFrame) -> DataFrame:
+    """pages with their stripped non-blank lines."""
+    return pages.withColumn("__lines", clean_lines(F.col("text")))
+
+
+def _content(lined: DataFrame, rules: Rules) -> DataFrame:
+    total = F.aggregate("__lines", F.lit(0), lambda n, x: n + F.length(x))
+    return lined.where((F.size("__lines") >= rules.toc_lines) & (total >= rules.toc_chars * F.size("__lines")))
+
+
 def content_pages(pages: DataFrame, rules: Rules) -> DataFrame:
     """Without tables of contents: pages of few lines, or of short lines on average."""
-    kept = pages.withColumn("__lines", clean_lines(F.col("text")))
-    total = F.aggregate("__lines", F.lit(0), lambda n, x: n + F.length(x))
-    return kept.where((F.size("__lines") >= rules.toc_lines) & (total >= rules.toc_chars * F.size("__lines"))).drop("__lines")
+    return _content(with_lines(pages), rules).drop("__lines")
 
 
 def flat_lines(pages: DataFrame) -> DataFrame:
     """Stripped non-blank lines in order; line_no counts within the document."""
-    rows = pages.select("doc_id", "page", F.posexplode(clean_lines(F.col("text"))).alias("at", "line"))
+    return _numbered(with_lines(pages))
+
+
+def _numbered(lined: DataFrame) -> DataFrame:
+    rows = lined.select("doc_id", "page", F.posexplode("__lines").alias("at", "line"))
     order = in_order("page", "at")
     return rows.select("doc_id", F.col("page").cast("long").alias("page"), F.row_number().over(order).cast("long").alias("line_no"), "line")
 
@@ -75,7 +87,7 @@ def sections(lines: DataFrame, rules: Rules) -> DataFrame:
 
 def raw_chunks(pages: DataFrame, rules: Rules) -> DataFrame:
     """Sections of content pages with name, category and coverage type."""
-    found = sections(flat_lines(content_pages(pages, rules)), rules)
+    found = sections(_numbered(_content(with_lines(pages), rules)), rules)
     return (
         found.withColumn("chunk_id", chunk_name(F.col("doc_id").cast("string"), F.col("ordinal")))
         .withColumn("char_count", long_length(F.col("text")))
@@ -87,6 +99,27 @@ def raw_chunks(pages: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
+#: Values of a list's last piece at most, in a fold.
+PIECE = 256
+
+
+def empty_list() -> Column:
+    """A list that a fold adds to in pieces, since appending copies an array: a value costs a piece's copy, not the list's."""
+    return F.struct(F.array().cast("array<array<int>>").alias("pieces"), F.array().cast("array<int>").alias("last"))
+
+
+def added(values: Column, x: Column) -> Column:
+    full = F.size(values["last"]) >= PIECE
+    return F.struct(
+        F.when(full, F.array_append(values["pieces"], values["last"])).otherwise(values["pieces"]).alias("pieces"),
+        F.when(full, F.array(x)).otherwise(F.array_append(values["last"], x)).alias("last"),
+    )
+
+
+def listed(values: Column) -> Column:
+    return F.flatten(F.array_append(values["pieces"], values["last"]))
+
+
 def merge_small(chunks: DataFrame, rules: Rules) -> DataFrame:
     """A chunk below the least size takes in the chunks that follow while it is, and categories are equal or missing.
 
@@ -94,7 +127,7 @@ def merge_small(chunks: DataFrame, rules: Rules) -> DataFrame:
     groups are joined. Category, secondary and keyword are each the first given.
     """
     start = F.struct(
-        F.array().cast("array<int>").alias("groups"), F.lit(0).alias("group"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("category")
+        empty_list().alias("groups"), F.lit(0).alias("group"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("category")
     )
 
     def step(acc: Column, x: Column) -> Column:
@@ -102,14 +135,14 @@ def merge_small(chunks: DataFrame, rules: Rules) -> DataFrame:
         joins = (acc["group"] > 0) & fits
         group = F.when(joins, acc["group"]).otherwise(acc["group"] + 1)
         return F.struct(
-            F.array_append(acc["groups"], group).alias("groups"),
+            added(acc["groups"], group).alias("groups"),
             group.alias("group"),
             F.when(joins, acc["size"] + 1 + x["size"]).otherwise(x["size"]).alias("size"),
             F.when(joins, F.coalesce(acc["category"], x["category"])).otherwise(x["category"]).alias("category"),
         )
 
     facts = F.array_sort(F.collect_list(F.struct("ordinal", F.col("char_count").alias("size"), F.nullif(F.col("matched_category"), F.lit("")).alias("category"))))
-    folded = chunks.groupBy("doc_id").agg(facts.alias("facts")).select("doc_id", "facts", F.aggregate("facts", start, step)["groups"].alias("groups"))
+    folded = chunks.groupBy("doc_id").agg(facts.alias("facts")).select("doc_id", "facts", listed(F.aggregate("facts", start, step)["groups"]).alias("groups"))
     groups = folded.select("doc_id", F.explode(F.arrays_zip(F.col("facts.ordinal").alias("ordinal"), F.col("groups").alias("group"))).alias("x")).select(
         "doc_id", "x.ordinal", "x.group"
     )
@@ -135,26 +168,24 @@ def reclassified(chunks: DataFrame, rules: Rules) -> DataFrame:
 
 def parts_of(text: Column, most: int) -> Column:
     """Array of parts of at most `most` characters: whole lines packed greedily, longer lines cut."""
-    start = F.struct(F.array().cast("array<int>").alias("parts"), F.lit(0).alias("part"), F.lit(0).alias("size"))
+    start = F.struct(empty_list().alias("starts"), F.lit(0).alias("n"), F.lit(0).alias("size"))
 
     def step(acc: Column, line: Column) -> Column:
+        """starts: numbers of the lines that open a part, but for the first."""
         opens = (acc["size"] > 0) & (acc["size"] + F.length(line) + 1 > most)
-        part = acc["part"] + F.when(opens, F.lit(1)).otherwise(F.lit(0))
         return F.struct(
-            F.array_append(acc["parts"], part).alias("parts"), part.alias("part"),
+            F.when(opens, added(acc["starts"], acc["n"])).otherwise(acc["starts"]).alias("starts"), (acc["n"] + 1).alias("n"),
             (F.when(opens, F.lit(0)).otherwise(acc["size"]) + F.length(line) + 1).alias("size"),
         )
 
     def packed(lines: Column) -> Column:
-        return F.transform(
-            F.array(F.aggregate(lines, start, step)),
-            lambda acc: F.flatten(
-                F.transform(
-                    F.sequence(F.lit(0), acc["part"]),
-                    lambda p: cut(F.array_join(F.filter(lines, lambda _, i: F.get(acc["parts"], i) == p), "\n")),
-                )
-            ),
-        )[0]
+        edges = F.concat(F.array(F.lit(0)), listed(F.aggregate(lines, start, step)["starts"]), F.array(F.size(lines)))
+
+        def parts(at: Column) -> Column:
+            whole = lambda p: F.array_join(F.slice(lines, F.get(at, p) + 1, F.get(at, p + 1) - F.get(at, p)), "\n")
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda p: cut(whole(p))))
+
+        return F.transform(F.array(edges), parts)[0]
 
     def cut(part: Column) -> Column:
         return F.transform(

@@ -41,18 +41,19 @@ def chunk_texts(chunks: DataFrame) -> DataFrame:
 def analyse(requests: DataFrame, pages: DataFrame, rules: Rules, embed, store: ChunkStore) -> DataFrame:
     """Chunks, embeds and saves the requests' documents; then status rows (analysis_result_id, path, body).
 
-    Requests whose document has no pages, or misses a field, fail alone. Chunks
-    are saved before any payload is made.
+    Requests whose document gives no chunks now, or that miss a field, fail alone,
+    whatever the store holds of earlier runs. Chunks are saved before any payload
+    is made, and made once: payloads are of the kept ones.
     """
     ok = valid(requests, REQUEST_FIELDS)
     wanted = requests.where(ok).select("analysis_result_id", F.col("document_id").alias("doc_id"), "user_id", "trip_id", "policy_id")
     scope = wanted.select("doc_id", "user_id", "trip_id", "policy_id").dropDuplicates(["doc_id"])
     chunks = chunk_pipeline(pages.join(scope.select("doc_id"), "doc_id", "left_semi"), rules)
-    chunks = with_local_scope(chunks.join(scope, "doc_id").withColumn("document_id", F.col("doc_id")))
+    chunks = with_local_scope(chunks.join(scope, "doc_id").withColumn("document_id", F.col("doc_id"))).persist()
     vectors = embedded(chunk_texts(chunks), "chunk_id", "embed_text", embed).join(chunks.select("doc_id", "chunk_id"), "chunk_id")
     store.save(chunks, vectors)
     items = (
-        coverage_items(store.index())
+        coverage_items(chunks)
         .groupBy("doc_id")
         .agg(
             F.array_sort(
@@ -64,7 +65,7 @@ def analyse(requests: DataFrame, pages: DataFrame, rules: Rules, embed, store: C
             ).alias("items")
         )
     )
-    counts = store.index().groupBy("doc_id").agg(F.count("*").alias("n"))
+    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
     done = requests.withColumn("doc_id", F.col("document_id")).join(counts, "doc_id", "left").join(items, "doc_id", "left")
     complete = F.to_json(
         F.struct(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,38 +53,60 @@ def page_stats(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.sum(F.length("text")).alias("total_chars"), F.count_if(F.length("text") > 0).alias("n_pages"))
 
 
-class Matcher:
-    """Matches cells against texts; a text's index is kept while the next pairs share it."""
+def shared_chars(a: str, b: str) -> int:
+    """Characters of a that matching blocks with b cover: the longest common substring (the first in a, then in b), and so on before and after it.
 
-    def __init__(self) -> None:
-        self.of, self.text = difflib.SequenceMatcher(autojunk=False), None
+    A common substring's parts are common too, so its length is found by bisection; str.find does the rest.
+    """
+    total, open_parts = 0, [(0, len(a), 0, len(b))]
+    while open_parts:
+        a_from, a_to, b_from, b_to = open_parts.pop()
 
-    def share(self, truth: str, found: str) -> float:
-        """Sum of matching blocks over the length of truth; an empty truth is found, in an empty text nothing is."""
-        if not truth:
-            return 1.0
-        if not found:
-            return 0.0
-        if found != self.text:
-            self.of.set_seq2(found)
-            self.text = found
-        self.of.set_seq1(truth)
-        return sum(x.size for x in self.of.get_matching_blocks()) / len(truth)
+        def first(size: int, a_from=a_from, a_to=a_to, b_from=b_from, b_to=b_to) -> tuple[int, int] | None:
+            for i in range(a_from, a_to - size + 1):
+                if (j := b.find(a[i : i + size], b_from, b_to)) >= 0:
+                    return i, j
+            return None
 
+        low, high, at = 0, min(a_to - a_from, b_to - b_from), None
+        while low < high:
+            middle = (low + high + 1) // 2
+            if found := first(middle):
+                low, at = middle, found
+            else:
+                high = middle - 1
+        if low:
+            total += low
+            open_parts += [(a_from, at[0], b_from, at[1]), (at[0] + low, a_to, at[1] + low, b_to)]
+    return total
+
+
+def share(truth: str, found: str) -> float:
+    """Part of truth that matching blocks cover; an empty truth is found, in an empty text nothing is."""
+    return 1.0 if not truth else 0.0 if not found else 1.0 if truth in found else shared_chars(truth, found) / len(truth)
 
-def containment(truth: Column, found: Column) -> Column:
-    """Share of truth's characters in matching blocks with found, white space aside."""
 
-    def shares(a: pd.Series, b: pd.Series) -> pd.Series:
-        m = Matcher()
-        return pd.Series([m.share(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+def containments(truths: Column, found: Column) -> Column:
+    """Of each of an array of texts the share of its characters in matching blocks with found, white space aside."""
 
-    return F.pandas_udf(shares, "double")(compare_form(truth), compare_form(found))
+    def shares(many: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for cells, text in zip(many, texts, strict=True):
+            of = {c: share(c or "", text or "") for c in set(cells)}  # a cell that repeats is matched once
+            out.append([of[c] for c in cells])
+        return pd.Series(out)
+
+    return F.pandas_udf(shares, "array<double>")(F.transform(truths, compare_form), compare_form(found))
+
+
+def containment(truth: Column, found: Column) -> Column:
+    return F.get(containments(F.array(truth), found), F.lit(0))
 
 
-def exact_containment(truth: Column, found: Column) -> Column:
-    """1 where found holds truth whole, white space aside, else 0."""
-    return F.contains(compare_form(found), compare_form(truth)).cast("double")
+def exact_containments(truths: Column, found: Column) -> Column:
+    """1 for each text that found holds whole, white space aside, else 0."""
+    bare = F.transform(F.array(compare_form(found)), lambda f: F.transform(truths, lambda t: F.contains(f, compare_form(t)).cast("double")))
+    return F.get(bare, F.lit(0))
 
 
 def recall(scored: DataFrame, key: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -94,15 +114,69 @@ def recall(scored: DataFrame, key: list[str], threshold: float = THRESHOLD) -> D
     return scored.groupBy(*key).agg(F.count("*").alias("n_cells"), F.avg((F.col("ratio") >= threshold).cast("double")).alias("recall"))
 
 
-def best_candidates(truth: DataFrame, candidates: DataFrame, ratio=containment) -> DataFrame:
-    """(table_id, recall, candidate, n_candidates) for each table of truth (table_id, cell): the candidate (table_id, candidate, text) of most recall, the first on ties."""
-    scored = truth.join(candidates, "table_id").withColumn("ratio", ratio(F.col("cell"), F.col("text")))
-    each = recall(scored, ["table_id", "candidate"])
-    best = each.groupBy("table_id").agg(
-        F.max_by(F.struct("recall", "candidate"), F.struct("recall", -F.col("candidate"))).alias("best"), F.count("*").alias("n_candidates")
+def cells_of(truth: DataFrame, key: list[str]) -> DataFrame:
+    """(key, cells): the cells of a table as an array; the order says nothing."""
+    return truth.groupBy(*key).agg(F.collect_list("cell").alias("cells"))  # one table
+
+
+def passed(ratios: Column, threshold: float = THRESHOLD) -> Column:
+    """Share of ratios at the threshold or over it."""
+    return F.size(F.filter(ratios, lambda r: r >= threshold)) / F.size(ratios)
+
+
+def scored_candidates(truth: DataFrame, candidates: DataFrame, ratios=containments) -> DataFrame:
+    """candidates (table_id, candidate, text, ...) with n_cells and recall against truth (table_id, cell), without their texts. A text meets its table's cells once, as an array."""
+    found = candidates.join(cells_of(truth, ["table_id"]), "table_id").withColumn("ratios", ratios(F.col("cells"), F.col("text")))
+    return found.withColumn("n_cells", F.size("ratios")).withColumn("recall", passed(F.col("ratios"))).drop("text", "cells", "ratios")
+
+
+def best_of(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    """(table_id, recall, candidate, n_candidates, and scored's other columns) of each table's candidate of most recall, the first on ties."""
+    others = [c for c in scored.columns if c not in ("table_id", "recall", "candidate", "n_cells")]
+    best = scored.groupBy("table_id").agg(
+        F.max_by(F.struct("recall", "candidate", *others), F.struct("recall", -F.col("candidate"))).alias("best"), F.count("*").alias("n_candidates")
     )
     return truth.select("table_id").distinct().join(best, "table_id", "left").select(
-        "table_id", F.coalesce("best.recall", F.lit(0.0)).alias("recall"), F.col("best.candidate").alias("candidate"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates")
+        "table_id", F.coalesce("best.recall", F.lit(0.0)).alias("recall"), F.col("best.candidate").alias("candidate"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
+        *[F.col("best")[c].alias(c) for c in others],
+    )
+
+
+def best_candidates(truth: DataFrame, candidates: DataFrame, ratios=containments) -> DataFrame:
+    """(table_id, recall, candidate, n_candidates) for each table of truth (table_id, cell): the candidate (table_id, candidate, text) of most recall, the first on ties."""
+    return best_of(scored_candidates(truth, candidates.select("table_id", "candidate", "text"), ratios), truth)
+
+
+def page_recall(truth: DataFrame, pages: DataFrame, ratios=containments) -> DataFrame:
+    """(table_id, n_cells, layout_recall) of truth (table_id, pdf, page, cell) in the text of its page, of pages (pdf, page, text); a table without its page has no row."""
+    found = cells_of(truth, ["table_id", "pdf", "page"]).join(pages.select("pdf", "page", "text"), ["pdf", "page"])
+    scored = found.withColumn("ratios", ratios(F.col("cells"), F.col("text")))
+    return scored.select("table_id", F.size("ratios").alias("n_cells"), passed(F.col("ratios")).alias("layout_recall"))
+
+
+def seconds_per_page(timings: DataFrame, pages: DataFrame) -> DataFrame:
+    """(pdf, seconds_per_page): seconds of timings (pdf, seconds) over the document's number of pages."""
+    n = pages.groupBy("pdf").agg(F.count_distinct("page").alias("n_pages"))
+    return timings.groupBy("pdf").agg(F.sum("seconds").alias("seconds")).join(n, "pdf").select("pdf", (F.col("seconds") / F.col("n_pages")).alias("seconds_per_page"))
+
+
+def evaluation(tables: DataFrame, pages: DataFrame, timings: DataFrame, results: DataFrame) -> DataFrame:
+    """The rows of the report on two extraction methods, by table.
+
+    tables: table_id, pdf, page, columns, rows (array of arrays of cells). results: table_id, seconds, candidates (array of structs
+    with rows, detected_rows, detected_cols). A table that a method found nothing for has a recall of 0 there.
+    """
+    truth = tables.select("table_id", "pdf", "page", F.explode(F.flatten("rows")).alias("cell"))
+    found = results.select("table_id", F.posexplode("candidates").alias("candidate", "c")).select(
+        "table_id", "candidate", candidate_text(F.col("c.rows")).alias("text"), F.col("c.detected_rows").alias("detected_rows"), F.col("c.detected_cols").alias("detected_cols")
+    )
+    best = best_of(scored_candidates(truth, found), truth).withColumnsRenamed({"recall": "model_recall"}).drop("candidate")
+    return (
+        tables.select("table_id", "pdf", "page", F.size(F.flatten("rows")).alias("truth_cells"), F.size("rows").alias("truth_rows"), F.size("columns").alias("truth_cols"))
+        .join(page_recall(truth, pages).drop("n_cells"), "table_id", "left").fillna({"layout_recall": 0.0})
+        .join(seconds_per_page(timings, pages).withColumnRenamed("seconds_per_page", "layout_seconds_per_page"), "pdf", "left")
+        .join(results.select("table_id", F.col("seconds").alias("model_seconds")), "table_id", "left")
+        .join(best, "table_id", "left")
     )
 
 
@@ -114,8 +188,6 @@ def recall_report(layout: DataFrame, model: DataFrame) -> DataFrame:
     return joined.select("table_id", *[F.col(c).cast("double").alias(c) for c in numbers]).unionByName(means)
 
 
-
-
 def candidate_text(rows: Column) -> Column:
     """All cells of an array of rows, a line each."""
     return F.array_join(F.flatten(rows), "\n")

@@ -82,12 +82,21 @@ def user_message(contract: Column, history: Column, found: Column, question: Col
 
 
 def first_sentences(message: Column) -> Column:
-    """A stand-in answerer: the start of the first piece of evidence."""
+    """A stand-in answerer, which takes no instructions: the start of the first piece of evidence."""
     return quote(F.regexp_extract(message, r"(?s)\[" + EVIDENCE + r" 1\] [^\n]*\n(.*?)(\n\n|$)", 1))
 
 
+def chat_request(message: Column, instructions: str, model: str = "", temperature: float = 0.0) -> Column:
+    """JSON of what a chat model is asked: the instructions as the system's message, then the user's. Answers don't vary at temperature 0."""
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.to_json(F.struct(F.lit(model).alias("model"), F.lit(temperature).alias("temperature"), F.array(turn("system", F.lit(instructions)), turn("user", message)).alias("messages")))
+
+
 def answers(questions: DataFrame, hits: DataFrame, chunks: DataFrame, answerer=first_sentences) -> DataFrame:
-    """(query_id, answer, sources): without hits a fixed answer and no sources; the answerer sees messages only."""
+    """(query_id, answer, sources): without hits a fixed answer and no sources; the answerer sees messages only.
+
+    questions: query_id, question, and if given contract (an array of coverages, as contract_block takes it) and history (a block).
+    """
     found = with_related(hits, chunks)
     cited = sources(found)
     packed = cited.groupBy("query_id").agg(
@@ -98,7 +107,9 @@ def answers(questions: DataFrame, hits: DataFrame, chunks: DataFrame, answerer=f
     )
     none = F.array().cast("array<struct<chunkId:string,documentId:string,page:bigint,quote:string>>")
     joined = questions.join(evidence(found), "query_id", "left").join(packed, "query_id", "left")
-    message = user_message(F.lit(""), F.lit(""), F.col("evidence"), F.col("question"))
+    contract = contract_block(F.col("contract")) if "contract" in questions.columns else F.lit("")
+    history = F.col("history") if "history" in questions.columns else F.lit("")
+    message = user_message(contract, history, F.col("evidence"), F.col("question"))
     return joined.select(
         "query_id",
         F.when(F.col("evidence").isNull(), F.lit(NO_EVIDENCE)).otherwise(answerer(message)).alias("answer"),

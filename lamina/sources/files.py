@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -162,6 +163,30 @@ def http_get(url: str, timeout: float = 30.0) -> bytes:
         return answer.read()
 
 
+class CallbackError(RuntimeError):
+    """A callback that the receiver did not take."""
+
+
+def http_sender(base: str, timeout: float = 10.0) -> Callable[[str, str], None] | None:
+    """Posts JSON bodies to paths below base; None, with a warning, where base is empty."""
+    if not base:
+        logging.getLogger(__name__).warning("no callback URL is set: callbacks are not sent")
+        return None
+
+    def send(path: str, body: str) -> None:
+        from urllib.error import URLError
+        from urllib.request import Request, urlopen
+
+        url = f"{base.rstrip('/')}/{path.lstrip('/')}"
+        try:
+            with urlopen(Request(url, body.encode(), {"Content-Type": "application/json"}, method="POST"), timeout=timeout):
+                return
+        except (URLError, OSError) as e:
+            raise CallbackError(f"{url}: {e}") from e
+
+    return send
+
+
 def post_payloads(payloads: DataFrame, send: Callable[[str, str], None] | None) -> DataFrame:
     """(path, sent, error) of each payload (path, body); without a sender none is sent. An error in sending is reported, not raised."""
 

@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import json
 import random
 from dataclasses import replace
 
@@ -105,7 +106,10 @@ def test_reports(spark):
         a, b = r.a.replace(" ", ""), r.b.replace(" ", "")
         blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
         assert r.ratio == (1.0 if not a else 0.0 if not b else sum(x.size for x in blocks) / len(a))
-    assert reports.Matcher().share("", "x") == 1.0 and reports.Matcher().share("x", "") == 0.0
+    assert reports.share("", "x") == 1.0 and reports.share("x", "") == 0.0
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd", k=rng.randint(0, 40))) for _ in range(2))
+        assert reports.shared_chars(a, b) == sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
     none = reports.chunk_summary(spark.createDataFrame([], "matched_category string")).first()
     assert none.total == 0 and none.matched_share is None
 
@@ -167,3 +171,37 @@ def test_validation_and_names(spark):
     df = spark.createDataFrame([("a", None), ("b", "c")], "user_id string, trip_id string")
     assert [r.ok for r in df.select(ingest.valid(df, ("user_id", "trip_id")).alias("ok")).collect()] == [False, True]
     assert ingest.camel_case(df).columns == ["userId", "tripId"]
+
+
+def test_evaluation_of_two_methods(spark):
+    tables = spark.createDataFrame(
+        [("t1", "p", 2, ["a", "b"], [["alpha beta", "10 won"], ["gamma", "delta"]]), ("t2", "p", 3, ["a"], [["abcdefghij"]]), ("t3", "q", 1, ["a"], [["x"]])],
+        "table_id string, pdf string, page int, columns array<string>, rows array<array<string>>",
+    )
+    pages = spark.createDataFrame([("p", 1, "other"), ("p", 2, "alphabeta 10won\ngamma"), ("p", 3, "abcd--efg"), ("p", 4, "")], "pdf string, page int, text string")
+    timings = spark.createDataFrame([("p", 2.0)], "pdf string, seconds double")
+    one = lambda rows, n, m: (rows, n, m)
+    results = spark.createDataFrame(
+        [("t1", 5.0, [one([["alpha", "zz"]], 1, 2), one([["alphabeta", "10won"], ["delta", None]], 2, 2), one([["delta", "10 won", "alpha beta"]], 1, 3)]), ("t2", 6.0, [])],
+        "table_id string, seconds double, candidates array<struct<rows:array<array<string>>,detected_rows:int,detected_cols:int>>",
+    )
+    got = {r.table_id: r for r in reports.evaluation(tables, pages, timings, results).collect()}
+    row = got["t1"]
+    assert (row.truth_cells, row.truth_rows, row.truth_cols, row.layout_recall, row.model_recall) == (4, 2, 2, 0.75, 0.75)
+    assert (row.layout_seconds_per_page, row.model_seconds, row.n_candidates, row.detected_rows, row.detected_cols) == (0.5, 5.0, 3, 2, 2)
+    assert (got["t2"].layout_recall, got["t2"].model_recall, got["t2"].n_candidates) == (1.0, 0.0, 0)  # seven of ten characters
+    assert (got["t3"].layout_recall, got["t3"].model_recall, got["t3"].model_seconds, got["t3"].layout_seconds_per_page) == (0.0, 0.0, None, None)
+
+
+def test_answers_with_contract_and_history(spark):
+    hits = spark.createDataFrame(
+        [(1, 1, "c", "d", 3, 3, "title", "included", "what the policy says", None, 0.5)],
+        "query_id long, rank long, chunk_id string, document_id string, page_start long, page_end long, section_title string, coverage_type string, text string, related_chunk_id string, score double",
+    )
+    asked = spark.createDataFrame([(1, "how much?", [("bags", True, 5000)], "[before]")], "query_id long, question string, contract array<struct<name:string,subscribed:boolean,limitAmount:bigint>>, history string")
+    whole = retrieval.answers(asked, hits, hits.drop("query_id", "rank", "score"), lambda message: retrieval.chat_request(message, "be brief", "m")).first()
+    request = json.loads(whole.answer)
+    assert request["temperature"] == 0 and request["model"] == "m" and [m["role"] for m in request["messages"]] == ["system", "user"]
+    told = request["messages"][1]["content"]
+    assert request["messages"][0]["content"] == "be brief"
+    assert [told.index(x) for x in ("bags: ", "5,000", "[before]", "what the policy says", "how much?")] == sorted(told.index(x) for x in ("bags: ", "5,000", "[before]", "what the policy says", "how much?"))

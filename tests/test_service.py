@@ -67,3 +67,36 @@ def test_runner_and_settings(spark, tmp_path, monkeypatch):
     assert Settings.load().top_k == 3 and Settings.load(spark).top_k == 3 and S.open_store(spark, Settings.load()).path == "store"
     (tmp_path / "k.json").write_text(json.dumps({"word": "cat"}))
     assert S.rules_for(Settings(keyword_path=str(tmp_path / "k.json"))).keywords[0].primary == "cat"
+
+
+def test_a_document_that_gives_nothing_now_fails(service, spark):
+    assert service.run_analysis(REQUEST)["status"] == "COMPLETED"
+    service.pages_of = lambda r: pages(spark).limit(0)
+    assert service.run_analysis(REQUEST)["status"] == "FAILED"
+
+
+def test_callback_sender():
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    from lamina.sources.files import CallbackError, http_sender
+
+    got = []
+
+    class Receiver(BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(200 if self.path.endswith("complete") else 500)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Receiver)
+    Thread(target=server.serve_forever, daemon=True).start()
+    send = http_sender(f"http://127.0.0.1:{server.server_port}/", 5)
+    send("results/1/complete", '{"a": 1}')
+    with pytest.raises(CallbackError):
+        send("/results/1/fail", "{}")
+    server.shutdown()
+    assert got == [("/results/1/complete", {"a": 1}), ("/results/1/fail", {})] and http_sender("") is None
