@@ -6,9 +6,10 @@ the inner products of the factors of each pair of terms that occur together, so
 that, say, an insult counts for more beside the mention of a group.
 
 It is trained on about SAMPLE labelled documents, chosen by hash of doc_id, whose
-ids and labels are the only thing broadcast (rows that repeat one of these ids:
-4 * SAMPLE in all at most). Of their terms those are kept whose chi-squared statistic against the label is CHI or more (the
-largest TERMS of them), so long texts don't drown in words that tell nothing.
+ids and labels are the only thing broadcast (rows that repeat one of these ids are fitted too:
+4 * SAMPLE rows at most). Of their terms those are kept whose chi-squared statistic against the label is CHI or more (the
+largest TERMS of them), so long texts don't drown in words that tell nothing. Terms are counted by Spark; only the kept
+ones of each text go to the one task that fits.
 Every whole text is then scored.
 
 Defined cases: null and empty texts: the score of a text without terms. Null
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, whole_text
+from .common import hash_sample, saved, whole_text
 
 BITS = 20
 SAMPLE, TERMS, CHI = 20_000, 4096, 12.0
@@ -89,21 +90,26 @@ class Machine:
         return self.bias + float(self.w[at].sum()) + 0.5 * float((total * total).sum() - (v * v).sum())
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
+def kept_terms(seen: np.ndarray, positive: np.ndarray, rows: int, positives: int) -> np.ndarray:
+    """Of terms the sorted ones to keep, from the numbers of rows that hold them, and of those of label 1."""
+    often = positive + seen >= 3
+    terms, a, b = np.flatnonzero(often), positive[often].astype(float), (seen - positive)[often].astype(float)
+    c, d = positives - a, rows - positives - b
+    chi = rows * (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * (a + c) * (b + d))
+    order = np.argsort(-chi, kind="stable")[:TERMS]
+    return np.sort(terms[order[chi[order] >= CHI]])
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, kept: np.ndarray | None = None) -> Machine:
     """Stochastic gradient descent with per-weight rates (AdaGrad) on the logistic loss; the same rows give the same machine."""
     n, positive = len(rows), int(labels.sum())
     share = (positive + 0.5) / (n + 1)
     bias = float(np.log(share / (1 - share)))
     if not positive or positive == n:
         return Machine(np.zeros(0, dtype=np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    count = lambda which: np.bincount(np.concatenate([rows[i] for i in which] or [[]]).astype(np.int64), minlength=1 << BITS)
-    a, b = count(np.flatnonzero(labels == 1)), count(np.flatnonzero(labels == 0))
-    seen = np.flatnonzero(a + b >= 3)
-    a, b = a[seen].astype(float), b[seen].astype(float)
-    c, d = positive - a, n - positive - b
-    chi = n * (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * (a + c) * (b + d))
-    order = np.argsort(-chi, kind="stable")[:TERMS]
-    kept = np.sort(seen[order[chi[order] >= CHI]])
+    if kept is None:
+        count = lambda which: np.bincount(np.concatenate([rows[i] for i in which] or [[]]).astype(np.int64), minlength=1 << BITS)
+        kept = kept_terms(count(range(n)), count(np.flatnonzero(labels == 1)), n, positive)
     rng = np.random.default_rng(7)
     machine = Machine(kept, bias, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
     held = [machine.at[r] for r in rows]
@@ -148,15 +154,27 @@ def train(docs: DataFrame, labels: DataFrame) -> bytes:
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "terms": [np.sort(terms(x)).tobytes() for x in pdf["text"]]})
+            yield pd.DataFrame({"label": pdf["label"], "terms": [np.sort(terms(x)).astype(np.int32) for x in pdf["text"]]})
+
+    found = saved(texts.select("label", "text").mapInPandas(hashed, "label int, terms array<int>"), "terms")
+    rows, positives = found.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    counted = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("positive"))
+    counts = counted.where("n >= 3").toArrow()  # 2**BITS rows of three numbers at most
+    seen, positive = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
+    seen[counts["term"].to_numpy()], positive[counts["term"].to_numpy()] = counts["n"].to_numpy(), counts["positive"].to_numpy()
+    kept = kept_terms(seen, positive, rows, positives)
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"label": pdf["label"], "terms": [np.intersect1d(x, kept).astype(np.uint32).tobytes() for x in pdf["terms"]]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches, pd.DataFrame(columns=["doc_id", "label", "terms"])]).sort_values(["doc_id", "terms"])
-        machine = fit([np.frombuffer(x, dtype=np.uint32) for x in rows["terms"]], rows["label"].to_numpy(dtype=float))
+        rows = pd.concat([*batches, pd.DataFrame(columns=["label", "terms"])]).sort_values(["label", "terms"])
+        machine = fit([np.frombuffer(x, dtype=np.uint32) for x in rows["terms"]], rows["label"].to_numpy(dtype=float), kept)
         yield pd.DataFrame({"model": [machine.dump()]})
 
-    found = texts.select("doc_id", "label", "text").mapInPandas(hashed, "doc_id long, label int, terms binary")
-    models = found.limit(4 * SAMPLE).repartition(1).mapInPandas(learn, "model binary").collect()  # of the sample
+    few = found.mapInPandas(reduced, "label int, terms binary").limit(4 * SAMPLE).repartition(1)  # TERMS numbers of each row at most
+    models = few.mapInPandas(learn, "model binary").collect()
     return bytes(models[0]["model"]) if models else fit([], np.zeros(0)).dump()
 
 

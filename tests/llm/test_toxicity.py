@@ -38,6 +38,25 @@ def test_learns_pairs_that_linear_weights_miss():
     assert m.v[at[0]] @ m.v[at[1]] < -1
 
 
+def test_trained_machine_is_that_of_all_terms(spark):
+    """Counting terms first and fitting the kept ones gives what fitting whole term lists does."""
+    rng = random.Random(5)
+    data = []
+    for i in range(600):
+        bad = rng.random() < 0.3
+        data.append((i, " ".join(rng.choices([f"word{k}" for k in range(400)], k=30) + (["stupid"] if bad else []) + (["folk"] if rng.random() < 0.3 else [])), int(bad)))
+    docs = ready(spark).createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    got = T.Machine.load(T.train(docs, labels))
+    told = [(T.terms(t), y) for i, t, y in data if zlib.crc32(str(i).encode()) % 5]
+    want = T.fit([x for x, _ in told], np.array([float(y) for _, y in told]))
+    assert got.kept.tolist() == want.kept.tolist() and len(want.kept)
+    scored = {r.doc_id: r.score for r in T.scored(docs, T.train(docs, labels)).collect()}
+    for i, t, _ in data[:50]:
+        margin = got.margin(T.terms(t))
+        assert abs(scored[i] - 1 / (1 + np.exp(-margin))) < 1e-9 and abs(margin - want.margin(T.terms(t))) < 2
+
+
 def test_report_on_documents(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = (ready(spark).read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
