@@ -94,6 +94,44 @@ ORACLES: dict[str, str] = {
                CAST(sum(14 + length(regexp_replace(role, '\\|###|</turn>|:', '_\0', 'g'))
                         + length(regexp_replace(text, '\\|###|</turn>', '_\0', 'g'))) AS BIGINT) AS formatted_chars
         FROM told GROUP BY conv_id""",
+    "op3_source_mix": r"""
+        WITH sized AS (
+            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+        per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+        named AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM per_source),
+        weighed AS (SELECT *, (sid - 1) % 3 + 1 AS weight, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / ((sid - 1) % 3 + 1) AS ratio FROM named),
+        lesser AS (
+            SELECT *, CAST(coalesce(sum(cap) OVER w, 0) AS BIGINT) AS caps, CAST(coalesce(sum(weight) OVER w, 0) AS BIGINT) AS weights
+            FROM weighed WINDOW w AS (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        levels AS (
+            SELECT max(CAST(total - caps AS DOUBLE) / CAST(all_weights - weights AS DOUBLE)) AS level
+            FROM lesser, (SELECT CAST(sum(source_size) AS BIGINT) AS total, CAST(sum(weight) AS BIGINT) AS all_weights FROM weighed)),
+        sources AS (
+            SELECT source, source_size, weight, least(CAST(cap AS DOUBLE), level * CAST(weight AS DOUBLE)) AS target,
+                   CAST(round(least(CAST(cap AS DOUBLE), level * CAST(weight AS DOUBLE))) AS BIGINT) AS demand
+            FROM weighed, levels),
+        units AS (
+            SELECT doc_id, source, size, count(*) AS n_same,
+                   CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR))[:13] AS BIGINT) AS place
+            FROM sized GROUP BY ALL),
+        placed AS (
+            SELECT u.doc_id, u.size, u.n_same, s.source_size, s.weight, s.target, s.demand, u.size * u.n_same AS words,
+                   CAST(coalesce(sum(u.size * u.n_same) OVER (
+                       PARTITION BY s.source ORDER BY u.place, u.doc_id NULLS FIRST, u.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+            FROM units u JOIN sources s ON u.source IS NOT DISTINCT FROM s.source),
+        copies AS (SELECT *, unnest(range(n_same)) AS copy, row_number() OVER () AS unit FROM placed),
+        passes AS (
+            SELECT *, greatest(0, least(words, demand - start - source_size * e)) AS given,
+                   least(1.0::DOUBLE, CAST(start + source_size * e AS DOUBLE) / CAST(greatest(1, demand) AS DOUBLE)) AS share,
+                   CAST((weight - 2) AS DOUBLE) * 0.5::DOUBLE AS slope
+            FROM copies, range(3) AS epochs(e)),
+        dealt AS (
+            SELECT *, given // n_same + CASE WHEN copy < given % n_same THEN 1 ELSE 0 END AS got,
+                   CASE WHEN weight = 2 THEN share
+                        ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END AS due
+            FROM passes)
+        SELECT doc_id, size, source_size, target, CAST(sum(got) AS BIGINT) AS taken, min(due) FILTER (WHERE got > 0) AS position
+        FROM dealt GROUP BY doc_id, size, source_size, target, unit, copy""",
     "op10_mtree_topk": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec

@@ -68,6 +68,12 @@ def due_at(share: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, share).otherwise(root)
 
 
+def place_of(doc_id: Column, size: Column) -> Column:
+    """52 pseudo-random bits that order a source's documents, which SQL can say too; buckets are ranges of them."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), size.cast("string"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
@@ -81,8 +87,8 @@ def mix(
     placed = (
         units.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
         .drop("name")
-        .withColumn("place", F.xxhash64("doc_id", "size"))
-        .withColumn("bucket", F.pmod("place", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / BUCKET_ROWS))))
+        .withColumn("place", place_of(F.col("doc_id"), F.col("size")))
+        .withColumn("bucket", F.shiftright(F.shiftright("place", 22) * F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_rows") / BUCKET_ROWS)), 30))
         .withColumn("words", F.col("size") * F.col("n_same"))
     )
     in_source = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
