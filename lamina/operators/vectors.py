@@ -34,13 +34,14 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = 8, scope: str |
     to every executor in blocks of BLOCK, each scored against a batch of corpus
     rows with one matrix product; k rows a query leave each batch. Zero queries
     have no result, zero rows score 0, and scores that are no number are left out.
+    Null vectors take no part; vectors of unlike length are compared as if zeros followed.
     """
     if scope:
         scored = queries.join(corpus, scope).select("query_id", "id", *_score())
         return _ranked(scored.where("has_norm and not isnan(score)"), k)
     partial = None
     for block in _blocks(queries):
-        part = corpus.select("id", "vector").mapInPandas(_scorer(block, k), "query_id long, id long, score double")
+        part = corpus.select("id", "vector").where("vector is not null").mapInPandas(_scorer(block, k), "query_id long, id long, score double")
         partial = part if partial is None else partial.unionByName(part)
     if partial is None:
         partial = corpus.sparkSession.createDataFrame([], "query_id long, id long, score double")
@@ -82,9 +83,13 @@ def _scorer(block: tuple[np.ndarray, np.ndarray], k: int):
         for pdf in batches:
             if not len(pdf) or not len(ids):
                 continue
-            m = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+            width = max(unit_queries.shape[1], *map(len, pdf["vector"]))
+            m = np.zeros((len(pdf), width))
+            for row, v in enumerate(pdf["vector"]):
+                m[row, : len(v)] = v
             n = np.linalg.norm(m, axis=1)
-            scores = unit_queries @ (m / np.where(n == 0, 1, n)[:, None]).T
+            asked = np.pad(unit_queries, ((0, 0), (0, width - unit_queries.shape[1])))
+            scores = asked @ (m / np.where(n == 0, 1, n)[:, None]).T
             scores = np.where(np.isnan(scores), -np.inf, scores)
             rows = pdf["id"].to_numpy()
             order = np.lexsort((np.broadcast_to(rows, scores.shape), -scores), axis=1)[:, :k] if scores.shape[1] > 1 else np.zeros((len(ids), 1), int)

@@ -421,15 +421,15 @@ def user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions embedded by the stand-in model, answered from documents of their language."""
+    """What users ask in every hundredth conversation, embedded by the stand-in model and answered from all documents."""
     embed = vectors.hashing_embedder()
-    texts = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("scope"), "text", "source")
+    texts = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source")
     stored = vectors.embedded(texts, "id", "text", embed).join(texts, "id")
-    questions = R.table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 100 = 0").select(
-        F.col("conv_id").alias("query_id"), F.col("text").alias("question"), F.lit("en").alias("scope")
+    questions = R.table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 100 = 0").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question")
     )
     asked_vectors = vectors.embedded(questions, "query_id", "question", embed).withColumnRenamed("vector", "query_vector").join(questions, "query_id")
-    found = vectors.cosine_top_k(asked_vectors.select("query_id", "query_vector", "scope"), stored.select("id", "vector", "scope"), scope="scope")
+    found = vectors.cosine_top_k(asked_vectors.select("query_id", "query_vector"), stored.select("id", "vector"))
     named = texts.select(
         "id", F.col("id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.col("id").alias("page_start"), F.col("id").alias("page_end"),
         F.col("source").alias("section_title"), CORPUS.coverage_type(F.col("source"), F.col("text")).alias("coverage_type"), "text", F.lit(None).cast("string").alias("related_chunk_id"),

@@ -2,7 +2,6 @@
 
 import difflib
 import json
-import json
 import random
 from dataclasses import replace
 
@@ -205,3 +204,11 @@ def test_answers_with_contract_and_history(spark):
     told = request["messages"][1]["content"]
     assert request["messages"][0]["content"] == "be brief"
     assert [told.index(x) for x in ("bags: ", "5,000", "[before]", "what the policy says", "how much?")] == sorted(told.index(x) for x in ("bags: ", "5,000", "[before]", "what the policy says", "how much?"))
+
+
+def test_vectors_that_are_null_or_of_unlike_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0, 5.0]), (5, [0.0, None]), (6, [0.6, 0.8])]
+    corpus = spark.createDataFrame(rows, "id long, vector array<float>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, query_vector array<float>")
+    got = [(r.id, round(r.score, 6)) for r in vectors.cosine_top_k(asked, corpus, 8).orderBy("rank").collect()]
+    assert got == [(1, 1.0), (3, 1.0), (6, 0.6), (4, 0.0)]
