@@ -335,9 +335,10 @@ def links(fps: DataFrame, radius: int = 3, apart: list[int] | None = None) -> Da
     limits = np.array(apart) if apart else None
     first = F.col("fp") if dict(fps.dtypes)["fp"] == "bigint" else F.get("fp", F.lit(0))
     word = lambda k: F.bit_count(F.shiftrightunsigned(first, 16 * k).bitwiseAND(65535)).cast("long")
-    if exact:
-        order, buckets, weight = F.col("part") * (1 << 31) + F.col("n_grams"), fps.agg(F.sum("n_grams")).first()[0] or 0, "n_grams"
-        buckets //= PACK_GRAMS
+    if exact:  # 31 bits of part, 12 of size, 20 that part a chain's sets of one size
+        size = F.floor(128 * F.log1p("n_grams")).cast("long")
+        order = (F.col("part") * (1 << 12) + size) * (1 << 20) + F.shiftrightunsigned(F.xxhash64("rep"), 44)
+        buckets, weight = (fps.agg(F.sum("n_grams")).first()[0] or 0) // PACK_GRAMS, "n_grams"
     else:
         order = F.col("n_grams") if sized else ((F.bit_count(first).cast("long") * 17 + word(0)) * 17 + word(1)) * 17 + word(2)
         order, buckets, weight = order * (1 << 20) + F.shiftrightunsigned(F.xxhash64("fp"), 44), fps.count() // PACK_ROWS, None

@@ -211,6 +211,27 @@ def test_only_similar_texts_are_one_class(spark, monkeypatch):
     assert similar_rows(spark, texts) == want
 
 
+def test_sets_of_one_size_in_one_chain_fill_several_packs(spark, monkeypatch):
+    packs, saved = [], S.saved
+
+    def counting(df, what):
+        table = saved(df, what)
+        if what == "packs":
+            sizes = [len(r.rep) // 8 for r in table.select("rep").collect()]
+            packs.append((len(sizes), max(sizes, default=0)))
+        return table
+
+    monkeypatch.setattr(S, "saved", counting)
+    monkeypatch.setattr(S, "PACK_GRAMS", 2000)
+    rng = random.Random(17)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = [" ".join(edited(words, 2, rng)) for _ in range(300)] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(100))]
+    assert len({len(s) for s in gram_sets(texts)}) == 1
+    assert similar_rows(spark, texts) == {0, 300}
+    n, most = packs[-2]  # the sets' comparison by fingerprints; the last is that of small sets
+    assert n >= 8 and most <= 100
+
+
 def test_repeated_lines_neither_link_nor_part_texts(spark):
     rng = random.Random(5)
     fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
