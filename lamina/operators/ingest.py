@@ -38,7 +38,7 @@ def chunk_texts(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "chunk_id", embed_text(F.col("section_title"), F.col("text")).alias("embed_text"))
 
 
-def analyse(requests: DataFrame, pages: DataFrame, rules: Rules, embed, store: ChunkStore) -> DataFrame:
+def analyse(requests: DataFrame, pages: DataFrame, rules: Rules, embed, store: ChunkStore, batch: int = 50) -> DataFrame:
     """Chunks, embeds and saves the requests' documents; then status rows (analysis_result_id, path, body).
 
     Requests whose document gives no chunks now, or that miss a field, fail alone,
@@ -50,7 +50,7 @@ def analyse(requests: DataFrame, pages: DataFrame, rules: Rules, embed, store: C
     scope = wanted.select("doc_id", "user_id", "trip_id", "policy_id").dropDuplicates(["doc_id"])
     chunks = chunk_pipeline(pages.join(scope.select("doc_id"), "doc_id", "left_semi"), rules)
     chunks = with_local_scope(chunks.join(scope, "doc_id").withColumn("document_id", F.col("doc_id"))).persist()
-    vectors = embedded(chunk_texts(chunks), "chunk_id", "embed_text", embed).join(chunks.select("doc_id", "chunk_id"), "chunk_id")
+    vectors = embedded(chunk_texts(chunks), "chunk_id", "embed_text", embed, batch).join(chunks.select("doc_id", "chunk_id"), "chunk_id")
     store.save(chunks, vectors)
     items = (
         coverage_items(chunks)

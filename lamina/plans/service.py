@@ -15,7 +15,7 @@ from ..operators.ingest import REQUEST_FIELDS, analyse
 from ..operators.layout import page_texts
 from ..operators.retrieval import answers, first_sentences
 from ..operators.vectors import embedded
-from ..sources.files import ChunkStore, post_payloads, read_pdfs, write_json
+from ..sources.files import ChunkStore, decoded, http_get, http_sender, post_payloads, read_pdfs, write_json
 from .settings import Settings
 
 RAG_FIELDS = ("user_id", "trip_id", "policy_id", "question")
@@ -38,9 +38,9 @@ def checked(request: dict, fields: tuple[str, ...]) -> list[str]:
 class Service:
     """pages_of gives the pages of a downloaded document; an answer is only ever drawn from stored chunks."""
 
-    def __init__(self, spark: SparkSession, store: ChunkStore, rules: Rules, embed: Callable, pages_of: Callable[[dict], DataFrame], send: Callable | None = None, answerer=first_sentences, top_k: int = 8):
+    def __init__(self, spark: SparkSession, store: ChunkStore, rules: Rules, embed: Callable, pages_of: Callable[[dict], DataFrame], send: Callable | None = None, answerer=first_sentences, top_k: int = 8, embed_batch: int = 50):
         self.spark, self.store, self.rules, self.embed = spark, store, rules, embed
-        self.pages_of, self.send, self.answerer, self.top_k = pages_of, send, answerer, top_k
+        self.pages_of, self.send, self.answerer, self.top_k, self.embed_batch = pages_of, send, answerer, top_k, embed_batch
 
     def health(self) -> tuple[int, dict]:
         return 200, {"status": "ok"}
@@ -55,7 +55,7 @@ class Service:
         """Saves the document's chunks, then sends the callback; any error becomes a failure callback, whose own failure is swallowed."""
         try:
             row = self.spark.createDataFrame([[request[camel(f)] for f in REQUEST_FIELDS]], ", ".join(f"{f} string" for f in REQUEST_FIELDS))
-            status = analyse(row, self.pages_of(request), self.rules, self.embed, self.store).select("path", "body").first()
+            status = analyse(row, self.pages_of(request), self.rules, self.embed, self.store, self.embed_batch).select("path", "body").first()
             path, body = status["path"], status["body"]
         except Exception as e:
             path, body = "fail", json.dumps({"analysisResultId": request.get("analysisResultId"), "status": "FAILED", "errorMessage": str(e)}, ensure_ascii=False)
@@ -77,11 +77,34 @@ class Service:
             return 500, FAILED
 
 
-def run_documents(spark: SparkSession, pdfs: str, decode: Callable[[bytes], list[dict]], rules: Rules, out: str) -> DataFrame:
-    """All documents of a glob to pages and chunks, written as JSON under out; the chunks. A document that can't be decoded ends the run."""
-    blocks = read_pdfs(spark, pdfs, decode)
+def whole(blocks: DataFrame) -> DataFrame:
+    """blocks, if every document could be decoded; else ValueError."""
     if bad := blocks.where("error is not null").select("doc_id", "error").first():
         raise ValueError(f"{bad['doc_id']}: {bad['error']}")
+    return blocks
+
+
+def downloaded_pages(spark: SparkSession, settings: Settings, decode: Callable[[bytes], list[dict]]) -> Callable[[dict], DataFrame]:
+    """pages_of a request: its one document is downloaded to the driver and decoded under the request's document id."""
+
+    def pages_of(request: dict) -> DataFrame:
+        content = http_get(request["downloadUrl"], settings.download_seconds)
+        file = spark.createDataFrame([(request["documentId"], bytearray(content))], "doc_id string, content binary")
+        return page_texts(whole(decoded(file, decode)))
+
+    return pages_of
+
+
+def service_of(spark: SparkSession, settings: Settings, embed: Callable, decode: Callable[[bytes], list[dict]], rules: Rules = KOREAN_POLICY, answerer=first_sentences) -> Service:
+    """The service that settings describe: its store, keywords, downloads, callbacks and sizes."""
+    pages_of = downloaded_pages(spark, settings, decode)
+    send = http_sender(settings.callback_url, settings.callback_seconds)
+    return Service(spark, open_store(spark, settings), rules_for(settings, rules), embed, pages_of, send, answerer, settings.top_k, settings.embed_batch)
+
+
+def run_documents(spark: SparkSession, pdfs: str, decode: Callable[[bytes], list[dict]], rules: Rules, out: str) -> DataFrame:
+    """All documents of a glob to pages and chunks, written as JSON under out; the chunks. A document that can't be decoded ends the run."""
+    blocks = whole(read_pdfs(spark, pdfs, decode))
     pages = page_texts(blocks)
     write_json(pages, f"{out}/pages")
     chunks = chunk_pipeline(pages, rules)

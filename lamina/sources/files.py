@@ -121,23 +121,29 @@ def with_local_scope(chunks: DataFrame) -> DataFrame:
     )
 
 
-def read_pdfs(spark: SparkSession, pattern: str, decode: Callable[[bytes], list[dict]]) -> DataFrame:
-    """blocks of PDF files; decode gives a block for each dict, pages from 1. A file that can't be decoded gives one row with its error."""
+def decoded(files: DataFrame, decode: Callable[[bytes], list[dict]]) -> DataFrame:
+    """blocks of files (doc_id, content); decode gives a block for each dict, pages from 1. A file that can't be decoded gives one row with its error."""
     import json
 
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+            for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
                 try:
-                    rows = [{"doc_id": stem, "error": None, **b} for b in decode(bytes(content))]
+                    rows = [{"doc_id": doc, "error": None, **b} for b in decode(bytes(content))]
                 except Exception as e:
-                    rows = [{"doc_id": stem, "error": json.dumps(str(e))}]
-                names = [x.split()[0] for x in BLOCKS.split(", ")]
+                    rows = [{"doc_id": doc, "error": json.dumps(str(e))}]
                 yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
+    return files.select("doc_id", "content").mapInPandas(run, BLOCKS)
+
+
+def read_pdfs(spark: SparkSession, pattern: str, decode: Callable[[bytes], list[dict]]) -> DataFrame:
+    """decoded() of the files that a glob matches, by their stems."""
     _files(spark, pattern)
-    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, BLOCKS)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return decoded(spark.read.format("binaryFile").load(pattern).select(stem.alias("doc_id"), "content"), decode)
 
 
 def fetched(requests: DataFrame, fetch: Callable[[str], bytes]) -> DataFrame:

@@ -100,3 +100,38 @@ def test_callback_sender():
         send("/results/1/fail", "{}")
     server.shutdown()
     assert got == [("/results/1/complete", {"a": 1}), ("/results/1/fail", {})] and http_sender("") is None
+
+
+def test_a_service_of_settings_downloads_and_calls_back(spark, tmp_path):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    got = []
+
+    class Both(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/file" else 404)
+            self.end_headers()
+            self.wfile.write(b"thanedble")
+
+        def do_POST(self):
+            got.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Both)
+    Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    block = {"page": 1, "block_idx": 0, "x0": 0.0, "y0": 300.0, "x1": 90.0, "y1": 310.0, "block_type": 0, "page_w": 100.0, "page_h": 800.0}
+    lines = "\n".join(f"line {i} of some {{}} words here" for i in range(5))
+    decode = lambda content: [block | {"text": lines.replace("{}", content.decode())}]
+    settings = Settings(store_path=str(tmp_path / "store"), callback_url=base, top_k=2, embed_batch=1)
+    made = S.service_of(spark, settings, vectors.hashing_embedder(), decode, CORPUS)
+    assert made.run_analysis(REQUEST | {"documentId": "a/b.c", "downloadUrl": f"{base}/file"})["status"] == "COMPLETED"
+    assert [r.document_id for r in made.store.index().collect()] == ["a/b.c"]
+    assert made.run_analysis(REQUEST | {"downloadUrl": f"{base}/none"})["status"] == "FAILED"
+    server.shutdown()
+    assert [(path, body["status"]) for path, body in got] == [("/complete", "COMPLETED"), ("/fail", "FAILED")] and (made.top_k, made.embed_batch) == (2, 1)
