@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from . import (
     chat_format,
     mtree_search,
+    permutation_index,
     quality,
     secret_scan,
     sentence_pieces,
     simhash_dedup,
     source_mix,
+    spelling_variants,
     text_fingerprints,
     token_files,
     toxicity,
@@ -69,6 +71,15 @@ def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op11_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_chat_format": op2_chat_format,
@@ -80,6 +91,8 @@ QUERIES = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_token_files": op9_token_files,
     "op10_mtree_topk": op10_mtree_topk,
+    "op11_permutation_ann": op11_permutation_ann,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
