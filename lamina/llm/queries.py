@@ -17,6 +17,7 @@ from . import (
     source_mix,
     spelling_variants,
     text_fingerprints,
+    token_alignment,
     token_files,
     toxicity,
 )
@@ -76,6 +77,10 @@ def op11_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variant_groups(table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_mtree_topk": op10_mtree_topk,
     "op11_permutation_ann": op11_permutation_ann,
+    "op12_token_alignment": op12_token_alignment,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
