@@ -41,12 +41,14 @@ from .common import saved, whole_text
 from .token_files import SPACES, Encoder
 
 #: Bytes of texts of a part, rows of a part's file, cuts remembered by a worker and their longest; pairs that are broadcast at most (some 100 MB).
-PART_BYTES, PARTS_A_FILE, CACHED_CUTS, LONGEST_CUT, MOST_PAIRS = 4_000_000, 4, 700_000, 48, 1_000_000
+PART_BYTES, PARTS_A_FILE, CACHED_CUTS, LONGEST_CUT, MOST_PAIRS = 8_000_000, 4, 250_000, 48, 1_000_000
+#: Tokens of a cut at most that are compared one by one; those of longer cuts are sorted together.
+FEW = 64
 SPACE, MARK = "▁", "\0"
 #: A pair of ids as one number.
 FIRST = 1 << 20
-TOKENS = "a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
-PARTS = f"part long, docs array<struct<doc_id long, n_a long, n_b long, cuts array<int>>>, cuts array<struct<{', '.join(x.replace(' ', ': ', 1) for x in TOKENS.split(', '))}>>"
+TOKENS = "array<struct<id: int, start: int, end: int>>"
+PARTS = f"part long, docs array<struct<doc_id: long, n_a: long, n_b: long, cuts: array<int>>>, cuts array<struct<a: {TOKENS}, b: {TOKENS}>>"
 
 
 class Tokens:
@@ -56,6 +58,7 @@ class Tokens:
         import sentencepiece
 
         self.a = Encoder(a_path)
+        self.a.memory = ChunkMemory(CACHED_CUTS, LONGEST_CUT)
         self.a.library.encode_special_tokens = True
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [self.pieces.id_to_piece(i) for i in range(len(self.pieces))]
@@ -95,10 +98,11 @@ class Tokens:
             ends, last = np.cumsum(width[ids]), np.cumsum(n)
             before = np.concatenate([[0], ends])[np.concatenate([[0], last])]
             ok &= np.diff(before) == size
-            offsets = pa.array(np.concatenate([[0], last]), pa.int32())
-            arrays += [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids, ends - np.repeat(before[:-1], n))]
+            ends -= np.repeat(before[:-1], n)
+            held = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (ids, ends - width[ids], ends)], ["id", "start", "end"])
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last]), pa.int32()), held))
             counts.append(n)
-        return pa.StructArray.from_arrays(arrays, ["a", "a_ends", "b", "b_ends"]), *counts, ok
+        return pa.StructArray.from_arrays(arrays, ["a", "b"]), *counts, ok
 
 
 _tokens: dict[tuple[str, str], Tokens] = {}
@@ -157,7 +161,32 @@ def ranks(ends: Column, at: Column) -> Column:
 
 def aligned(cut: Column) -> Column:
     """struct<groups, n_groups, links> of a cut's tokens: its groups as text, and a pair of ids for each link."""
-    a, b, a_ends, b_ends = (cut[c] for c in ("a", "b", "a_ends", "b_ends"))
+    return F.when(F.size(cut["a"]) + F.size(cut["b"]) <= FEW, aligned_few(cut)).otherwise(aligned_many(cut))
+
+
+def aligned_few(cut: Column) -> Column:
+    """By comparing each token of A with each of B, and finding each common end."""
+    a, b = cut["a"], cut["b"]
+    overlapping = lambda x: F.filter(b, lambda y: (y["end"] > x["start"]) & (y["start"] < x["end"]))
+    links = F.flatten(F.transform(a, lambda x: F.transform(overlapping(x), lambda y: x["id"].cast("long") * FIRST + y["id"])))
+
+    def groups(cuts: Column) -> Column:
+        def ids(of: Column, low: Column, high: Column) -> Column:
+            inside = F.filter(of, lambda x: (x["end"] > low) & (x["end"] <= high))
+            return F.array_join(F.transform(inside, lambda x: x["id"].cast("string")), ",")
+
+        def group(end: Column, k: Column) -> Column:
+            before = F.when(k == 0, F.lit(0)).otherwise(F.get(cuts, k - 1))
+            return bound(before, lambda low: F.concat(ids(a, low, end), F.lit("|"), ids(b, low, end)))
+
+        return F.struct(F.array_join(F.transform(cuts, group), ";").alias("groups"), F.size(cuts).cast("long").alias("n_groups"), links.alias("links"))
+
+    return bound(F.array_intersect(a["end"], b["end"]), groups)
+
+
+def aligned_many(cut: Column) -> Column:
+    """By sorting ends together."""
+    a, b, a_ends, b_ends = cut["a"]["id"], cut["b"]["id"], cut["a"]["end"], cut["b"]["end"]
 
     def of_steps(steps: Column) -> Column:
         found = F.struct(ranks(a_ends, steps).alias("a"), ranks(b_ends, steps).alias("b"), ranks(steps, F.array_intersect(a_ends, b_ends)).alias("cut"))

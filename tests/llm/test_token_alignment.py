@@ -71,8 +71,9 @@ def texts():
     return out + ["word" * 400, "ab\n" * 300]
 
 
-@pytest.mark.parametrize(("part_bytes", "most_pairs"), [(4_000_000, 1_000_000), (500, 0)])
-def test_matches_plain_version(spark, monkeypatch, part_bytes, most_pairs):
+@pytest.mark.parametrize(("part_bytes", "most_pairs", "few"), [(3_000_000, 1_000_000, 64), (500, 0, 0)])
+def test_matches_plain_version(spark, monkeypatch, part_bytes, most_pairs, few):
+    monkeypatch.setattr(T, "FEW", few)
     monkeypatch.setattr(T, "PART_BYTES", part_bytes)
     monkeypatch.setattr(T, "MOST_PAIRS", most_pairs)
     rows = [(i, t, "", "") for i, t in enumerate(texts())] + [(1, None, "", ""), (2, "", "", ""), (None, "the same", "", ""), (9, "the same", "", ""), (9, "the same", "", "")]
