@@ -41,7 +41,9 @@ from .common import saved, whole_text
 from .token_files import SPACES, Encoder
 
 #: Bytes of texts of a part, rows of a part's file, cuts remembered by a worker and their longest; pairs that are broadcast at most (some 100 MB).
-PART_BYTES, PARTS_A_FILE, CACHED_CUTS, LONGEST_CUT, MOST_PAIRS = 8_000_000, 4, 250_000, 48, 1_000_000
+PART_BYTES, PARTS_A_FILE, CACHED_CUTS, LONGEST_CUT, MOST_PAIRS = 3_000_000, 4, 400_000, 48, 1_000_000
+#: Cuts of one call of the library.
+CALL_CUTS = 20_000
 #: Tokens of a cut at most that are compared one by one; those of longer cuts are sorted together.
 FEW = 64
 SPACE, MARK = "▁", "\0"
@@ -79,6 +81,9 @@ class Tokens:
 
     def b_ids(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of cuts: the space that B adds is a cut's own first space, or else goes again."""
+        if len(cuts) > CALL_CUTS:
+            parts = [self.b_ids(cuts[lo : lo + CALL_CUTS]) for lo in range(0, len(cuts), CALL_CUTS)]
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         own = [c[:1] == " " for c in cuts]
         found = self.pieces.encode([c[1:] if o else c for c, o in zip(cuts, own, strict=True)], num_threads=1)
         lone = [self.pieces.piece_to_id(SPACE)]  # of a space alone, as B adds none to an empty text
