@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,83 +28,99 @@ def unit(v: Column) -> Column:
     return F.transform(F.array(length), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = 8, scope: str | None = None) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest rows of corpus (id, vector) to each of queries (query_id, vector), ties by id.
-
-    With a scope column in both, only rows of the query's scope take part: an
-    equi-join that filters before any score. Without one, the stated queries go
-    to every executor in blocks of BLOCK, each scored against a batch of corpus
-    rows with one matrix product; k rows a query leave each batch. Zero queries
-    have no result, zero rows score 0, and scores that are no number are left out.
-    Null vectors take no part; vectors of unlike length are compared as if zeros followed.
-    """
-    if scope:
-        scored = queries.join(corpus, scope).select("query_id", "id", *_score())
-        return _ranked(scored.where("has_norm and not isnan(score)"), k)
-    partial = None
-    for block in _blocks(queries):
-        part = corpus.select("id", "vector").where("vector is not null").mapInPandas(_scorer(block, k), "query_id long, id long, score double")
-        partial = part if partial is None else partial.unionByName(part)
-    if partial is None:
-        partial = corpus.sparkSession.createDataFrame([], "query_id long, id long, score double")
-    return _ranked(partial, k)
-
-
-BLOCK = 4096
-
-
-def _score() -> tuple[Column, Column]:
-    q, v = norm(queries_vector()), norm(F.col("vector"))
-    score = dot(queries_vector(), F.col("vector")) / (q * F.when(v == 0, F.lit(1.0)).otherwise(v))
-    return (q > 0).alias("has_norm"), F.when(q > 0, score).alias("score")
-
-
-def queries_vector() -> Column:
-    return F.col("query_vector")
+#: Doubles of a cell's matrix at most (32 MB), and of a matrix of scores; rows of a cell at most.
+CELL_VALUES, SCORE_VALUES, CELL_ROWS = 1 << 22, 1 << 22, 1 << 16
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries in blocks, a block in the driver at a time."""
-    rows: list = []
-    for r in queries.select("query_id", "query_vector").orderBy("query_id").toLocalIterator():
-        rows.append(r)
-        if len(rows) == BLOCK:
-            yield np.array([x[0] for x in rows]), np.array([x[1] for x in rows], dtype=np.float64)
-            rows = []
-    if rows:
-        yield np.array([x[0] for x in rows]), np.array([x[1] for x in rows], dtype=np.float64)
-
-
-def _scorer(block: tuple[np.ndarray, np.ndarray], k: int):
-    ids, vectors = block
-    lengths = np.linalg.norm(vectors, axis=1)
-    live = lengths > 0
-    ids, unit_queries = ids[live], vectors[live] / lengths[live, None]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            width = max(unit_queries.shape[1], *map(len, pdf["vector"]))
-            m = np.zeros((len(pdf), width))
-            for row, v in enumerate(pdf["vector"]):
-                m[row, : len(v)] = v
-            n = np.linalg.norm(m, axis=1)
-            asked = np.pad(unit_queries, ((0, 0), (0, width - unit_queries.shape[1])))
-            scores = asked @ (m / np.where(n == 0, 1, n)[:, None]).T
-            scores = np.where(np.isnan(scores), -np.inf, scores)
-            rows = pdf["id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(rows, scores.shape), -scores), axis=1)[:, :k] if scores.shape[1] > 1 else np.zeros((len(ids), 1), int)
-            best = np.take_along_axis(scores, order, axis=1)
-            out = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": rows[order].ravel(), "score": best.ravel()})
-            yield out[np.isfinite(out["score"])]
-
-    return run
-
-
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = 8, scope: str | None = None) -> DataFrame:
+    """(query_id, rank, id, score): the k nearest rows of corpus (id, vector) to each of queries (query_id, query_vector), ties by id.
+
+    With a scope column in both, only rows of the query's scope take part; a null
+    scope is no one's. Both tables are dealt to a grid: a scope's queries in some
+    rows of cells, its corpus in some columns, by hashes of their ids. A cell is a
+    task's matrix product, and k rows a query leave it. So one hot scope is as many
+    cells as it needs, and no table, count or query passes the driver.
+
+    Null ids and null vectors, and vectors that hold null, NaN or infinite
+    components, take no part on either side. Vectors of unlike length are compared as
+    if zeros followed. Zero queries have no result, zero rows score 0. Rows that
+    repeat an id are ranked each; queries that repeat one share their ranks.
+    """
+    where = F.col(scope) if scope else F.lit(0)
+    q = _dealt(_usable(queries, "query_id", "query_vector", where).where(F.exists("vector", lambda x: x != 0)), "row")
+    c = _dealt(_usable(corpus, "id", "vector", where), "column")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    sizes = q.sizes.join(c.sizes, "scope")
+    asked = q.rows.join(sizes, "scope").select("scope", q.place("n_row").alias("row"), each(F.col("n_column")).alias("column"), F.col("key").alias("query_id"), F.lit(None).cast(c.kind).alias("id"), "vector")
+    held = c.rows.join(sizes, "scope").select("scope", each(F.col("n_row")).alias("row"), c.place("n_column").alias("column"), F.lit(None).cast(q.kind).alias("query_id"), F.col("key").alias("id"), "vector")
+    cells = asked.unionByName(held).groupBy("scope", "row", "column")
+    found = cells.applyInArrow(lambda table: _cell(table, k), f"query_id {q.kind}, id {c.kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _usable(df: DataFrame, key: str, vector: str, scope: Column) -> DataFrame:
+    """scope, key, vector (doubles) of rows that take part."""
+    rows = df.select(scope.alias("scope"), F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(F.col("scope").isNotNull() & F.col("key").isNotNull() & F.coalesce(fine, F.lit(False)))
+
+
+class _dealt:
+    """A side of the grid: its rows, their key's type, and the number of cells of each scope, which its widest vector and its rows give."""
+
+    def __init__(self, rows: DataFrame, side: str):
+        self.rows, self.kind = rows, dict(rows.dtypes)["key"]
+        most = F.least(F.lit(CELL_ROWS), F.greatest(F.lit(1), F.floor(F.lit(CELL_VALUES) / F.greatest(F.lit(1), F.max(F.size("vector"))))))
+        self.sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / most).cast("int").alias(f"n_{side}"))
+
+    def place(self, n: str) -> Column:
+        return F.pmod(F.xxhash64("key", "vector"), F.col(n)).cast("int")
+
+
+def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    """Vectors of at most `width` components, zeros following."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    values = vectors.flatten().to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes == width).all():
+        return values.reshape(-1, width)
+    out = np.zeros((len(sizes), width))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    return out
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows over their norms, taken without overflow; zero rows stay."""
+    m = m / np.where((most := np.abs(m).max(axis=1, initial=0.0)) == 0, 1, most)[:, None]
+    n = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(n == 0, 1, n)[:, None]
+
+
+def _cell(table: pa.Table, k: int) -> pa.Table:
+    """query_id, id, score: the k best rows of a cell for each of its queries."""
+    asks = pc.is_valid(table["query_id"])
+    asked, held = table.filter(asks).combine_chunks(), table.filter(pc.invert(asks)).combine_chunks()
+    sides = [(x.column("vector").combine_chunks() if x.num_rows else pa.array([], pa.list_(pa.float64()))) for x in (asked, held)]
+    sides = [x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in sides]
+    width = max((pc.max(pc.list_value_length(x)).as_py() or 0 for x in sides), default=0)
+    q, c = (_unit_rows(_matrix(x, width)) for x in sides)
+    order = pc.sort_indices(held["id"]).to_numpy()  # positions then stand for ids on ties
+    c, rows, columns, scores = c[order], [], [], []
+    step = max(1, SCORE_VALUES // max(1, len(c)))
+    for lo in range(0, len(q) if len(c) else 0, step):
+        block = q[lo : lo + step] @ c.T
+        least = np.partition(block, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(block), -np.inf)
+        row, column = np.nonzero(block >= least[:, None] - 1e-9)  # equal vectors may differ by rounding there
+        score = np.einsum("ij,ij->i", q[lo + row], c[column])
+        best = np.lexsort((column, -score, row))
+        row, column, score = row[best], column[best], score[best]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        rows.append(lo + row[kept])
+        columns.append(column[kept])
+        scores.append(score[kept])
+    row, column, score = (np.concatenate([np.zeros(0, dtype=t), *x]) for x, t in ((rows, np.int64), (columns, np.int64), (scores, np.float64)))
+    return pa.table({"query_id": asked["query_id"].take(pa.array(row)), "id": held["id"].take(pa.array(order[column])), "score": score})
 
 
 def hashing_embedder(size: int = 64):
