@@ -94,6 +94,21 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
+def source_pdf(path: Column) -> Column:
+    """The PDF that a file of pages was made of: its name with .pdf for the ending _pages.json; other names stay."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"_pages\.json$", ".pdf")
+
+
+def chunks_file(path: Column) -> Column:
+    """The file of chunks that belongs to a file of pages: its name with _chunks.json for the ending _pages.json; other names stay."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"_pages\.json$", "_chunks.json")
+
+
+def document_stem(path: Column) -> Column:
+    """A document's name from that of its file of pages, chunks or embeddings, or its PDF."""
+    return F.regexp_replace(file_stem(path), "_(pages|chunks|embeddings)$", "")
+
+
 def camel(name: str) -> str:
     head, *rest = name.split("_")
     return head + "".join(x.capitalize() for x in rest)

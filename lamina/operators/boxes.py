@@ -70,13 +70,31 @@ def padded(objects: DataFrame, width: Column, height: Column, by: float = PADDIN
     )
 
 
+def inside(points: DataFrame, at: str, intervals: DataFrame, low: str, high: str, key: str) -> DataFrame:
+    """points with the columns of each interval [low, high) of their key that they lie in.
+
+    A range search by buckets as wide as a key's intervals are on average: an interval
+    is in the buckets that it touches, some two if intervals don't overlap much, and a
+    point meets the intervals of its own bucket only. Points without a place, and
+    empty intervals, meet none.
+    """
+    bounds = intervals.where(F.col(low) < F.col(high)).groupBy(key).agg(F.min(low).alias("__base"), ((F.max(high) - F.min(low)) / F.count("*")).alias("__width"))
+    bucket = lambda c: F.floor((F.col(c) - F.col("__base")) / F.col("__width"))
+    cut = intervals.where(F.col(low) < F.col(high)).join(bounds, key).withColumn("__bucket", F.explode(F.sequence(bucket(low), bucket(high)))).drop("__base", "__width")
+    placed = points.where(F.col(at).isNotNull()).join(bounds, key).withColumn("__bucket", bucket(at)).drop("__base", "__width")
+    return placed.join(cut, [key, "__bucket"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__bucket")
+
+
 def cell_texts(cells: DataFrame, words: DataFrame, key: str = "table_id") -> DataFrame:
-    """(key, row_no, col_no, text): words (key, word_no, x0, y0, x1, y1, text) whose centre lies in a cell, in order; empty cells are kept."""
+    """(key, row_no, col_no, text): words (key, word_no, x0, y0, x1, y1, text) whose centre lies in a cell, in order; empty cells are kept.
+
+    cells are a grid: a word is put into rows by y and into columns by x, each by a range search, and never meets the other cells.
+    """
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     placed = words.select(key, "word_no", x.alias("cx"), y.alias("cy"), F.col("text").alias("word"))
-    inside = (F.col("cx") >= F.col("xmin")) & (F.col("cx") < F.col("xmax")) & (F.col("cy") >= F.col("ymin")) & (F.col("cy") < F.col("ymax"))
+    rows, columns = cells.select(key, "row_no", "ymin", "ymax").distinct(), cells.select(key, "col_no", "xmin", "xmax").distinct()
     found = (
-        cells.join(placed, key).where(inside).groupBy(key, "row_no", "col_no")
+        inside(inside(placed, "cy", rows, "ymin", "ymax", key), "cx", columns, "xmin", "xmax", key).groupBy(key, "row_no", "col_no")
         .agg(collapsed(F.array_join(F.array_sort(F.collect_list(F.struct("word_no", "word")))["word"], " ")).alias("text"))
     )
     return cells.join(found, [key, "row_no", "col_no"], "left").select(key, "row_no", "col_no", F.coalesce("text", F.lit("")).alias("text"))

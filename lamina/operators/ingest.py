@@ -42,16 +42,22 @@ def analyse(requests: DataFrame, pages: DataFrame, rules: Rules, embed, store: C
     """Chunks, embeds and saves the requests' documents; then status rows (analysis_result_id, path, body).
 
     Requests whose document gives no chunks now, or that miss a field, fail alone,
-    whatever the store holds of earlier runs. Chunks are saved before any payload
-    is made, and made once: payloads are of the kept ones.
+    whatever the store holds of earlier runs. Of several requests for one document
+    the one with the greatest analysis_result_id gives user, trip and policy. Chunks
+    are made once, saved with their vectors before any payload is made, and read back.
     """
     ok = valid(requests, REQUEST_FIELDS)
-    wanted = requests.where(ok).select("analysis_result_id", F.col("document_id").alias("doc_id"), "user_id", "trip_id", "policy_id")
-    scope = wanted.select("doc_id", "user_id", "trip_id", "policy_id").dropDuplicates(["doc_id"])
+    scope = (
+        requests.where(ok).groupBy(F.col("document_id").alias("doc_id"))
+        .agg(F.max(F.struct("analysis_result_id", "user_id", "trip_id", "policy_id")).alias("r"))
+        .select("doc_id", "r.user_id", "r.trip_id", "r.policy_id")
+    )
     chunks = chunk_pipeline(pages.join(scope.select("doc_id"), "doc_id", "left_semi"), rules)
-    chunks = with_local_scope(chunks.join(scope, "doc_id").withColumn("document_id", F.col("doc_id"))).persist()
-    vectors = embedded(chunk_texts(chunks), "chunk_id", "embed_text", embed, batch).join(chunks.select("doc_id", "chunk_id"), "chunk_id")
-    store.save(chunks, vectors)
+    chunks = store.staged(with_local_scope(chunks.join(scope, "doc_id").withColumn("document_id", F.col("doc_id"))))
+    vectors = embedded(chunk_texts(chunks), "chunk_id", "embed_text", embed, batch, keep=("doc_id",))
+    save_id = store.save(chunks, vectors)
+    if store.version():
+        chunks = store.rows(save_id)
     items = (
         coverage_items(chunks)
         .groupBy("doc_id")

@@ -105,7 +105,7 @@ def containment(truth: Column, found: Column) -> Column:
 
 def exact_containments(truths: Column, found: Column) -> Column:
     """1 for each text that found holds whole, white space aside, else 0."""
-    bare = F.transform(F.array(compare_form(found)), lambda f: F.transform(truths, lambda t: F.contains(f, compare_form(t)).cast("double")))
+    bare = F.transform(F.array(F.coalesce(compare_form(found), F.lit(""))), lambda f: F.transform(truths, lambda t: F.contains(f, compare_form(t)).cast("double")))
     return F.get(bare, F.lit(0))
 
 
@@ -115,13 +115,13 @@ def recall(scored: DataFrame, key: list[str], threshold: float = THRESHOLD) -> D
 
 
 def cells_of(truth: DataFrame, key: list[str]) -> DataFrame:
-    """(key, cells): the cells of a table as an array; the order says nothing."""
-    return truth.groupBy(*key).agg(F.collect_list("cell").alias("cells"))  # one table
+    """(key, cells): the cells of a table as an array; the order says nothing. Null cells are empty ones, which are found anywhere."""
+    return truth.groupBy(*key).agg(F.collect_list(F.coalesce("cell", F.lit(""))).alias("cells"))  # one table
 
 
 def passed(ratios: Column, threshold: float = THRESHOLD) -> Column:
-    """Share of ratios at the threshold or over it."""
-    return F.size(F.filter(ratios, lambda r: r >= threshold)) / F.size(ratios)
+    """Share of ratios at the threshold or over it; null of none."""
+    return F.try_divide(F.size(F.filter(ratios, lambda r: r >= threshold)).cast("double"), F.size(ratios).cast("double"))
 
 
 def scored_candidates(truth: DataFrame, candidates: DataFrame, ratios=containments) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import page_label, quote
+from ..functions.text import file_stem, page_label, quote
 
 # Labels and wording of the Korean prompts.
 COVERAGE_LABELS = {"included": "보장", "excluded": "면책(보상하지 않음)", "procedure": "청구절차", "definition": "용어정의"}
@@ -17,6 +17,13 @@ EVIDENCE, CONTRACT, HISTORY, EVIDENCE_HEAD, QUESTION_HEAD = "근거", "[가입 
 SUBSCRIBED, NOT_SUBSCRIBED, LIMIT, WON, USER, ASSISTANT = "가입", "미가입", "한도", "원", "사용자", "어시스턴트"
 
 
+def hit_rows(chunks: DataFrame) -> DataFrame:
+    """chunks as search gives them: where document_id is missing, the stem of source_file, if chunks have one, names the document."""
+    named = F.nullif(F.col("document_id"), F.lit("")) if "document_id" in chunks.columns else F.lit(None).cast("string")
+    stem = file_stem(F.col("source_file")) if "source_file" in chunks.columns else F.lit(None).cast("string")
+    return chunks.withColumn("document_id", F.coalesce(named, stem))
+
+
 def by_ids(ids: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows of chunks in the order of ids (query_id, ids array<string>); unknown ids are left out, scores are 0."""
     wanted = ids.select("query_id", F.posexplode("ids").alias("pos", "chunk_id"))

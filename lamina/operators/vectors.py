@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,24 +140,33 @@ def hashing_embedder(size: int = 64):
     return embed
 
 
-def embedded(rows: DataFrame, key: str, text: str, embed, batch: int = 50, retries: int = 1) -> DataFrame:
-    """(key, vector): texts in batches of 50 through a model, a batch tried once more if it fails."""
+def embedded(rows: DataFrame, key: str, text: str, embed, batch: int = 50, retries: int = 1, wait: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, vector, and the columns to keep): texts in batches of 50 through a model, a batch tried once more, after `wait` seconds, if it fails."""
+    names = [key, *keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # what Arrow's batches leave over, so that the model's batches are full
+
+        def ask(part: pd.DataFrame) -> pd.DataFrame:
+            for attempt in range(retries + 1):
+                try:
+                    return part[names].assign(vector=embed(part[text].tolist()))
+                except Exception:
+                    if attempt == retries:
+                        raise
+                    time.sleep(wait)
+            raise AssertionError
+
         for pdf in batches:
-            for lo in range(0, len(pdf), batch):
-                part = pdf.iloc[lo : lo + batch]
-                for attempt in range(retries + 1):
-                    try:
-                        found = embed(part[text].tolist())
-                        break
-                    except Exception:
-                        if attempt == retries:
-                            raise
-                yield pd.DataFrame({key: part[key].to_numpy(), "vector": found})
-
-    kind = dict(rows.dtypes)[key]
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<float>")
+            held = [pd.concat([*held, pdf], ignore_index=True)]
+            while len(held[0]) >= batch:
+                yield ask(held[0].iloc[:batch])
+                held = [held[0].iloc[batch:]]
+        if held and len(held[0]):
+            yield ask(held[0])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*names, text).mapInPandas(run, ", ".join([f"{n} {kinds[n]}" for n in names]) + ", vector array<float>").select(key, "vector", *keep)
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,9 @@ from ..functions.text import camel
 from ..operators.chunks import chunk_pipeline
 from ..operators.ingest import REQUEST_FIELDS, analyse
 from ..operators.layout import page_texts
-from ..operators.retrieval import answers, first_sentences
-from ..operators.vectors import embedded
-from ..sources.files import ChunkStore, decoded, http_get, http_sender, post_payloads, read_pdfs, write_json
+from ..operators.retrieval import answers, first_sentences, hit_rows
+from ..operators.vectors import cosine_top_k, embedded
+from ..sources.files import ChunkStore, decoded, download_name, http_get, http_parts, http_sender, post_payloads, read_pdfs, saved_downloads, write_json
 from .settings import Settings
 
 RAG_FIELDS = ("user_id", "trip_id", "policy_id", "question")
@@ -68,8 +69,10 @@ class Service:
         try:
             asked = self.spark.createDataFrame([(1, request["question"], request["policyId"])], "query_id long, question string, policy_id string")
             vectors = embedded(asked, "query_id", "question", self.embed).withColumnRenamed("vector", "query_vector").join(asked, "query_id")
-            chunks = self.store.index().drop("vector")
-            found = self.store.search(vectors.select("query_id", "query_vector", "policy_id"), self.top_k)
+            stored = self.store.of_policies(asked)  # a policy's own files, for search, hits and related chunks alike
+            chunks = hit_rows(stored.drop("vector"))
+            corpus = stored.select(F.col("chunk_id").alias("id"), "vector", "policy_id")
+            found = cosine_top_k(vectors.select("query_id", "query_vector", "policy_id"), corpus, self.top_k, "policy_id")
             hits = found.join(chunks, F.col("id") == F.col("chunk_id")).drop("id")
             answer = answers(asked.select("query_id", "question"), hits, chunks, self.answerer).first()
             return 200, {"answer": answer["answer"], "sources": [s.asDict() for s in answer["sources"]]}
@@ -84,12 +87,29 @@ def whole(blocks: DataFrame) -> DataFrame:
     return blocks
 
 
+def glob_escaped(path: str) -> str:
+    return re.sub(r"([\\\[\]{}*?,])", r"\\\1", path)
+
+
 def downloaded_pages(spark: SparkSession, settings: Settings, decode: Callable[[bytes], list[dict]]) -> Callable[[dict], DataFrame]:
-    """pages_of a request: its one document is downloaded to the driver and decoded under the request's document id."""
+    """pages_of a request: its document, decoded under the request's document id.
+
+    With a download folder, an executor streams it there as <document_id>.pdf; else its bytes pass the driver.
+    """
 
     def pages_of(request: dict) -> DataFrame:
-        content = http_get(request["downloadUrl"], settings.download_seconds)
-        file = spark.createDataFrame([(request["documentId"], bytearray(content))], "doc_id string, content binary")
+        doc, url = request["documentId"], request["downloadUrl"]
+        if settings.download_path:
+            asked = spark.createDataFrame([(doc, url)], "document_id string, download_url string")
+            seconds = settings.download_seconds
+            done = saved_downloads(asked, settings.download_path, lambda u: http_parts(u, seconds)).first()
+            if done["error"]:
+                raise ValueError(f"{doc}: {done['error']}")
+            found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(glob_escaped(f"{settings.download_path}/{download_name(doc)}"))
+            file = found.select(F.lit(doc).alias("doc_id"), "content")
+        else:
+            content = http_get(url, settings.download_seconds)
+            file = spark.createDataFrame([(doc, bytearray(content))], "doc_id string, content binary")
         return page_texts(whole(decoded(file, decode)))
 
     return pages_of

@@ -17,6 +17,7 @@ class Settings:
     embed_batch: int = 50
     download_seconds: float = 30.0
     callback_seconds: float = 10.0
+    download_path: str = ""
 
     @classmethod
     def load(cls, spark: SparkSession | None = None) -> Settings:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import file_stem
+from .store import ChunkStore as ChunkStore
 
 PAGES = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("text", T.StringType())])
 CHUNKS = T.StructType(
@@ -65,38 +66,6 @@ def read_vectors(spark: SparkSession, pattern: str) -> DataFrame:
     return whole.select("doc_id", F.explode(F.from_json("value", "map<string,array<float>>")).alias("chunk_id", "vector"))
 
 
-class ChunkStore:
-    """Chunks and vectors of documents as Parquet, partitioned by document; saving a document replaces it."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def save(self, chunks: DataFrame, vectors: DataFrame) -> None:
-        """chunks and vectors (chunk_id, vector) with doc_id; documents without chunks are left as they are."""
-        for df, part in ((chunks, "chunks"), (vectors, "vectors")):
-            writer = df.repartition("doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy("doc_id").parquet(f"{self.path}/{part}")
-
-    def _read(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{part}")
-
-    def index(self) -> DataFrame:
-        """Chunks with their vectors, scope filled in; chunks without a vector are left out."""
-        return with_local_scope(joined(self._read("chunks"), self._read("vectors")))
-
-    def by_ids(self, ids: DataFrame) -> DataFrame:
-        from ..operators.retrieval import by_ids
-
-        return by_ids(ids, self.index())
-
-    def search(self, queries: DataFrame, k: int = 8, scoped: bool = True) -> DataFrame:
-        """k nearest chunks of each of queries (query_id, query_vector, policy_id), of its policy if scoped; an unknown policy finds none."""
-        from ..operators.vectors import cosine_top_k
-
-        corpus = self.index().select(F.col("chunk_id").alias("id"), "vector", "policy_id")
-        return cosine_top_k(queries, corpus, k, "policy_id" if scoped else None)
-
-
 def joined(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors, ["doc_id", "chunk_id"])
 
@@ -162,6 +131,52 @@ def fetched(requests: DataFrame, fetch: Callable[[str], bytes]) -> DataFrame:
     return requests.select("document_id", "download_url").mapInPandas(run, "document_id string, content binary, error string")
 
 
+def http_parts(url: str, timeout: float = 30.0, size: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes, a part at a time."""
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=timeout) as answer:
+        while part := answer.read(size):
+            yield part
+
+
+def download_name(document_id: str) -> str:
+    """<document_id>.pdf; characters that a file name can't have are escaped."""
+    from urllib.parse import quote
+
+    return f"{quote(document_id, safe=' ')}.pdf"
+
+
+def saved_downloads(requests: DataFrame, folder: str, parts: Callable[[str], Iterator[bytes]] = http_parts) -> DataFrame:
+    """(document_id, path, n_bytes, error) of each request's download_url, streamed by executors to <document_id>.pdf in a folder that all of them have mounted.
+
+    A file appears when it is whole, and replaces an earlier one. Failures are rows with an error.
+    """
+    import os
+    import uuid
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, url in zip(pdf["document_id"], pdf["download_url"], strict=True):
+                draft = os.path.join(folder, f".{uuid.uuid4().hex}")
+                try:
+                    path, n = os.path.join(folder, download_name(doc)), 0
+                    os.makedirs(folder, exist_ok=True)
+                    with open(draft, "wb") as file:
+                        for part in parts(url):
+                            n += file.write(part)
+                    os.replace(draft, path)
+                    rows.append((doc, path, n, None))
+                except Exception as e:
+                    if os.path.exists(draft):
+                        os.remove(draft)
+                    rows.append((doc, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["document_id", "path", "n_bytes", "error"]).astype({"n_bytes": "Int64"})
+
+    return requests.select("document_id", "download_url").mapInPandas(run, "document_id string, path string, n_bytes long, error string")
+
+
 def http_get(url: str, timeout: float = 30.0) -> bytes:
     from urllib.request import urlopen
 
