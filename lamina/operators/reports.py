@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,48 +55,160 @@ def page_stats(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.sum(F.length("text")).alias("total_chars"), F.count_if(F.length("text") > 0).alias("n_pages"))
 
 
-def shared_chars(a: str, b: str) -> int:
+class CellAutomaton:
+    """All substrings of a table's cells, as the states of a suffix automaton. A text runs through it once, for all cells.
+
+    A state stands for substrings that end at the same places of the cells, of lengths
+    link's + 1 to its own. It has some two states a character of the cells, whatever
+    the texts' length; a text costs a step for each of its characters.
+    """
+
+    def __init__(self, cells: list[str]):
+        self.after: list[dict[str, int]] = [{}]
+        self.size, self.link = [0], [-1]
+        self.path: dict[str, list[int]] = {}  # the states of a cell's prefixes
+        for cell in dict.fromkeys(cells):
+            at, path = 0, []
+            for c in cell:
+                at = self._extended(at, c)
+                path.append(at)
+            self.path[cell] = path
+        for cell in self.path:  # a state that was split since is no longer its prefix's
+            at, path = 0, []
+            for c in cell:
+                at = self.after[at][c]
+                path.append(at)
+            self.path[cell] = path
+        self.by_size = sorted(range(1, len(self.size)), key=self.size.__getitem__)
+
+    def _added(self, size: int, after: dict[str, int], link: int) -> int:
+        self.size.append(size)
+        self.after.append(after)
+        self.link.append(link)
+        return len(self.size) - 1
+
+    def _split(self, at: int, c: str) -> int:
+        """The state that at and c lead to, for no longer substring than that."""
+        to = self.after[at][c]
+        if self.size[to] == self.size[at] + 1:
+            return to
+        short = self._added(self.size[at] + 1, dict(self.after[to]), self.link[to])
+        self.link[to] = short
+        while at >= 0 and self.after[at].get(c) == to:
+            self.after[at][c] = short
+            at = self.link[at]
+        return short
+
+    def _extended(self, last: int, c: str) -> int:
+        if c in self.after[last]:
+            return self._split(last, c)
+        new, at = self._added(self.size[last] + 1, {}, 0), last
+        while at >= 0 and c not in self.after[at]:
+            self.after[at][c] = new
+            at = self.link[at]
+        if at >= 0:
+            self.link[new] = self._split(at, c)
+        return new
+
+    def longest_in(self, text: str) -> list[int]:
+        """For each state, the longest substring of it, or else of its links, that text holds."""
+        after, link, size = self.after, self.link, self.size
+        most = [0] * len(size)
+        at = n = 0
+        for c in text:
+            to = after[at].get(c)
+            while to is None and at:
+                at = link[at]
+                n = size[at]
+                to = after[at].get(c)
+            if to is None:
+                n = 0
+                continue
+            at, n = to, n + 1
+            if n > most[at]:
+                most[at] = n
+        for v in reversed(self.by_size):  # what holds a substring holds its ends
+            if most[v] and (up := link[v]):
+                most[up] = size[up]
+        for v in self.by_size:
+            if not most[v]:
+                most[v] = most[link[v]]
+        return most
+
+    def shares(self, text: str) -> dict[str, float]:
+        """Of each cell, the part that matching blocks with text cover; an empty cell is found, in an empty text nothing else is."""
+        most = self.longest_in(text)
+        found = {}
+        for cell, path in self.path.items():
+            ends = [most[v] for v in path]
+            found[cell] = 1.0 if not cell or (ends[-1] == len(cell)) else covered(cell, text, ends) / len(cell)
+        return found
+
+
+def covered(a: str, b: str, ends: list[int]) -> int:
     """Characters of a that matching blocks with b cover: the longest common substring (the first in a, then in b), and so on before and after it.
 
-    A common substring's parts are common too, so its length is found by bisection; str.find does the rest.
+    ends: for each character of a, the longest substring that ends there and is in b
+    at all. In a part of b it is a bound: only ends that reach a length are looked for.
+    A common substring's parts are common too, so the length is found by bisection.
     """
     total, open_parts = 0, [(0, len(a), 0, len(b))]
     while open_parts:
         a_from, a_to, b_from, b_to = open_parts.pop()
+        bound = [min(ends[i], i + 1 - a_from, b_to - b_from) for i in range(a_from, a_to)]
+        low, high, at = 0, max(bound, default=0), None
 
-        def first(size: int, a_from=a_from, a_to=a_to, b_from=b_from, b_to=b_to) -> tuple[int, int] | None:
-            for i in range(a_from, a_to - size + 1):
-                if (j := b.find(a[i : i + size], b_from, b_to)) >= 0:
-                    return i, j
+        def first(size: int, a_from=a_from, b_from=b_from, b_to=b_to, bound=bound) -> tuple[int, int] | None:
+            for n, most in enumerate(bound, a_from + 1):
+                if most >= size and (j := b.find(a[n - size : n], b_from, b_to)) >= 0:
+                    return n - size, j
             return None
 
-        low, high, at = 0, min(a_to - a_from, b_to - b_from), None
+        middle = high  # the bound itself is the likeliest
         while low < high:
-            middle = (low + high + 1) // 2
             if found := first(middle):
                 low, at = middle, found
             else:
                 high = middle - 1
+            middle = (low + high + 1) // 2
         if low:
             total += low
             open_parts += [(a_from, at[0], b_from, at[1]), (at[0] + low, a_to, at[1] + low, b_to)]
     return total
 
 
+def shared_chars(a: str, b: str) -> int:
+    """Characters of a in matching blocks with b."""
+    automaton = CellAutomaton([a])
+    most = automaton.longest_in(b)
+    return covered(a, b, [most[v] for v in automaton.path[a]])
+
+
 def share(truth: str, found: str) -> float:
     """Part of truth that matching blocks cover; an empty truth is found, in an empty text nothing is."""
-    return 1.0 if not truth else 0.0 if not found else 1.0 if truth in found else shared_chars(truth, found) / len(truth)
+    return CellAutomaton([truth]).shares(found)[truth]
+
+
+#: Tables whose automata a task keeps at most: a table's candidates mostly come together.
+KEPT_AUTOMATA = 64
 
 
 def containments(truths: Column, found: Column) -> Column:
     """Of each of an array of texts the share of its characters in matching blocks with found, white space aside."""
 
-    def shares(many: pd.Series, texts: pd.Series) -> pd.Series:
-        out = []
-        for cells, text in zip(many, texts, strict=True):
-            of = {c: share(c or "", text or "") for c in set(cells)}  # a cell that repeats is matched once
-            out.append([of[c] for c in cells])
-        return pd.Series(out)
+    def shares(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        kept: dict[tuple[str, ...], CellAutomaton] = {}
+        for many, texts in batches:
+            out = []
+            for cells, text in zip(many, texts, strict=True):
+                key = tuple(c or "" for c in cells)
+                if key not in kept:
+                    if len(kept) >= KEPT_AUTOMATA:
+                        kept.clear()
+                    kept[key] = CellAutomaton(list(key))
+                of = kept[key].shares(text or "")
+                out.append([of[c] for c in key])
+            yield pd.Series(out)
 
     return F.pandas_udf(shares, "array<double>")(F.transform(truths, compare_form), compare_form(found))
 

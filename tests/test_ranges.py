@@ -1,6 +1,8 @@
-"""Words in cells by range search, and recall of tables with null cells."""
+"""Words in cells by range search; shares of cells by a suffix automaton; tables with null cells."""
 
+import difflib
 import random
+import time
 
 from lamina.operators import boxes, reports
 
@@ -46,3 +48,31 @@ def test_null_cells_count_as_empty_ones(spark):
     timings = spark.createDataFrame([("p", 2.0)], "pdf string, seconds double")
     results = spark.createDataFrame([], "table_id string, seconds double, candidates array<struct<rows:array<array<string>>,detected_rows:int,detected_cols:int>>")
     assert reports.evaluation(tables, pages, timings, results).first()["layout_recall"] == 1.0
+
+
+def plain_share(a, b):
+    blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+    return 1.0 if not a else sum(x.size for x in blocks) / len(a)
+
+
+def test_shares_equal_the_standard_librarys(spark):
+    rng = random.Random(11)
+    for letters in ("ab", "abcd", "abcdefghijkl\u3000한é🙂"):
+        for _ in range(60):
+            cells = ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(12)]
+            text = "".join(rng.choice([rng.choice(letters), rng.choice(cells)]) for _ in range(rng.randint(0, 60)))
+            got = reports.CellAutomaton(cells).shares(text)
+            assert got == {c: plain_share(c, text) for c in cells}
+
+
+def test_long_cells_and_texts_take_linear_time():
+    rng = random.Random(12)
+    cells = ["".join(rng.choices("abc", k=3000)), "a" * 3000, "ab" * 1500]
+    seconds = []
+    for n in (50_000, 400_000):
+        text = "".join(rng.choices("abc", k=n // 2)) + "a" * (n // 2)
+        began = time.perf_counter()
+        most = reports.CellAutomaton(cells).longest_in(text)
+        seconds.append(time.perf_counter() - began)
+        assert max(most) == 3000
+    assert seconds[1] < 24 * seconds[0]

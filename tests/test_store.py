@@ -79,7 +79,7 @@ def test_a_question_reads_its_policy_only(spark, tmp_path):
     opened = {Path(f).parent.name for f in rows.inputFiles()}
     assert len(opened) == 1 < len({Path(f).parent.name for f in store.rows().inputFiles()})
     pushed = re.search(r"PushedFilters: \[(.*?)\]", rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
-    assert "In(policy_id, [pd7,unknown])" in pushed[1]
+    assert "In(policy_id, [pd7,unknown" in pushed[1]
     assert store.of_policies(asked.where("policy_id = 'unknown'")).collect() == []
     many = spark.range(400).select(F.concat(F.lit("pd"), F.col("id").cast("string")).alias("policy_id"))
     assert store.of_policies(many).count() == 80
