@@ -48,11 +48,17 @@ def fill_gaps(merged: DataFrame, axis: str, low: Column, high: Column, key: str
 
 
 def grid_cells(rows: DataFrame, columns: DataFrame, tables: DataFrame, key: str = "table_id") -> DataFrame:
-    """(key, row_no, col_no, box): rows merged and filled along y, columns along x, each row with each column of its table."""
+    """(key, row_no, col_no, box): each row with each column of its table."""
+    r, c = grid_sides(rows, columns, tables, key)
+    return r.join(c, key)
+
+
+def grid_sides(rows: DataFrame, columns: DataFrame, tables: DataFrame, key: str = "table_id") -> tuple[DataFrame, DataFrame]:
+    """(key, row_no, ymin, ymax) and (key, col_no, xmin, xmax): rows merged and filled along y, columns along x."""
     edges = lambda df: df.join(tables.select(key, "t_xmin", "t_ymin", "t_xmax", "t_ymax"), key)
     r = fill_gaps(edges(merge_intervals(rows, "y", key)), "y", F.col("t_ymin"), F.col("t_ymax"), key)
     c = fill_gaps(edges(merge_intervals(columns, "x", key)), "x", F.col("t_xmin"), F.col("t_xmax"), key)
-    return r.select(key, F.col("group_no").alias("row_no"), "ymin", "ymax").join(c.select(key, F.col("group_no").alias("col_no"), "xmin", "xmax"), key)
+    return r.select(key, F.col("group_no").alias("row_no"), "ymin", "ymax"), c.select(key, F.col("group_no").alias("col_no"), "xmin", "xmax")
 
 
 def to_points(v: Column, offset: Column, scale: float = SCALE) -> Column:
@@ -78,26 +84,43 @@ def inside(points: DataFrame, at: str, intervals: DataFrame, low: str, high: str
     point meets the intervals of its own bucket only. Points without a place, and
     empty intervals, meet none.
     """
-    bounds = intervals.where(F.col(low) < F.col(high)).groupBy(key).agg(F.min(low).alias("__base"), ((F.max(high) - F.min(low)) / F.count("*")).alias("__width"))
+    some = intervals.where(F.col(low) < F.col(high))
+    facts = F.min(low), (F.max(high) - F.min(low)) / F.count("*")
+    bounds = some.groupBy(key).agg(facts[0].alias("__base"), facts[1].alias("__width"))
+    own = Window.partitionBy(key)
+    wide = some.withColumns({"__base": F.min(low).over(own), "__width": (F.max(high).over(own) - F.min(low).over(own)) / F.count("*").over(own)})
     bucket = lambda c: F.floor((F.col(c) - F.col("__base")) / F.col("__width"))
-    cut = intervals.where(F.col(low) < F.col(high)).join(bounds, key).withColumn("__bucket", F.explode(F.sequence(bucket(low), bucket(high)))).drop("__base", "__width")
+    cut = wide.withColumn("__bucket", F.explode(F.sequence(bucket(low), bucket(high)))).drop("__base", "__width")
     placed = points.where(F.col(at).isNotNull()).join(bounds, key).withColumn("__bucket", bucket(at)).drop("__base", "__width")
     return placed.join(cut, [key, "__bucket"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__bucket")
 
 
+def placed_words(words: DataFrame, key: str) -> DataFrame:
+    """(key, word_no, cx, cy, word): words (key, word_no, x0, y0, x1, y1, text) with their centres."""
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    return words.select(key, "word_no", x.alias("cx"), y.alias("cy"), F.col("text").alias("word"))
+
+
+def texts_of_cells(cells: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, row_no, col_no, text) of words found (key, row_no, col_no, word_no, word), in order; empty cells are kept."""
+    one = collapsed(F.array_join(F.array_sort(F.collect_list(F.struct("word_no", "word")))["word"], " ")).alias("text")
+    texts = found.groupBy(key, "row_no", "col_no").agg(one)
+    return cells.join(texts, [key, "row_no", "col_no"], "left").select(key, "row_no", "col_no", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def cell_texts(cells: DataFrame, words: DataFrame, key: str = "table_id") -> DataFrame:
-    """(key, row_no, col_no, text): words (key, word_no, x0, y0, x1, y1, text) whose centre lies in a cell, in order; empty cells are kept.
+    """(key, row_no, col_no, text): words (key, word_no, x0, y0, x1, y1, text) whose centre lies in a cell.
 
-    cells are a grid: a word is put into rows by y and into columns by x, each by a range search, and never meets the other cells.
+    A word meets each cell of its table: cells of any kind, few of them a table. For large grids grid_texts() searches ranges.
     """
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    placed = words.select(key, "word_no", x.alias("cx"), y.alias("cy"), F.col("text").alias("word"))
-    rows, columns = cells.select(key, "row_no", "ymin", "ymax").distinct(), cells.select(key, "col_no", "xmin", "xmax").distinct()
-    found = (
-        inside(inside(placed, "cy", rows, "ymin", "ymax", key), "cx", columns, "xmin", "xmax", key).groupBy(key, "row_no", "col_no")
-        .agg(collapsed(F.array_join(F.array_sort(F.collect_list(F.struct("word_no", "word")))["word"], " ")).alias("text"))
-    )
-    return cells.join(found, [key, "row_no", "col_no"], "left").select(key, "row_no", "col_no", F.coalesce("text", F.lit("")).alias("text"))
+    within = (F.col("cx") >= F.col("xmin")) & (F.col("cx") < F.col("xmax")) & (F.col("cy") >= F.col("ymin")) & (F.col("cy") < F.col("ymax"))
+    return texts_of_cells(cells, cells.join(placed_words(words, key), key).where(within), key)
+
+
+def grid_texts(rows: DataFrame, columns: DataFrame, words: DataFrame, key: str = "table_id") -> DataFrame:
+    """cell_texts() of a grid given by its sides, as grid_sides() gives them: a word finds its row by y and its column by x, and never meets the other cells."""
+    found = inside(inside(placed_words(words, key), "cy", rows, "ymin", "ymax", key), "cx", columns, "xmin", "xmax", key)
+    return texts_of_cells(rows.select(key, "row_no").join(columns.select(key, "col_no"), key), found, key)
 
 
 def candidates(texts: DataFrame, key: str = "table_id") -> DataFrame:

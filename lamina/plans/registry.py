@@ -510,30 +510,43 @@ _GRID = f"""{S.OBJECTS},
     cells AS (SELECT table_id, r.group_no AS row_no, r.ymin, r.ymax, c.group_no AS col_no, c.xmin, c.xmax FROM r JOIN c USING (table_id))"""
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     objects = R.objects(spark, sf_dir)
     edge = lambda v: F.lit(v)
     tables = objects.select("table_id").distinct().select("table_id", edge(0.0).alias("t_xmin"), edge(0.0).alias("t_ymin"), edge(700.0).alias("t_xmax"), edge(800.0).alias("t_ymax"))
     kind = lambda label: boxes.detected(objects, (label,), boxes.STRUCTURED)
-    return boxes.grid_cells(kind(boxes.ROW_LABEL), kind(boxes.COLUMN_LABEL), tables)
+    return boxes.grid_sides(kind(boxes.ROW_LABEL), kind(boxes.COLUMN_LABEL), tables)
 
 
 @query(f"WITH {_GRID} SELECT * FROM cells")
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(spark, sf_dir)
+    rows, columns = sides(spark, sf_dir)
+    return rows.join(columns, "table_id")
 
 
-@query(f"""
+_TEXTS = f"""
     WITH {_GRID}, words AS (SELECT l_orderkey AS table_id, l_linenumber * 1000000 + l_partkey AS word_no, (l_partkey % 700) + 0.5 AS cx, (l_suppkey % 800) + 0.5 AS cy, l_shipdate::DATE::VARCHAR AS word FROM lineitem)
     SELECT c.table_id, row_no, col_no, coalesce(string_agg(word, ' ' ORDER BY word_no, word), '') AS text
-    FROM cells c LEFT JOIN words w ON w.table_id = c.table_id AND cx >= xmin AND cx < xmax AND cy >= ymin AND cy < ymax GROUP BY ALL""")
-def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    FROM cells c LEFT JOIN words w ON w.table_id = c.table_id AND cx >= xmin AND cx < xmax AND cy >= ymin AND cy < ymax GROUP BY ALL"""
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("l_partkey") % 700, F.col("l_suppkey") % 800
-    words = R.table(spark, sf_dir, "lineitem").select(
+    return R.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")).alias("word_no"), x.alias("x0"), (x + 1).alias("x1"), y.alias("y0"), (y + 1).alias("y1"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("text"),
     )
-    return boxes.cell_texts(cells(spark, sf_dir), words)
+
+
+@query(_TEXTS)
+def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.cell_texts(grid_cells(spark, sf_dir), words(spark, sf_dir))
+
+
+@query(_TEXTS)
+def grid_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell_texts by range search, as large tables need it."""
+    return boxes.grid_texts(*sides(spark, sf_dir), words(spark, sf_dir))
 
 
 @query(f"""

@@ -25,12 +25,13 @@ def test_words_meet_their_own_cells_only(spark):
     cells = spark.range(1).selectExpr("id + 1 as table_id", "explode(sequence(1, 40)) as row_no").selectExpr("*", "explode(sequence(1, 30)) as col_no")
     cells = cells.selectExpr("*", "row_no * 10d as ymin", "row_no * 10d + 10 as ymax", "col_no * 20d as xmin", "col_no * 20d + 20 as xmax")
     words = spark.range(5000).selectExpr("id % 1 + 1 as table_id", "id as word_no", "20 + (id * 7 % 600) + 0d as x0", "10 + (id * 13 % 400) + 0d as y0", "concat('w', id) as text").selectExpr("*", "x0 as x1", "y0 as y1")
-    got = {(r["row_no"], r["col_no"]): r["text"] for r in boxes.cell_texts(cells, words).collect()}
+    rows, columns = cells.select("table_id", "row_no", "ymin", "ymax").distinct(), cells.select("table_id", "col_no", "xmin", "xmax").distinct()
+    got = {(r["row_no"], r["col_no"]): r["text"] for r in boxes.grid_texts(rows, columns, words).collect()}
     want = {(r, c): [] for r in range(1, 41) for c in range(1, 31)}
     for n in range(5000):
         want[(10 + n * 13 % 400) // 10, (20 + n * 7 % 600) // 20].append(f"w{n}")
     assert got == {k: " ".join(v) for k, v in want.items()}
-    rows = cells.select("table_id", "row_no", "ymin", "ymax").distinct()
+    assert got == {(r["row_no"], r["col_no"]): r["text"] for r in boxes.cell_texts(cells, words).collect()}
     met = boxes.inside(words.withColumn("cy", words["y0"]), "cy", rows, "ymin", "ymax", "table_id")
     plan = met._jdf.queryExecution().toString()
     assert met.count() == 5000 and "CartesianProduct" not in plan and "NestedLoop" not in plan
