@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rules import CORPUS
-from ..operators import boxes, chunks, ingest, layout, reports, retrieval, vectors
+from ..operators import boxes, chunks, ingest, keywords, layout, reports, retrieval, vectors
 from ..sources.files import joined, with_local_scope
 from . import relations as R
 from . import sql as S
@@ -151,14 +151,24 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.sections(chunks.flat_lines(chunks.content_pages(R.pages(spark, sf_dir), CORPUS)), CORPUS)
 
 
-@query(f"""
+_KEYWORDS = f"""
     WITH d AS (SELECT doc_id, {S.form("(source || chr(10) || text)")} AS seen FROM documents)
     SELECT doc_id, {S.keyword_field("seen", "primary")} AS matched_category, {S.keyword_field("seen", "secondary")} AS secondary_category,
-           {S.keyword_field("seen", "keyword")} AS matched_keyword FROM d""")
+           {S.keyword_field("seen", "keyword")} AS matched_keyword FROM d"""
+
+
+@query(_KEYWORDS)
 def keyword_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", CORPUS.category(F.col("source"), F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
+@query(_KEYWORDS)
+def keyword_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keyword_category by joins on pieces of keywords, as large tables of keywords need it."""
+    texts = docs(spark, sf_dir).select("doc_id", F.col("source").alias("title"), "text")
+    return keywords.keyword_matches(texts, keywords.keyword_table(spark, CORPUS.keywords))
+
+
 @query(f"SELECT doc_id, {S.coverage('source', 'text')} AS coverage_type FROM documents")
 def coverage_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", CORPUS.coverage_type(F.col("source"), F.col("text")).alias("coverage_type"))
