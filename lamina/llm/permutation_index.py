@@ -14,7 +14,7 @@ sqrt(M - |x|**2), M the largest |x|**2, and a query gets 0.
 Every row is indexed; pivots are a sample of PIVOTS distinct vectors by a hash.
 Candidates are a share of each shard, so recall does not fall as the table grows;
 shards of at most FEWEST vectors are searched whole. On vectors without any
-structure in 64 dimensions, the hardest case, recall of 20 is about 0.98; of vectors whose lengths differ widely, 0.93.
+structure in 64 dimensions, the hardest case, recall of 20 is about 0.99; of vectors whose lengths differ widely, 0.91.
 
 Equal vectors are one entry with its k + 1 smallest ids, all that a query can use.
 
