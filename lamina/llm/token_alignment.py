@@ -170,23 +170,29 @@ def aligned(cut: Column) -> Column:
 
 
 def aligned_few(cut: Column) -> Column:
-    """By comparing each token of A with each of B, and finding each common end."""
+    """If all ends are common, token by token; else by the places of each common end, and comparing tokens of A with those of B."""
     a, b = cut["a"], cut["b"]
-    overlapping = lambda x: F.filter(b, lambda y: (y["end"] > x["start"]) & (y["start"] < x["end"]))
-    links = F.flatten(F.transform(a, lambda x: F.transform(overlapping(x), lambda y: x["id"].cast("long") * FIRST + y["id"])))
+    a_ids, b_ids = a["id"], b["id"]
+    pair = lambda x, y: x.cast("long") * FIRST + y
 
-    def groups(cuts: Column) -> Column:
-        def ids(of: Column, low: Column, high: Column) -> Column:
-            inside = F.filter(of, lambda x: (x["end"] > low) & (x["end"] <= high))
-            return F.array_join(F.transform(inside, lambda x: x["id"].cast("string")), ",")
+    def alike() -> Column:
+        texts = F.zip_with(a_ids, b_ids, lambda x, y: F.concat_ws("|", x.cast("string"), y.cast("string")))
+        return found(a, texts, F.zip_with(a_ids, b_ids, pair))
 
-        def group(end: Column, k: Column) -> Column:
-            before = F.when(k == 0, F.lit(0)).otherwise(F.get(cuts, k - 1))
-            return bound(before, lambda low: F.concat(ids(a, low, end), F.lit("|"), ids(b, low, end)))
+    def unlike(cuts: Column) -> Column:
+        overlapping = lambda x: F.filter(b, lambda y: (y["end"] > x["start"]) & (y["start"] < x["end"]))
+        links = F.flatten(F.transform(a, lambda x: F.transform(overlapping(x), lambda y: pair(x["id"], y["id"]))))
 
-        return F.struct(F.array_join(F.transform(cuts, group), ";").alias("groups"), F.size(cuts).cast("long").alias("n_groups"), links.alias("links"))
+        def ids(of: Column, ends: Column, end: Column, k: Column) -> Column:
+            before = F.when(k == 0, F.lit(0)).otherwise(F.array_position(ends, F.get(cuts, k - 1)).cast("int"))
+            return F.array_join(F.slice(of, before + 1, F.array_position(ends, end).cast("int") - before).cast("array<string>"), ",")
 
-    return bound(F.array_intersect(a["end"], b["end"]), groups)
+        return found(cuts, F.transform(cuts, lambda end, k: F.concat(ids(a_ids, a["end"], end, k), F.lit("|"), ids(b_ids, b["end"], end, k))), links)
+
+    def found(groups: Column, texts: Column, links: Column) -> Column:
+        return F.struct(F.array_join(texts, ";").alias("groups"), F.size(groups).cast("long").alias("n_groups"), links.alias("links"))
+
+    return F.when(a["end"] == b["end"], alike()).otherwise(bound(F.array_intersect(a["end"], b["end"]), unlike))
 
 
 def aligned_many(cut: Column) -> Column:
