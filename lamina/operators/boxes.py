@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed
+from .ranges import numbered_groups
 
 DETECTED, STRUCTURED = 0.7, 0.5
 TABLE_LABELS, ROW_LABEL, COLUMN_LABEL = ("table", "table rotated"), "table row", "table column"
@@ -20,31 +21,45 @@ def detected(objects: DataFrame, labels: tuple[str, ...], threshold: float) -> D
     return objects.where(F.col("label").isin(*labels) & (F.col("score") > threshold))
 
 
-def merge_intervals(objects: DataFrame, axis: str, key: str = "table_id") -> DataFrame:
-    """(key, group_no, label, score, box): objects whose intervals touch or overlap as one, with their hull, best score and first label."""
+def merge_intervals(objects: DataFrame, axis: str, key: str = "table_id", rows: int | None = None) -> DataFrame:
+    """(key, group_no, label, score, box): objects whose intervals touch or overlap as one, with their hull, best score and first label.
+
+    With rows, a key of more objects is worked on in ranges of about so many; without, a key is one task's.
+    """
     other = "y" if axis == "x" else "x"
     lo, hi = f"{axis}min", f"{axis}max"
-    order = Window.partitionBy(key).orderBy(lo, "object_id")
-    reach = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    grouped = objects.withColumn("__new", F.coalesce(F.col(lo) > reach, F.lit(True)).cast("int")).withColumn("group_no", F.sum("__new").over(order).cast("long"))
+    if rows:
+        grouped = numbered_groups(objects, [key], lo, hi, "object_id", rows)
+    else:
+        order = Window.partitionBy(key).orderBy(lo, "object_id")
+        reach = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        grouped = objects.withColumn("__new", F.coalesce(F.col(lo) > reach, F.lit(True)).cast("int")).withColumn("group_no", F.sum("__new").over(order).cast("long"))
     return grouped.groupBy(key, "group_no").agg(
         F.min_by("label", F.struct(lo, "object_id")).alias("label"), F.max("score").alias("score"),
         F.min(lo).alias(lo), F.max(hi).alias(hi), F.min(f"{other}min").alias(f"{other}min"), F.max(f"{other}max").alias(f"{other}max"),
     )
 
 
-def fill_gaps(merged: DataFrame, axis: str, low: Column, high: Column, key: str = "table_id") -> DataFrame:
-    """Neighbours meet half-way; the first and last reach the table's edges."""
+def fill_gaps(merged: DataFrame, axis: str, low: Column, high: Column, key: str = "table_id", large: bool = False) -> DataFrame:
+    """Neighbours meet half-way; the first and last reach the table's edges.
+
+    Neighbours are found by a window over a key's groups, or for large keys, whose groups are numbered without gaps, by joins on their numbers.
+    """
     lo, hi = f"{axis}min", f"{axis}max"
-    order = Window.partitionBy(key).orderBy("group_no")
-    before, after = F.lag(hi).over(order), F.lead(lo).over(order)
+    if large:
+        edge = lambda c, by, name: merged.select(key, (F.col("group_no") + by).alias("group_no"), F.col(c).alias(name))
+        merged = merged.join(edge(hi, 1, "__before"), [key, "group_no"], "left").join(edge(lo, -1, "__after"), [key, "group_no"], "left")
+        before, after = F.col("__before"), F.col("__after")
+    else:
+        order = Window.partitionBy(key).orderBy("group_no")
+        before, after = F.lag(hi).over(order), F.lead(lo).over(order)
     middle = lambda a, b: (a + b) / 2
     return merged.withColumns(
         {
             lo: F.coalesce(middle(before, F.col(lo)), low),
             hi: F.coalesce(middle(F.col(hi), after), high),
         }
-    )
+    ).drop("__before", "__after")
 
 
 def grid_cells(rows: DataFrame, columns: DataFrame, tables: DataFrame, key: str = "table_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.rules import CORPUS
+from ..functions.rules import CORPUS, KOREAN_POLICY
 from ..operators import boxes, chunks, ingest, keywords, layout, reports, retrieval, vectors
 from ..sources.files import joined, with_local_scope
 from . import relations as R
@@ -169,6 +169,22 @@ def keyword_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.keyword_matches(texts, keywords.keyword_table(spark, CORPUS.keywords))
 
 
+_POLICY_LINES = f"""{S.DOC_LINES},
+    made AS (
+        SELECT doc_id, CAST(pos AS BIGINT) AS line_no, {S.strip("CASE pos % " + str(len(R.POLICY_FORMS)) + " " + " ".join(f"WHEN {i} THEN '{head}' || substr(line, 1, {n}) || '{tail}'" for i, (head, n, tail) in enumerate(R.POLICY_FORMS)) + " END")} AS line FROM paged),
+    titled AS (SELECT *, {S.is_title("line", KOREAN_POLICY)} AS is_title FROM made),
+    named AS (SELECT *, CASE WHEN is_title THEN {S.title_of("line", KOREAN_POLICY)} ELSE '' END AS title FROM titled)"""
+
+
+@query(f"WITH {_POLICY_LINES} SELECT doc_id, line_no, is_title, title, {S.coverage('title', 'line', KOREAN_POLICY)} AS coverage_type FROM named")
+def policy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and coverage types of Korean policies, on the documents' lines worded as theirs."""
+    line, found = F.col("line"), KOREAN_POLICY.is_title(F.col("line"))
+    made = R.policy_lines(lines(spark, sf_dir)).withColumn("is_title", found)
+    named = made.withColumn("title", F.when(F.col("is_title"), KOREAN_POLICY.title_of(line)).otherwise(""))
+    return named.select("doc_id", "line_no", "is_title", "title", KOREAN_POLICY.coverage_type(F.col("title"), line).alias("coverage_type"))
+
+
 @query(f"SELECT doc_id, {S.coverage('source', 'text')} AS coverage_type FROM documents")
 def coverage_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", CORPUS.coverage_type(F.col("source"), F.col("text")).alias("coverage_type"))

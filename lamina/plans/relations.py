@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_lines
+from ..functions.text import clean_lines, stripped
 from ..sources.session import ready
 
 #: Lines of a document that make a page.
 PAGE_LINES = 20
 
+#: Before a line, how many of its characters, and after it: the wordings of policies that their rules tell apart.
+POLICY_FORMS = (
+    ("제 3 장  ", 40, ""), ("제12조(", 30, ")"), ("7. ", 100, ""), ("나. ", 20, ""), ("", 25, " 배상책임"), ("용어의 정의", 0, ""),
+    ("보상하지 않는\t손해 ", 60, ""), ("목차 제1조(", 20, ")"), ("보험금의  청구 ", 200, ""), ("제 4 조 [", 78, "]"), ("여행중단 ", 600, " 면책사항"), ("", 60, ""),
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,3 +59,11 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(n, F.lit(2)) == 0, "table row").otherwise("table column").alias("label"), (1 - F.col("l_discount") * 6).alias("score"),
         x.alias("xmin"), y.alias("ymin"), (x + F.col("l_quantity") * 3).alias("xmax"), (y + F.col("l_quantity") * 2).alias("ymax"),
     )
+
+
+def policy_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line): lines in the forms of POLICY_FORMS, one after the other."""
+    made = F.lit(None).cast("string")
+    for i, (head, n, tail) in enumerate(POLICY_FORMS):
+        made = F.when(F.pmod("line_no", F.lit(len(POLICY_FORMS))) == i, F.concat(F.lit(head), F.substring("line", 1, n), F.lit(tail))).otherwise(made)
+    return lines.select("doc_id", "line_no", stripped(made).alias("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.rules import CORPUS
+from ..functions.rules import CORPUS, Rules
 from ..functions.text import CONTROL, EDGES, NL, PAGE_NUMBER, WS
 
 def strip(x: str) -> str:
@@ -37,14 +37,26 @@ def contains_any(text: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{''.join(w.split()).lower()}')" for w in words) + ")"
 
 
-def coverage(title: str, text: str) -> str:
-    seen = form(f"({title} || chr(10) || substr({text}, 1, {CORPUS.coverage_chars}))")
+def coverage(title: str, text: str, rules: Rules = CORPUS) -> str:
+    seen = form(f"({title} || chr(10) || substr({text}, 1, {rules.coverage_chars}))")
     return (
-        f"CASE WHEN {contains_any(seen, CORPUS.excluded)} THEN 'excluded' WHEN {contains_any(seen, CORPUS.procedure)} THEN 'procedure' "
-        f"WHEN {contains_any(seen, CORPUS.definition)} THEN 'definition' ELSE 'included' END"
+        f"CASE WHEN {contains_any(seen, rules.excluded)} THEN 'excluded' WHEN {contains_any(seen, rules.procedure)} THEN 'procedure' "
+        f"WHEN {contains_any(seen, rules.definition)} THEN 'definition' ELSE 'included' END"
     )
 
 
+def is_title(line: str, rules: Rules) -> str:
+    """Of a stripped line."""
+    noise = " OR ".join(f"contains({line}, '{w}')" for w in rules.noise_words)
+    fits = f"length({line}) BETWEEN {rules.title_chars[0]} AND {rules.title_chars[1]} AND length({line}) - length(replace({line}, ',', '')) <= {rules.most_commas}"
+    return f"({fits} AND NOT ({noise}) AND (" + " OR ".join(f"regexp_matches({line}, '{p}')" for p, _ in rules.title_patterns) + "))"
+
+
+def title_of(line: str, rules: Rules) -> str:
+    """Of a stripped line."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({line}, '{p}') THEN {strip(f"regexp_extract({line}, '{p}', {g})")}" for p, g in rules.title_patterns) + f" ELSE {line} END"
+
+
 def keyword_field(seen: str, field: str) -> str:
     """CASE over the keywords in their order."""
     quoted = lambda v: "NULL" if v is None else f"'{v}'"

@@ -77,3 +77,41 @@ def test_long_cells_and_texts_take_linear_time():
         seconds.append(time.perf_counter() - began)
         assert max(most) == 3000
     assert seconds[1] < 24 * seconds[0]
+
+
+def intervals_of(rng, n):
+    """Boxes of several keys, one of them with most, some without a place or turned round."""
+    rows = []
+    for i in range(n):
+        lo = rng.choice([None, 5.0, rng.uniform(0, 4 * n), rng.gauss(n, 3)] if rng.random() < 0.2 else [rng.uniform(0, 4 * n)])
+        width = rng.choice([0.0, 1.0, 2.0, rng.expovariate(0.5), -1.0])
+        rows.append((rng.choice([1, 1, 1, 1, 2, 3, None]), i, "row", rng.random(), lo, None if lo is None else lo + width, 0.0, 1.0))
+    return rows
+
+
+BOXES = "table_id int, object_id int, label string, score double, xmin double, xmax double, ymin double, ymax double"
+
+
+def test_large_keys_merge_in_ranges_as_in_one_window(spark):
+    rng = random.Random(21)
+    frame = spark.createDataFrame(intervals_of(rng, 900), BOXES).cache()
+    told = lambda df: sorted(map(repr, (r.asDict() for r in df.collect())))
+    whole = boxes.merge_intervals(frame, "x")
+    for rows in (7, 40, 5000):
+        assert told(boxes.merge_intervals(frame, "x", rows=rows)) == told(whole)
+    assert whole.where("table_id = 1").count() > 100
+    placed = whole.where("table_id is not null")
+    from pyspark.sql import functions as F
+
+    filled = [boxes.fill_gaps(placed, "x", F.lit(-5.0), F.lit(9e9), large=large) for large in (False, True)]
+    assert told(filled[0].select(*sorted(filled[0].columns))) == told(filled[1].select(*sorted(filled[1].columns)))
+    assert boxes.merge_intervals(frame.limit(0), "x", rows=3).collect() == []
+
+
+def test_ranges_of_a_hot_key_are_even(spark):
+    from lamina.operators.ranges import ranged
+
+    frame = spark.range(200_000).selectExpr("if(id % 10 = 0, id % 999, -1) as k", "pow(id % 9973, 3) as at")
+    sizes = {(r["k"], r["__range"]): r["count"] for r in ranged(frame, ["k"], "at", 10_000).groupBy("k", "__range").count().collect()}
+    hot = [n for (k, _), n in sizes.items() if k == -1]
+    assert sum(sizes.values()) == 200_000 and 15 <= len(hot) <= 20 and max(hot) < 15_000 and {r for k, r in sizes if k != -1} == {0}
