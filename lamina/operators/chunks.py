@@ -40,9 +40,14 @@ def _content(lined: DataFrame, rules: Rules) -> DataFrame:
     return lined.where((F.size("__lines") >= rules.toc_lines) & (total >= rules.toc_chars * F.size("__lines")))
 
 
+def content_lines(pages: DataFrame, rules: Rules) -> DataFrame:
+    """content_pages() with their lines in __lines."""
+    return _content(with_lines(pages), rules)
+
+
 def content_pages(pages: DataFrame, rules: Rules) -> DataFrame:
     """Without tables of contents: pages of few lines, or of short lines on average."""
-    return _content(with_lines(pages), rules).drop("__lines")
+    return content_lines(pages, rules).drop("__lines")
 
 
 def flat_lines(pages: DataFrame) -> DataFrame:
@@ -87,7 +92,11 @@ def sections(lines: DataFrame, rules: Rules) -> DataFrame:
 
 def raw_chunks(pages: DataFrame, rules: Rules) -> DataFrame:
     """Sections of content pages with name, category and coverage type."""
-    found = sections(_numbered(_content(with_lines(pages), rules)), rules)
+    return described(sections(_numbered(content_lines(pages, rules)), rules), rules)
+
+
+def described(found: DataFrame, rules: Rules) -> DataFrame:
+    """Sections as chunks."""
     return (
         found.withColumn("chunk_id", chunk_name(F.col("doc_id").cast("string"), F.col("ordinal")))
         .withColumn("char_count", long_length(F.col("text")))
@@ -120,12 +129,8 @@ def listed(values: Column) -> Column:
     return F.flatten(F.array_append(values["pieces"], values["last"]))
 
 
-def merge_small(chunks: DataFrame, rules: Rules) -> DataFrame:
-    """A chunk below the least size takes in the chunks that follow while it is, and categories are equal or missing.
-
-    The fold over a document's (length, category) gives group numbers; then
-    groups are joined. Category, secondary and keyword are each the first given.
-    """
+def group_numbers(facts: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
+    """(keys, ordinal, group) of facts (keys, ordinal, size, category): a fold over each key's chunks."""
     start = F.struct(
         empty_list().alias("groups"), F.lit(0).alias("group"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("category")
     )
@@ -141,17 +146,25 @@ def merge_small(chunks: DataFrame, rules: Rules) -> DataFrame:
             F.when(joins, F.coalesce(acc["category"], x["category"])).otherwise(x["category"]).alias("category"),
         )
 
-    facts = F.array_sort(F.collect_list(F.struct("ordinal", F.col("char_count").alias("size"), F.nullif(F.col("matched_category"), F.lit("")).alias("category"))))
-    folded = chunks.groupBy("doc_id").agg(facts.alias("facts")).select("doc_id", "facts", listed(F.aggregate("facts", start, step)["groups"]).alias("groups"))
-    groups = folded.select("doc_id", F.explode(F.arrays_zip(F.col("facts.ordinal").alias("ordinal"), F.col("groups").alias("group"))).alias("x")).select(
-        "doc_id", "x.ordinal", "x.group"
-    )
+    each = F.array_sort(F.collect_list(F.struct("ordinal", "size", "category")))
+    folded = facts.groupBy(*keys).agg(each.alias("facts")).select(*keys, "facts", listed(F.aggregate("facts", start, step)["groups"]).alias("groups"))
+    pairs = F.explode(F.arrays_zip(F.col("facts.ordinal").alias("ordinal"), F.col("groups").alias("group")))
+    return folded.select(*keys, pairs.alias("x")).select(*keys, "x.ordinal", "x.group")
+
+
+def merge_facts(chunks: DataFrame) -> DataFrame:
+    """What the merging of chunks depends on."""
+    return chunks.select("doc_id", "ordinal", F.col("char_count").alias("size"), F.nullif(F.col("matched_category"), F.lit("")).alias("category"))
+
+
+def joined_groups(chunks: DataFrame, groups: DataFrame) -> DataFrame:
+    """A chunk for each group of groups (doc_id, ordinal, and what tells groups apart)."""
     rows = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
     first = lambda c: F.min_by(c, "ordinal").alias(c)
     given = lambda c: F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.col("ordinal"))).alias(c)
     return (
         chunks.join(groups, ["doc_id", "ordinal"])
-        .groupBy("doc_id", "group")
+        .groupBy("doc_id", *[c for c in groups.columns if c not in ("doc_id", "ordinal")])
         .agg(
             first("chunk_id"), F.min("ordinal").alias("ordinal"), first("page_start"), F.max_by("page_end", "ordinal").alias("page_end"),
             first("section_title"), first("coverage_type"), F.array_join(rows["text"], "\n").alias("text"),
@@ -162,6 +175,15 @@ def merge_small(chunks: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
+def merge_small(chunks: DataFrame, rules: Rules) -> DataFrame:
+    """A chunk below the least size takes in the chunks that follow while it is, and categories are equal or missing.
+
+    The fold over a document's (length, category) gives group numbers; then
+    groups are joined. Category, secondary and keyword are each the first given.
+    """
+    return joined_groups(chunks, group_numbers(merge_facts(chunks), ["doc_id"], rules))
+
+
 def reclassified(chunks: DataFrame, rules: Rules) -> DataFrame:
     return chunks.withColumn("coverage_type", rules.coverage_type(F.col("section_title"), F.col("text")))
 
@@ -199,12 +221,16 @@ def parts_of(text: Column, most: int) -> Column:
 def split_large(chunks: DataFrame, rules: Rules) -> DataFrame:
     """Chunks over the greatest size in parts; the first keeps its name, the others get _2, _3, ..."""
     parts = chunks.select("*", F.posexplode(parts_of(F.col("text"), rules.large)).alias("part", "piece"))
-    order = in_order("ordinal", "part")
+    return named_parts(parts, F.row_number().over(in_order("ordinal", "part")).cast("long"))
+
+
+def named_parts(parts: DataFrame, ordinal: Column) -> DataFrame:
+    """Chunks of parts (chunks with part, piece), under their new ordinals."""
     return (
         parts.withColumn("chunk_id", F.when(F.col("part") == 0, F.col("chunk_id")).otherwise(F.concat("chunk_id", F.lit("_"), (F.col("part") + 1).cast("string"))))
         .withColumn("text", F.col("piece"))
         .withColumn("char_count", long_length(F.col("piece")))
-        .withColumn("ordinal", F.row_number().over(order).cast("long"))
+        .withColumn("ordinal", ordinal)
         .select(CHUNK_COLUMNS)
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,22 +34,29 @@ def ranged(df: DataFrame, keys: list[str], at: str, rows: int) -> DataFrame:
     return _same(df, hot, keys).withColumn("__range", place).drop("__cuts")
 
 
+def carried(frame: DataFrame, keys: list[str], of: Column, how: Callable[[str], Column], name: str) -> DataFrame:
+    """frame, which has __range, with `how` (a sum or maximum) of an aggregate over all ranges of the keys before a row's own; null in the first."""
+    one = [*keys, "__range"]
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return _same(frame, frame.groupBy(*one).agg(of.alias("__x")).select(*one, how("__x").over(earlier).alias(name)), one)
+
+
+def running(frame: DataFrame, keys: list[str], at: list[str], value: str, most: bool = False) -> DataFrame:
+    """frame, which has __range, with its column `value` summed up (or its maximum so far) in order of at, over ranges as in one window."""
+    how = F.max if most else F.sum
+    order = Window.partitionBy(*keys, "__range").orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
+    found = carried(frame, keys, how(value), how, "__before")
+    here = how(value).over(order)
+    return found.withColumn(value, F.greatest(here, "__before") if most else here + F.coalesce("__before", F.lit(0).cast("long"))).drop("__before")
+
+
 def numbered_groups(df: DataFrame, keys: list[str], low: str, high: str, tie: str, rows: int) -> DataFrame:
     """Adds group_no: by (low, tie), an interval starts a group if it begins beyond the end of all before it, or has no beginning.
 
     Windows see one range of a key; the greatest end and the number of groups of the ranges before are carried into it.
     """
-    one = [*keys, "__range"]
-    order = Window.partitionBy(*one).orderBy(low, tie)
-    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-
-    def carried(frame: DataFrame, of: Column, how, name: str) -> DataFrame:
-        """frame with the sum or maximum over the ranges before a row's own."""
-        return _same(frame, frame.groupBy(*one).agg(of.alias("__x")).select(*one, how("__x").over(earlier).alias(name)), one)
-
-    parts = carried(ranged(df, keys, low, rows), F.max(high), F.max, "__before")
+    order = Window.partitionBy(*keys, "__range").orderBy(low, tie)
+    parts = carried(ranged(df, keys, low, rows), keys, F.max(high), F.max, "__before")
     reach = F.greatest(F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__before"))
-    starts = parts.withColumn("__new", F.coalesce(F.col(low) > reach, F.lit(True)).cast("long")).drop("__before")
-    counted = carried(starts, F.sum("__new"), F.sum, "__groups")
-    number = F.sum("__new").over(order) + F.coalesce("__groups", F.lit(0).cast("long"))
-    return counted.withColumn("group_no", number).drop("__new", "__groups", "__range")
+    starts = parts.withColumn("group_no", F.coalesce(F.col(low) > reach, F.lit(True)).cast("long")).drop("__before")
+    return running(starts, keys, [low, tie], "group_no").drop("__range")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rules import CORPUS, KOREAN_POLICY
-from ..operators import boxes, chunks, ingest, keywords, layout, reports, retrieval, vectors
+from ..operators import boxes, chunks, ingest, keywords, large_documents, layout, reports, retrieval, vectors
 from ..sources.files import joined, with_local_scope
 from . import relations as R
 from . import sql as S
@@ -227,6 +227,12 @@ def chunk_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_pipeline(R.pages(spark, sf_dir), CORPUS)
 
 
+@query(ORACLES["chunk_pipeline"])
+def large_chunk_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_pipeline by ranges of pages and chunks, as documents larger than a task need it."""
+    return large_documents.chunk_pipeline(R.pages(spark, sf_dir), CORPUS)
+
+
 # Reports
 
 
