@@ -41,7 +41,7 @@ from .common import saved
 TURN_END = "</turn>"
 _ESCAPED = re.compile(r"\\|###|</turn>")
 _ESCAPED_ROLE = re.compile(r"\\|###|</turn>|:")
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)  # possessive: no state is kept for each character
 _BACK = re.compile(r"\\(.)", re.DOTALL)
 
 

@@ -1,6 +1,7 @@
 """Chat formatting: round trips, and paths against brute force."""
 
 import random
+import tracemalloc
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -54,3 +55,14 @@ def test_defined_cases(spark):
     assert {r.conv_id for r in beside} == {1, None, big}
     assert got[1].n_turns == 3 and got[1].loss_chars == 100_000 and got[None].n_turns == 1
     assert C.read_back(C.formatted(C.reply_tree(told.limit(0)))).collect() == []
+
+
+def test_long_texts_are_read_back_in_little_memory():
+    """A state for each character would take a hundred times the text."""
+    turns = [("user", "a<b \\\\ é " * 400_000), ("assistant", "plain " * 400_000)]
+    text, _ = C.format_turns(turns)
+    tracemalloc.start()
+    found = C.parse_turns(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == turns and peak < 20 * len(text)
