@@ -137,12 +137,24 @@ def _codes(token: Column) -> Column:
     return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.get(lookup, F.ascii(c)))
 
 
+def without_values(text: Column, spans: Column) -> Column:
+    """text with a space in place of each span's value, which ends where the span does; other occurrences of a value stay."""
+
+    def of(x: Column) -> Column:
+        until = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(x["reach"], F.greatest(i - 1, F.lit(0))))
+        gaps = F.transform(spans, lambda s, i: cut(x["pieces"], until(i), s["end"] - F.length(s["value"])))
+        rest = cut(x["pieces"], F.get(x["reach"], F.size(x["reach"]) - 1), F.length(text))
+        return F.concat(F.array_join(gaps, " "), F.lit(" "), rest)
+
+    sides = F.struct(pieces_of(text).alias("pieces"), reach_of(spans).alias("reach"))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(sides, of))
+
+
 def train(scanned: DataFrame) -> list[float]:
     """Log-likelihood ratio (random : ordinary) of each pair of neighbouring characters, row by row of the first."""
     random = scanned.where(F.size("base") > 0).select(F.explode("base.value").alias("token"), F.lit(1).alias("random"))
     sample = hash_sample(scanned.select("doc_id", "text", "base"), ["doc_id", "text"], TRAIN_DOCS)
-    cleaned = F.aggregate(F.col("base"), F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(" ")))
-    words = F.explode(F.regexp_extract_all(cleaned, F.lit(IDENTIFIER), F.lit(0))).alias("token")
+    words = F.explode(F.regexp_extract_all(without_values(F.col("text"), F.col("base")), F.lit(IDENTIFIER), F.lit(0))).alias("token")
     ordinary = sample.select(words, F.lit(0).alias("random"))
     codes = random.unionByName(ordinary).select("random", _codes(F.col("token")).alias("c"))
     pairs = codes.where(F.size("c") > 1).select(
