@@ -63,3 +63,21 @@ def test_the_plan_does_not_grow_with_queries_and_the_driver_sees_none(spark, mon
     monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", None)
     monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.collect", None)
     assert plan(10) == plan(100_000)
+
+
+def test_memory_of_a_full_cell():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n = min(V.CELL_ROWS, V.CELL_VALUES // 64)
+    flat = pa.array(rng.normal(size=(n + 100) * 64))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 101, dtype=np.int32) * 64), flat)
+    table = pa.table({"query_id": pa.array([*range(100), *[None] * n]), "id": pa.array([*[None] * 100, *range(n)]), "vector": vectors})
+    tracemalloc.start()
+    found = V._cell(table, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 800
+    assert peak < 40 << 20
