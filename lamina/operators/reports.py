@@ -43,11 +43,13 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_previews(chunks: DataFrame, matched: int = 20, unmatched: int = 10) -> DataFrame:
-    """The first chunks with and without a category, with the start of their texts."""
-    columns = ["chunk_id", "section_title", "matched_category", preview(F.col("text")).alias("preview")]
-    order = ["doc_id", "ordinal"]
-    some = lambda where, n: chunks.where(where).orderBy(*order).limit(n).select(*columns)
-    return some("matched_category is not null", matched).unionByName(some("matched_category is null", unmatched))
+    """The first chunks with and without a category, with the start of their texts. Both are found in one pass over chunks, of which a task hands on the first ones only."""
+    without = F.col("matched_category").isNull()
+    shown = chunks.select("doc_id", "ordinal", "chunk_id", "section_title", "matched_category", preview(F.col("text")).alias("preview"), without.alias("__without"))
+    at = F.row_number().over(Window.partitionBy("__without").orderBy("doc_id", "ordinal"))
+    first = shown.withColumn("__at", at).where(F.col("__at") <= max(matched, unmatched))
+    kept = first.where(F.col("__at") <= F.when(F.col("__without"), unmatched).otherwise(matched))
+    return kept.orderBy("__without", "__at").select("chunk_id", "section_title", "matched_category", "preview")
 
 
 def page_stats(pages: DataFrame) -> DataFrame:
