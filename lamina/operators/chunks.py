@@ -31,8 +31,8 @@ def long_length(c: Column) -> Column:
 
 
 def with_lines(pages: DataFrame) -> DataFrame:
-    """pages with their stripped non-blank lines."""
-    return pages.withColumn("__lines", clean_lines(F.col("text")))
+    """pages with their stripped non-blank lines, as generated rows, below which no filter on them is pushed: it would split the texts again."""
+    return pages.select("*", F.explode(F.array(clean_lines(F.col("text")))).alias("__lines"))
 
 
 def _content(lined: DataFrame, rules: Rules) -> DataFrame:
@@ -96,14 +96,13 @@ def raw_chunks(pages: DataFrame, rules: Rules) -> DataFrame:
 
 
 def described(found: DataFrame, rules: Rules) -> DataFrame:
-    """Sections as chunks."""
+    """Sections as chunks. The categories are generated rows, below which no filter on them is pushed: it would search the texts again."""
     return (
-        found.withColumn("chunk_id", chunk_name(F.col("doc_id").cast("string"), F.col("ordinal")))
+        found.select("*", F.inline(F.array(rules.category(F.col("section_title"), F.col("text")))))
+        .withColumn("chunk_id", chunk_name(F.col("doc_id").cast("string"), F.col("ordinal")))
         .withColumn("char_count", long_length(F.col("text")))
         .withColumn("coverage_type", rules.coverage_type(F.col("section_title"), F.col("text")))
-        .withColumn("category", rules.category(F.col("section_title"), F.col("text")))
         .withColumn("related_chunk_id", F.lit(None).cast("string"))
-        .select("*", "category.*")
         .select(CHUNK_COLUMNS)
     )
 

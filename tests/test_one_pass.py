@@ -1,5 +1,6 @@
 """Texts are read and searched once, by the plans of the queries on sections."""
 
+import pytest
 from lamina.plans import registry as Q
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +13,10 @@ def optimised(df):
 def test_previews_read_documents_once(spark):
     plan = optimised(Q.chunk_preview(spark, SF))
     assert plan.count("Relation [") == 1
+
+
+@pytest.mark.parametrize("name", ["coverage_items", "category_histogram", "chunk_preview"])
+def test_filters_do_not_search_again(spark, name):
+    plan = optimised(Q.QUERIES[name](spark, SF))
+    filters = [line for line in plan.splitlines() if " Filter " in line or line.lstrip(" :+-").startswith("Filter ")]
+    assert filters and not any("Contains(" in line or "split(" in line for line in filters)
