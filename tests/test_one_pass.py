@@ -1,6 +1,7 @@
 """Texts are read and searched once, by the plans of the queries on sections."""
 
 import pytest
+from lamina.functions.rules import CORPUS
 from lamina.plans import registry as Q
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +21,9 @@ def test_filters_do_not_search_again(spark, name):
     plan = optimised(Q.QUERIES[name](spark, SF))
     filters = [line for line in plan.splitlines() if " Filter " in line or line.lstrip(" :+-").startswith("Filter ")]
     assert filters and not any("Contains(" in line or "split(" in line for line in filters)
+
+
+def test_a_form_is_made_once_for_all_keywords(spark):
+    df = spark.createDataFrame([("a", "b")], "title string, text string")
+    found = df.select(CORPUS.category(df.title, df.text).alias("c"), CORPUS.coverage_type(df.title, df.text).alias("k"))
+    assert optimised(found).count("lower(") == 2
