@@ -19,14 +19,12 @@ def keyword_table(spark: SparkSession, keywords: tuple[Keyword, ...]) -> DataFra
 
 
 def pieces(text: Column, size: int) -> Column:
-    """The distinct runs of `size` letters of a text; letters are split once, so a long text takes time in proportion."""
-    letters = F.split(text, "")
-    return F.transform(
-        F.array(letters),
-        lambda all_of: F.array_distinct(
-            F.transform(F.filter(F.sequence(F.lit(0), F.size(all_of) - size), lambda i: F.size(all_of) >= size), lambda i: F.array_join(F.slice(all_of, i + 1, size), ""))
-        ),
-    )[0]
+    """The distinct runs of `size` letters of a text. One pattern that looks ahead finds them all, in time in proportion to the text.
+
+    It also looks from inside letters of two UTF-16 units: such a run is none of a
+    keyword's, but for the same keyword's in the same way, and what it leads to is held against the text.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def keyed(keywords: DataFrame) -> DataFrame:
@@ -47,7 +45,8 @@ def keyword_matches(texts: DataFrame, keywords: DataFrame, key: str = "doc_id")
     """
     seen = texts.select(key, match_form(F.concat(F.col("title"), F.lit("\n"), F.col("text"))).alias("seen"))
     index = keyed(keywords)
-    own = F.concat(*[pieces(F.col("seen"), n) for n in range(1, PIECE + 1)])  # the shorter ones for short keywords
+    lengths = [n for (n,) in index.select(F.length("piece")).distinct().collect()]  # PIECE, and less where keywords are shorter
+    own = F.concat(F.array().cast("array<string>"), *[pieces(F.col("seen"), n) for n in sorted(lengths)])
     found = seen.where("seen is not null").select(key, F.explode(own).alias("piece")).join(index.select("piece", "rank", "form"), "piece").select(key, "rank", "form")
     first = found.join(seen, key).where(F.contains("seen", "form")).groupBy(key).agg(F.min("rank").alias("rank"))
     everywhere = F.lit(keywords.where("form = ''").agg(F.min("rank")).first()[0]).cast("long")

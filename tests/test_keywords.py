@@ -31,3 +31,12 @@ def test_fifty_thousand_keywords(spark):
     texts = spark.range(200).selectExpr("id as doc_id", "'t' as title", "concat('some words w', lower(conv(id * 7919, 10, 36)), 'q end') as text")
     got = K.keyword_matches(texts, table).join(table.select("matched_keyword", "rank"), "matched_keyword")
     assert got.where("rank <= doc_id").count() == 200
+
+
+def test_pieces_without_a_lambda_for_each_letter(spark):
+    df = spark.createDataFrame([("a𝄞b한",), ("ab",), (None,)], "form string")
+    assert "lambda" not in df.select(K.pieces(F.col("form"), 3))._jdf.queryExecution().optimizedPlan().toString()
+    texts = spark.createDataFrame([(1, "", "xa𝄞b한y"), (2, "", "a𝄞"), (3, "", "a?b한")], "doc_id int, title string, text string")
+    rules = replace(CORPUS, keywords=keywords_from({"𝄞b한": "x", "a𝄞": "y"}))
+    got = {r["doc_id"]: r["matched_category"] for r in K.keyword_matches(texts, K.keyword_table(spark, rules.keywords)).collect()}
+    assert got == {1: "x", 2: "y", 3: None}
