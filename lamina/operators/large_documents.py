@@ -22,6 +22,9 @@ from .ranges import running
 #: Pages and chunks of a range.
 PAGES, CHUNKS = 1000, 20_000
 
+#: The range of pages without a number, before all others.
+FIRST = -(1 << 62)
+
 
 def neighbour(facts: DataFrame, by: int) -> DataFrame:
     """facts (doc_id, ordinal, ...) under the ordinal of the chunk `by` places further on, their names marked."""
@@ -34,15 +37,17 @@ def sections(pages: DataFrame, rules: Rules, a_range: int = PAGES) -> DataFrame:
     lined = C.content_lines(pages.where("doc_id is not null"), rules)
     lines = lined.select("doc_id", F.col("page").cast("long").alias("page"), F.posexplode("__lines").alias("at", "line"))
     marked = lines.withColumn("is_title", rules.is_title(F.col("line"))).withColumns(
-        {"section": F.col("is_title").cast("long"), "__range": F.floor(F.col("page") / a_range)}
+        {"section": F.col("is_title").cast("long"), "__range": F.coalesce(F.floor(F.col("page") / a_range), F.lit(FIRST))}
     )
-    numbered = running(marked, ["doc_id"], ["page", "at"], "section").drop("__range")
+    numbered = running(marked, ["doc_id"], ["page", "at"], "section", nulls=False).drop("__range")
     packed = numbered.groupBy("doc_id", "section").agg(
         F.array_sort(F.collect_list(F.struct("page", "at", "line"))).alias("rows"), F.min("page").alias("page_start"), F.max("is_title").alias("titled")
     )
     following = numbered.where("is_title").select("doc_id", (F.col("section") - 1).alias("section"), F.col("page").alias("next_page"))
-    documents = numbered.groupBy("doc_id").agg(F.max("page").alias("last_page"), F.min("section").alias("first_section"))
-    found = packed.join(following, ["doc_id", "section"], "left").join(documents, "doc_id")
+    pages_of = numbered.groupBy("doc_id", "section").agg(F.max("page").alias("last_page"))
+    documents = pages_of.groupBy("doc_id").agg(F.max("last_page").alias("last_page"), F.min("section").alias("first_section"))
+    ends = pages_of.select("doc_id", "section").join(following, ["doc_id", "section"], "left").join(documents, "doc_id")
+    found = packed.join(ends, ["doc_id", "section"])  # texts stay where they were packed
     return found.select(
         "doc_id", (F.col("section") - F.col("first_section") + 1).alias("ordinal"), "page_start", F.coalesce("next_page", "last_page").alias("page_end"),
         F.when(F.col("titled"), rules.title_of(F.get("rows", F.lit(0))["line"])).otherwise(rules.preamble).alias("section_title"),
@@ -65,10 +70,10 @@ def merge_small(chunks: DataFrame, rules: Rules, a_range: int = CHUNKS) -> DataF
 
 def split_large(chunks: DataFrame, rules: Rules, a_range: int = CHUNKS) -> DataFrame:
     """chunks.split_large(): a chunk's parts are numbered from the parts of those before it."""
-    cut = chunks.withColumn("__parts", C.parts_of(F.col("text"), rules.large)).withColumns(
+    cut = chunks.withColumn("__parts", C.parts_of(F.col("text"), rules.large)).drop("text").withColumns(
         {"__upto": F.size("__parts").cast("long"), "__range": F.floor(F.col("ordinal") / a_range)}
     )
-    counted = running(cut, ["doc_id"], ["ordinal"], "__upto")
+    counted = running(cut, ["doc_id"], ["ordinal"], "__upto", nulls=False)
     parts = counted.select("*", F.posexplode("__parts").alias("part", "piece"))
     return C.named_parts(parts, F.col("__upto") - F.size("__parts") + F.col("part") + 1)
 

@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 MOST = 1024
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left with the columns of right's row of the same keys, nulls included; null where there is none."""
+def _same(left: DataFrame, right: DataFrame, keys: list[str], nulls: bool = True) -> DataFrame:
+    """left with the columns of right's row of the same keys, nulls included; null where there is none.
+
+    Without nulls in keys, rows that are dealt by them already stay where they are: null-safe equality deals them anew.
+    """
+    if not nulls:
+        return left.join(right, keys, "left")
     other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"__r_{k}"]) for k in keys])
     return left.join(other, on, "left").drop(*[f"__r_{k}" for k in keys])
@@ -34,18 +39,18 @@ def ranged(df: DataFrame, keys: list[str], at: str, rows: int) -> DataFrame:
     return _same(df, hot, keys).withColumn("__range", place).drop("__cuts")
 
 
-def carried(frame: DataFrame, keys: list[str], of: Column, how: Callable[[str], Column], name: str) -> DataFrame:
+def carried(frame: DataFrame, keys: list[str], of: Column, how: Callable[[str], Column], name: str, nulls: bool = True) -> DataFrame:
     """frame, which has __range, with `how` (a sum or maximum) of an aggregate over all ranges of the keys before a row's own; null in the first."""
     one = [*keys, "__range"]
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    return _same(frame, frame.groupBy(*one).agg(of.alias("__x")).select(*one, how("__x").over(earlier).alias(name)), one)
+    return _same(frame, frame.groupBy(*one).agg(of.alias("__x")).select(*one, how("__x").over(earlier).alias(name)), one, nulls)
 
 
-def running(frame: DataFrame, keys: list[str], at: list[str], value: str, most: bool = False) -> DataFrame:
-    """frame, which has __range, with its column `value` summed up (or its maximum so far) in order of at, over ranges as in one window."""
+def running(frame: DataFrame, keys: list[str], at: list[str], value: str, most: bool = False, nulls: bool = True) -> DataFrame:
+    """frame, which has __range, with its column `value` summed up (or its maximum so far) in order of at, over ranges as in one window. nulls: whether keys and __range may be null."""
     how = F.max if most else F.sum
     order = Window.partitionBy(*keys, "__range").orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
-    found = carried(frame, keys, how(value), how, "__before")
+    found = carried(frame, keys, how(value), how, "__before", nulls)
     here = how(value).over(order)
     return found.withColumn(value, F.greatest(here, "__before") if most else here + F.coalesce("__before", F.lit(0).cast("long"))).drop("__before")
 

@@ -115,3 +115,17 @@ def test_ranges_of_a_hot_key_are_even(spark):
     sizes = {(r["k"], r["__range"]): r["count"] for r in ranged(frame, ["k"], "at", 10_000).groupBy("k", "__range").count().collect()}
     hot = [n for (k, _), n in sizes.items() if k == -1]
     assert sum(sizes.values()) == 200_000 and 15 <= len(hot) <= 20 and max(hot) < 15_000 and {r for k, r in sizes if k != -1} == {0}
+
+
+def test_rows_dealt_by_keys_without_nulls_stay(spark):
+    from lamina.operators.ranges import running
+    from pyspark.sql import functions as F
+
+    frame = spark.range(50).select((F.col("id") % 3).alias("k"), F.col("id").alias("at"), F.col("id").alias("v"), F.floor(F.col("id") / 10).alias("__range"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        strict, loose = (running(frame, ["k"], ["at"], "v", nulls=n).select("k", "at", "v") for n in (False, True))
+        few, many = (df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") for df in (strict, loose))
+        assert sorted(strict.collect()) == sorted(loose.collect()) and few < many
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
