@@ -1,19 +1,19 @@
 """Alignment of two tokenizers' tokens: groups between common ends, and links.
 
-Texts are tokenised in Python, and only that: A is byte-level BPE and reads a space
-and the text, B is a SentencePiece model, which adds the space itself. Both leave
-the same bytes, so tokens are byte ranges. What follows is Spark's higher-order
-functions: array_intersect of the tokens' ends gives the offsets where both end,
-transform and slice cut the tokens into groups there, and each step of the united
-ends is one link, of the two tokens that it lies in.
+A is byte-level BPE and reads a space and the text, B is a SentencePiece model, which
+adds the space itself. Both leave the same bytes, so tokens are byte ranges. Many
+cuts of texts, laid end to end, are aligned at once by numpy: the offsets where both
+end part the tokens into groups, and each step of the united ends is one link, of
+the two tokens that it lies in. Counts of pairs, and what they give each text, are
+Spark's grouping and joins.
 
 Neither vocabulary has a token that goes on over the start of white space (but for
 kinds of white space that a piece of B has behind other characters; there is no cut
 before these). So a text is cut there, and a part of the table, some PART_BYTES of
 texts, is one row: its distinct cuts with their tokens, and its texts as lists of
 numbers of cuts. Each distinct cut is aligned once in a part; sums, groups and links
-of texts are put together from their cuts'. All steps are linear in a cut's tokens,
-but for sorting them, so a text without white space is no special case.
+of texts are put together from their cuts'. All steps are linear in the tokens, but
+for sorting and searching their ends, so a text without white space is no special case.
 
 A pair's count is the number of documents that hold it linked. Counts are joined to
 links by broadcast up to MOST_PAIRS pairs, else by a join on links summed up by text.
@@ -26,8 +26,10 @@ Empty table: empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +46,29 @@ from .token_files import SPACES, Encoder
 PART_BYTES, PARTS_A_FILE, CACHED_CUTS, LONGEST_CUT, MOST_PAIRS = 3_000_000, 4, 400_000, 48, 1_000_000
 #: Cuts of one call of the library.
 CALL_CUTS = 20_000
-#: Tokens of a cut at most that are compared one by one; those of longer cuts are sorted together.
+#: Thousands of cuts that are aligned at once (one cut at least), which bounds the arrays of that step.
 FEW = 64
 SPACE, MARK = "▁", "\0"
 #: A pair of ids as one number.
 FIRST = 1 << 20
-TOKENS = "array<struct<id: int, start: int, end: int>>"
-PARTS = f"part long, docs array<struct<doc_id: long, n_a: long, n_b: long, cuts: array<int>>>, cuts array<struct<a: {TOKENS}, b: {TOKENS}>>"
+PARTS = "part long, docs array<struct<doc_id: long, n_a: long, n_b: long, n_groups: long, groups_sha256: string, cuts: array<int>>>, links array<array<long>>"
+
+
+class Side(NamedTuple):
+    """A tokenizer's tokens of cuts laid end to end: ids, the byte that each ends at, and how many each cut has."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    n: np.ndarray
+
+    def first(self) -> np.ndarray:
+        """Each cut's first token, and the number of all."""
+        return np.concatenate([[0], np.cumsum(self.n)])
+
+    def slice(self, lo: int, hi: int) -> Side:
+        """Of cuts from lo to hi."""
+        low, high = self.first()[[lo, hi]]
+        return Side(self.ids[low:high], self.ends[low:high], self.n[lo:hi])
 
 
 class Tokens:
@@ -67,6 +85,8 @@ class Tokens:
         spelt = [1 if self.pieces.is_byte(i) else 0 if self.pieces.is_control(i) else len(p.replace(SPACE, " ").encode()) for i, p in enumerate(names)]
         self.b_bytes = np.array(spelt, dtype=np.int64)
         self.b = ChunkMemory(CACHED_CUTS, LONGEST_CUT)
+        # A's and then B's ids as text: each with a comma after it, and with the sign after the last of a group
+        self.names = pa.array([f"{i}{sign}" for n, last in ((len(self.a.n_bytes), "|"), (len(names), ";")) for i in range(n) for sign in (",", last)])
         after = {p[i] for p in names for i in range(1, len(p)) if p[i] != p[i - 1]}  # a cut before these may part a piece
         self.safe = "".join(c for c in SPACES if (SPACE if c == " " else c) not in after)
         self.border = f"([^{SPACES}])([{self.safe}])"
@@ -90,24 +110,58 @@ class Tokens:
         found = [lone if c == " " else f if o else f[1:] for c, f, o in zip(cuts, found, own, strict=True)]
         return np.array([i for f in found for i in f], dtype=np.uint32), np.array([len(f) for f in found], dtype=np.int64)
 
-    def of(self, cuts: pa.StringArray) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of cuts; how many A and B give; and whether the bytes of both are those of the cut."""
+    def of(self, cuts: pa.StringArray) -> tuple[Side, Side, np.ndarray, np.ndarray]:
+        """Tokens of cuts by A and B; whether the bytes of both are those of the cut, else it has none; and the byte that each cut ends at."""
         alone = pa.ListArray.from_arrays(pa.array(np.arange(len(cuts) + 1), pa.int32()), cuts)
         kind = lambda c: not (c and c[0] in SPACES and c[-1] not in SPACES)
-        size = pc.binary_length(cuts).to_numpy(zero_copy_only=False)
-        arrays, counts, ok = [], [], np.ones(len(cuts), dtype=bool)
+        size = pc.binary_length(cuts).to_numpy(zero_copy_only=False).astype(np.int64)
+        last, ok, found = np.cumsum(size), np.ones(len(cuts), dtype=bool), []
         for (ids, n), width in (
             (self.a.memory.ids(alone, [self.a.joined, self.a.each], kind), self.a.n_bytes),
             (self.b.ids(alone, [self.b_ids]), self.b_bytes),
         ):
-            ends, last = np.cumsum(width[ids]), np.cumsum(n)
-            before = np.concatenate([[0], ends])[np.concatenate([[0], last])]
+            ends = np.cumsum(width[ids])
+            before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
             ok &= np.diff(before) == size
-            ends -= np.repeat(before[:-1], n)
-            held = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (ids, ends - width[ids], ends)], ["id", "start", "end"])
-            arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last]), pa.int32()), held))
-            counts.append(n)
-        return pa.StructArray.from_arrays(arrays, ["a", "b"]), *counts, ok
+            ends += np.repeat(last - size - before[:-1], n)
+            found.append((ids, ends, n))
+        kept = [Side(ids[k := np.repeat(ok, n)].astype(np.int64), ends[k], np.where(ok, n, 0)) for ids, ends, n in found]
+        return *kept, ok, last
+
+    def groups(self, a: Side, b: Side) -> tuple[pa.StringArray, np.ndarray]:
+        """Of each cut: its groups as text, a sign after each, and their number."""
+        a_last, b_last = (common(x.ends, y.ends) for x, y in ((a, b), (b, a)))
+        a_group, b_group = (np.cumsum(x) - x for x in (a_last, b_last))
+        a_before, b_before = (np.concatenate([[0], np.flatnonzero(x) + 1]) for x in (a_last, b_last))  # tokens before each group
+        code = np.empty(len(a.ids) + len(b.ids), dtype=np.int64)
+        code[np.arange(len(a.ids)) + b_before[a_group]] = 2 * a.ids + a_last
+        code[np.arange(len(b.ids)) + a_before[b_group + 1]] = 2 * (len(self.a.n_bytes) + b.ids) + b_last
+        texts = pa.ListArray.from_arrays(pa.array(a.first() + b.first(), pa.int32()), self.names.take(pa.array(code)))
+        return pc.binary_join(texts, ""), np.diff(np.concatenate([[0], np.cumsum(a_last)])[a.first()])
+
+
+def common(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each of the ascending ends is one of the ascending others."""
+    return np.concatenate([others, [-1]])[np.searchsorted(others, ends)] == ends
+
+
+def links(a: Side, b: Side, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ids of cuts' links, one cut after the other, and the number of each one's. last: the byte that each cut ends at."""
+    steps = np.union1d(a.ends, b.ends)
+    pairs = a.ids[np.searchsorted(a.ends, steps)] * FIRST + b.ids[np.searchsorted(b.ends, steps)]
+    return pairs, np.diff(np.searchsorted(steps, last, side="right"), prepend=0)
+
+
+def aligned(both: Tokens, a: Side, b: Side, last: np.ndarray, step: int) -> tuple[pa.StringArray, np.ndarray, pa.ListArray]:
+    """Of each cut: its groups as text, their number, and its links' pairs; `step` cuts at once."""
+    texts, n_groups, pairs, n_links = [], [], [], []
+    for lo in range(0, len(last), step):
+        hi = min(lo + step, len(last))
+        of = a.slice(lo, hi), b.slice(lo, hi)
+        for held, x in zip((texts, n_groups, pairs, n_links), (*both.groups(*of), *links(*of, last[lo:hi])), strict=True):
+            held.append(x)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(n_links))])
+    return pa.concat_arrays(texts), np.concatenate(n_groups), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(pairs)))
 
 
 _tokens: dict[tuple[str, str], Tokens] = {}
@@ -123,115 +177,40 @@ def tokens(a_path: str, b_path: str) -> Tokens:
     return _tokens[a_path, b_path]
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """part, docs (doc_id, n_a, n_b and the numbers of its cuts), cuts (tokens of each distinct one). Texts without tokens have no cuts."""
+def aligned_parts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """part, docs (doc_id, n_a, n_b, n_groups, groups_sha256, the numbers of its cuts), links (the pairs of each distinct cut). Texts without tokens have no cuts."""
 
     def one(list_of: pa.Array) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array([0, len(list_of)], pa.int32()), list_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, part = tokens(a_path, b_path), TaskContext.get().partitionId() << 32
+        both, part, step = tokens(a_path, b_path), TaskContext.get().partitionId() << 32, max(1, FEW << 10)
         for rows in parts_of(batches, PART_BYTES):
             texts, ids = (rows.column(c).combine_chunks() for c in ("text", "doc_id"))
             texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
             lists = both.cuts(pc.binary_join_element_wise(" ", texts, ""))
             encoded = lists.flatten().dictionary_encode()
             number = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            cuts, n_a, n_b, ok = both.of(encoded.dictionary)
+            a, b, ok, last = both.of(encoded.dictionary)
+            groups, n_groups, pairs = aligned(both, a, b, last, step)
             of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             bad = np.bincount(of, weights=~ok[number], minlength=len(lists)) > 0
             bad |= pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            total = [np.where(bad, 0, np.bincount(of, weights=n[number], minlength=len(lists))).astype(np.int64) for n in (n_a, n_b)]
+            total = [np.where(bad, 0, np.bincount(of, weights=n[number], minlength=len(lists))).astype(np.int64) for n in (a.n, b.n, n_groups)]
             keep = ~bad[of]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(lists)))])
-            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number[keep].astype(np.int32)))
-            told = pa.StructArray.from_arrays([ids.cast(pa.int64()), *map(pa.array, total), held], ["doc_id", "n_a", "n_b", "cuts"])
-            yield pa.RecordBatch.from_arrays([pa.array([part]), one(told), one(cuts)], ["part", "docs", "cuts"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(lists)))]), pa.int32())
+            own = number[keep].astype(np.int32)
+            whole = pc.binary_join(pa.ListArray.from_arrays(ends, groups.take(pa.array(own))), "").cast(pa.binary())
+            digest = pa.array([hashlib.sha256(x[:-1]).hexdigest() if x else "" for x in whole.to_pylist()], pa.string())
+            held = pa.ListArray.from_arrays(ends, pa.array(own))
+            fields = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "cuts"]
+            told = pa.StructArray.from_arrays([ids.cast(pa.int64()), *map(pa.array, total), digest, held], fields)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), one(told), one(pairs)], ["part", "docs", "links"])
             part += 1
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, PARTS)
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is taken once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def ranks(ends: Column, at: Column) -> Column:
-    """For each of the ascending `at`, how many of the ascending `ends` lie below it: its place among both, sorted together, less its own number."""
-    marked = F.sort_array(F.concat(F.transform(at, lambda x: x * 2), F.transform(ends, lambda x: x * 2 + 1)))
-    places = F.filter(F.transform(marked, lambda x, i: F.when(x % 2 == 0, i).otherwise(-1)), lambda i: i >= 0)
-    return F.transform(places, lambda p, i: p - i)
-
-
-def aligned(cut: Column) -> Column:
-    """struct<groups, n_groups, links> of a cut's tokens: its groups as text, and a pair of ids for each link."""
-    return F.when(F.size(cut["a"]) + F.size(cut["b"]) <= FEW, aligned_few(cut)).otherwise(aligned_many(cut))
-
-
-def aligned_few(cut: Column) -> Column:
-    """If all ends are common, token by token; else by the places of each common end, and comparing tokens of A with those of B."""
-    a, b = cut["a"], cut["b"]
-    a_ids, b_ids = a["id"], b["id"]
-    pair = lambda x, y: x.cast("long") * FIRST + y
-
-    def alike() -> Column:
-        texts = F.zip_with(a_ids, b_ids, lambda x, y: F.concat_ws("|", x.cast("string"), y.cast("string")))
-        return found(a, texts, F.zip_with(a_ids, b_ids, pair))
-
-    def unlike(cuts: Column) -> Column:
-        overlapping = lambda x: F.filter(b, lambda y: (y["end"] > x["start"]) & (y["start"] < x["end"]))
-        links = F.flatten(F.transform(a, lambda x: F.transform(overlapping(x), lambda y: pair(x["id"], y["id"]))))
-
-        def ids(of: Column, ends: Column, end: Column, k: Column) -> Column:
-            before = F.when(k == 0, F.lit(0)).otherwise(F.array_position(ends, F.get(cuts, k - 1)).cast("int"))
-            return F.array_join(F.slice(of, before + 1, F.array_position(ends, end).cast("int") - before).cast("array<string>"), ",")
-
-        return found(cuts, F.transform(cuts, lambda end, k: F.concat(ids(a_ids, a["end"], end, k), F.lit("|"), ids(b_ids, b["end"], end, k))), links)
-
-    def found(groups: Column, texts: Column, links: Column) -> Column:
-        return F.struct(F.array_join(texts, ";").alias("groups"), F.size(groups).cast("long").alias("n_groups"), links.alias("links"))
-
-    return F.when(a["end"] == b["end"], alike()).otherwise(bound(F.array_intersect(a["end"], b["end"]), unlike))
-
-
-def aligned_many(cut: Column) -> Column:
-    """By sorting ends together."""
-    a, b, a_ends, b_ends = cut["a"]["id"], cut["b"]["id"], cut["a"]["end"], cut["b"]["end"]
-
-    def of_steps(steps: Column) -> Column:
-        found = F.struct(ranks(a_ends, steps).alias("a"), ranks(b_ends, steps).alias("b"), ranks(steps, F.array_intersect(a_ends, b_ends)).alias("cut"))
-        return bound(found, groups)
-
-    def groups(at: Column) -> Column:
-        """at: for each step, the tokens of A and B that it lies in; and the steps that end groups."""
-
-        def ids(of: Column, token: Column, step: Column, k: Column) -> Column:
-            before = F.when(k == 0, F.lit(-1)).otherwise(F.get(token, F.get(at["cut"], k - 1)))
-            return bound(before, lambda p: F.array_join(F.slice(of, p + 2, F.get(token, step) - p).cast("array<string>"), ","))
-
-        texts = F.transform(at["cut"], lambda step, k: F.concat(ids(a, at["a"], step, k), F.lit("|"), ids(b, at["b"], step, k)))
-        links = F.zip_with(at["a"], at["b"], lambda x, y: F.get(a, x).cast("long") * FIRST + F.get(b, y))
-        return F.struct(F.array_join(texts, ";").alias("groups"), F.size(at["cut"]).cast("long").alias("n_groups"), links.alias("links"))
-
-    return bound(F.sort_array(F.array_union(a_ends, b_ends)), of_steps)
-
-
-def aligned_parts(parts: DataFrame) -> DataFrame:
-    """part, docs (doc_id, n_a, n_b, n_groups, groups_sha256, cuts), links (the pairs of each distinct cut)."""
-
-    def document(d: Column, found: Column) -> Column:
-        def of_cuts(own: Column) -> Column:
-            digest = F.when(F.size(own) == 0, F.lit("")).otherwise(F.sha2(F.array_join(own["groups"], ";"), 256))
-            n = F.aggregate(own["n_groups"], F.lit(0).cast("long"), lambda s, x: s + x)
-            return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n.alias("n_groups"), digest.alias("groups_sha256"), d["cuts"].alias("cuts"))
-
-        return bound(F.transform(d["cuts"], lambda i: F.get(found, i)), of_cuts)
-
-    both = bound(F.transform("cuts", aligned), lambda found: F.struct(F.transform("docs", lambda d: document(d, found)).alias("docs"), found["links"].alias("links")))
-    return parts.select("part", both.alias("x")).select("part", "x.docs", "x.links")
-
-
 def links_of(cuts: Column) -> Column:
     """The pairs of a text's cuts, one after the other."""
     return F.flatten(F.transform(cuts, lambda i: F.get(F.col("links"), i)))
@@ -263,7 +242,7 @@ def link_sums(parts: DataFrame, counts: DataFrame) -> DataFrame:
 
 def alignment_report(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document (doc_id, text)."""
-    parts = saved(aligned_parts(tokenised(docs, a_path, b_path)), "aligned", maxRecordsPerFile=str(PARTS_A_FILE))
+    parts = saved(aligned_parts(docs, a_path, b_path), "aligned", maxRecordsPerFile=str(PARTS_A_FILE))
     rows = parts.select("part", F.posexplode("docs").alias("at", "d")).select("part", "at", "d.doc_id", "d.n_a", "d.n_b", "d.n_groups", "d.groups_sha256")
     sums = link_sums(parts, pair_counts(parts))
     none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

@@ -91,3 +91,25 @@ def test_empty_table(spark):
 def test_only_white_space_that_no_piece_has_inside_is_cut():
     both = T.tokens(BYTE_BPE, PIECES)
     assert " " in both.safe and "\n" in both.safe and "\r" not in both.safe
+
+
+def test_no_lambda_is_interpreted_for_each_token(spark):
+    df = ready(spark).createDataFrame([(1, "plain words in a row", "", "")], SCHEMA)
+    assert "lambda" not in T.aligned_parts(df, BYTE_BPE, PIECES)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("step", [1, 2, 100])
+def test_cuts_laid_end_to_end_keep_their_own_groups_and_links(step):
+    import pyarrow as pa
+
+    both = T.tokens(BYTE_BPE, PIECES)
+    rows = [" the", "\r▁", " unbelievably", "\n日本語", " the", " tion" * 3]
+    a, b, ok, last = both.of(pa.array(rows))
+    assert ok.tolist() == [r != "\r▁" for r in rows]
+    groups, n_groups, links = T.aligned(both, a, b, last, step)
+    for k, text in enumerate(rows):
+        if not ok[k]:
+            assert (groups[k].as_py(), n_groups[k], links[k].as_py()) == ("", 0, [])
+        elif text[0] == " ":
+            (_, _, _, n, n_links, *_, digest), = plain([(k, text[1:])])
+            assert (n_groups[k], len(links[k]), hashlib.sha256(groups[k].as_py()[:-1].encode()).hexdigest()) == (n, n_links, digest)
