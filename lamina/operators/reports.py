@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,24 +196,31 @@ def share(truth: str, found: str) -> float:
 KEPT_AUTOMATA = 64
 
 
+def shares_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Of each row's texts the shares in its other text. Batches stay Arrow's: only one row at a time is Python strings and floats."""
+    kept: dict[tuple[str, ...], CellAutomaton] = {}
+    for many, texts in batches:
+        ratios, ends = array("d"), array("i", [0])
+        for cells, text in zip(many, texts, strict=True):
+            key = tuple(c or "" for c in cells.as_py())
+            if key not in kept:
+                if len(kept) >= KEPT_AUTOMATA:
+                    kept.clear()
+                kept[key] = CellAutomaton(list(key))
+            of = kept[key].shares(text.as_py() or "")
+            ratios.extend(of[c] for c in key)
+            ends.append(len(ratios))
+        many = texts = cells = text = None  # or the next batch comes beside this one
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ratios, pa.float64()))
+
+
 def containments(truths: Column, found: Column) -> Column:
     """Of each of an array of texts the share of its characters in matching blocks with found, white space aside."""
 
-    def shares(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        kept: dict[tuple[str, ...], CellAutomaton] = {}
-        for many, texts in batches:
-            out = []
-            for cells, text in zip(many, texts, strict=True):
-                key = tuple(c or "" for c in cells)
-                if key not in kept:
-                    if len(kept) >= KEPT_AUTOMATA:
-                        kept.clear()
-                    kept[key] = CellAutomaton(list(key))
-                of = kept[key].shares(text or "")
-                out.append([of[c] for c in key])
-            yield pd.Series(out)
-
-    return F.pandas_udf(shares, "array<double>")(F.transform(truths, compare_form), compare_form(found))
+    def shares(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return shares_of(batches)
+
+    return F.arrow_udf(shares, "array<double>")(F.transform(truths, compare_form), compare_form(found))
 
 
 def containment(truth: Column, found: Column) -> Column:
