@@ -95,15 +95,15 @@ def raw_chunks(pages: DataFrame, rules: Rules) -> DataFrame:
     return described(sections(_numbered(content_lines(pages, rules)), rules), rules)
 
 
-def described(found: DataFrame, rules: Rules) -> DataFrame:
-    """Sections as chunks. The categories are generated rows, below which no filter on them is pushed: it would search the texts again."""
+def described(found: DataFrame, rules: Rules, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sections as chunks, with the columns in keep. The categories are generated rows, below which no filter on them is pushed: it would search the texts again."""
     return (
         found.select("*", F.inline(F.array(rules.category(F.col("section_title"), F.col("text")))))
         .withColumn("chunk_id", chunk_name(F.col("doc_id").cast("string"), F.col("ordinal")))
         .withColumn("char_count", long_length(F.col("text")))
         .withColumn("coverage_type", rules.coverage_type(F.col("section_title"), F.col("text")))
         .withColumn("related_chunk_id", F.lit(None).cast("string"))
-        .select(CHUNK_COLUMNS)
+        .select(*keep, *CHUNK_COLUMNS)
     )
 
 
@@ -128,8 +128,8 @@ def listed(values: Column) -> Column:
     return F.flatten(F.array_append(values["pieces"], values["last"]))
 
 
-def group_numbers(facts: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
-    """(keys, ordinal, group) of facts (keys, ordinal, size, category): a fold over each key's chunks."""
+def group_list(facts: Column, rules: Rules) -> Column:
+    """Group numbers of an array of facts (size, category, ...) in their order."""
     start = F.struct(
         empty_list().alias("groups"), F.lit(0).alias("group"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("category")
     )
@@ -145,8 +145,13 @@ def group_numbers(facts: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
             F.when(joins, F.coalesce(acc["category"], x["category"])).otherwise(x["category"]).alias("category"),
         )
 
+    return listed(F.aggregate(facts, start, step)["groups"])
+
+
+def group_numbers(facts: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
+    """(keys, ordinal, group) of facts (keys, ordinal, size, category): a fold over each key's chunks."""
     each = F.array_sort(F.collect_list(F.struct("ordinal", "size", "category")))
-    folded = facts.groupBy(*keys).agg(each.alias("facts")).select(*keys, "facts", listed(F.aggregate("facts", start, step)["groups"]).alias("groups"))
+    folded = facts.groupBy(*keys).agg(each.alias("facts")).select(*keys, "facts", group_list(F.col("facts"), rules).alias("groups"))
     pairs = F.explode(F.arrays_zip(F.col("facts.ordinal").alias("ordinal"), F.col("groups").alias("group")))
     return folded.select(*keys, pairs.alias("x")).select(*keys, "x.ordinal", "x.group")
 
@@ -158,20 +163,20 @@ def merge_facts(chunks: DataFrame) -> DataFrame:
 
 def joined_groups(chunks: DataFrame, groups: DataFrame) -> DataFrame:
     """A chunk for each group of groups (doc_id, ordinal, and what tells groups apart)."""
+    return grouped(chunks.join(groups, ["doc_id", "ordinal"]), ["doc_id", *[c for c in groups.columns if c not in ("doc_id", "ordinal")]]).select(CHUNK_COLUMNS)
+
+
+def grouped(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, and what a chunk has): a chunk for each of the keys."""
     rows = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
     first = lambda c: F.min_by(c, "ordinal").alias(c)
     given = lambda c: F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.col("ordinal"))).alias(c)
-    return (
-        chunks.join(groups, ["doc_id", "ordinal"])
-        .groupBy("doc_id", *[c for c in groups.columns if c not in ("doc_id", "ordinal")])
-        .agg(
-            first("chunk_id"), F.min("ordinal").alias("ordinal"), first("page_start"), F.max_by("page_end", "ordinal").alias("page_end"),
-            first("section_title"), first("coverage_type"), F.array_join(rows["text"], "\n").alias("text"),
-            given("matched_category"), given("secondary_category"), given("matched_keyword"), first("related_chunk_id"),
-        )
-        .withColumn("char_count", long_length(F.col("text")))
-        .select(CHUNK_COLUMNS)
+    found = chunks.groupBy(*keys).agg(
+        first("chunk_id"), F.min("ordinal").alias("ordinal"), first("page_start"), F.max_by("page_end", "ordinal").alias("page_end"),
+        first("section_title"), first("coverage_type"), F.array_join(rows["text"], "\n").alias("text"),
+        given("matched_category"), given("secondary_category"), given("matched_keyword"), first("related_chunk_id"),
     )
+    return found.withColumn("char_count", long_length(F.col("text")))
 
 
 def merge_small(chunks: DataFrame, rules: Rules) -> DataFrame:
@@ -223,10 +228,14 @@ def split_large(chunks: DataFrame, rules: Rules) -> DataFrame:
     return named_parts(parts, F.row_number().over(in_order("ordinal", "part")).cast("long"))
 
 
+def part_name(chunk_id: Column, part: Column) -> Column:
+    return F.when(part == 0, chunk_id).otherwise(F.concat(chunk_id, F.lit("_"), (part + 1).cast("string")))
+
+
 def named_parts(parts: DataFrame, ordinal: Column) -> DataFrame:
     """Chunks of parts (chunks with part, piece), under their new ordinals."""
     return (
-        parts.withColumn("chunk_id", F.when(F.col("part") == 0, F.col("chunk_id")).otherwise(F.concat("chunk_id", F.lit("_"), (F.col("part") + 1).cast("string"))))
+        parts.withColumn("chunk_id", part_name(F.col("chunk_id"), F.col("part")))
         .withColumn("text", F.col("piece"))
         .withColumn("char_count", long_length(F.col("piece")))
         .withColumn("ordinal", ordinal)

@@ -49,3 +49,54 @@ def test_one_document_is_many_tasks(spark):
     numbered = L.running(pages.select("doc_id", "page", F.lit(1).cast("long").alias("n"), F.floor(F.col("page") / 50).alias("__range")), ["doc_id"], ["page"], "n")
     assert numbered.where("n <> page + 1").count() == 0
     assert made.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
+
+
+def random_pages(spark, documents=25):
+    """Pages whose cuts fall between linked chunks, small chunks, chunks in parts, and pages without a number."""
+    rng = random.Random(7)
+    words = ["ontion", "thanedble", "queque", "nicht", "tiontion", "plain", "plain", "plain"]
+
+    def page():
+        lines = []
+        for _ in range(rng.randint(3, 12)):
+            if rng.random() < 0.35:
+                lines.append(f"{rng.choice(['heat', 'title', 'aire', 'title'])} {rng.choice(words)} {rng.randint(0, 99)}")
+            lines.append(f"{rng.choice(words)} " + "".join(rng.choice("abc de") for _ in range(rng.choice([60, 130, 310, 310, 1500, 4500]))))
+        return "\n".join(lines)
+
+    rows = [(d, n, page()) for d in range(documents) for n in [*([None] if d % 5 == 0 else []), *range(-2 if d % 7 == 0 else 1, rng.randint(1, 40))]]
+    return spark.createDataFrame(rows, "doc_id int, page int, text string").cache()
+
+
+def test_segments_of_random_documents(spark):
+    pages = random_pages(spark)
+    want = told(C.chunk_pipeline(pages, CORPUS))
+    linked = sum("related_chunk_id': None" not in x for x in want)
+    assert len(want) > 2000 and linked > 20
+    lined = C.content_lines(pages, CORPUS)
+    for a_range in (1, 4):
+        known = L.cuts(lined, CORPUS, a_range).collect()
+        assert sum(len(r["cuts"]) for r in known) > 25 and not any(r["long"] for r in known)
+        assert told(L.chunk_pipeline(pages, CORPUS, a_range, 7)) == want
+
+
+def dealt(df):
+    """Exchanges of the plan that ran, and their bytes."""
+    df.collect()
+    found, rest = [], [df._jdf.queryExecution().executedPlan()]
+    while rest:
+        node = rest.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("dataSize").value())
+        rest += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        rest += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_texts_are_dealt_once(spark):
+    """Twice, where documents have several segments; by running sums, it was some ten times."""
+    assert len(dealt(L.chunk_pipeline(R.pages(spark, SF), CORPUS))) == 1
+    pages = random_pages(spark)
+    size = pages.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 0.5 * size < sum(dealt(L.chunk_pipeline(pages, CORPUS, 4))) < 3.5 * size
