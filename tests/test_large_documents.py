@@ -80,6 +80,12 @@ def test_segments_of_random_documents(spark):
         assert told(L.chunk_pipeline(pages, CORPUS, a_range, 7)) == want
 
 
+def test_documents_of_too_large_segments_go_by_sums(spark):
+    pages = R.pages(spark, SF).where("doc_id % 4 = 0 or length(text) > 3000")
+    assert sum(r["long"] for r in L.cuts(C.content_lines(pages, CORPUS), CORPUS, 3, 9000).collect()) > 3
+    assert told(L.chunk_pipeline(pages, CORPUS, 3, 7, 9000)) == told(C.chunk_pipeline(pages, CORPUS))
+
+
 def dealt(df):
     """Exchanges of the plan that ran, and their bytes."""
     df.collect()
